@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ogg
+from . import langid, ogg
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ogg_media,)}
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ogg_media, op8_language_id)}
 
 ORACLES: dict[str, str] = {}
