@@ -6,7 +6,6 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -73,30 +72,16 @@ def text_sizes(name: str = "text") -> Callable[[pa.RecordBatch], list[int]]:
 
 
 def numbered(df: DataFrame, keys: list[str], order: Column, ties: list[Column], name: str, parts: int = 256) -> DataFrame:
-    """`name`: the rank from 0 of each row among those with equal `keys`, by the 64-bit `order`, then `ties`.
+    """`name`: the rank from 0 of each row among those with equal `keys` (no nulls), by the 64-bit `order`, then `ties`.
 
     A hot key is dealt over `parts` ranges of `order`; the ranges' counts, at most `parts` for a key, give
     each range its first rank. `order` should be a hash, so that the ranges are even.
     """
-    part, before, n = f"_{name}_part", f"_{name}_before", f"_{name}_n"
-    width = -(-(2**64) // parts)
-    dealt = df.withColumn(f"_{name}_by", order).withColumn(part, F.floor(F.col(f"_{name}_by") / F.lit(float(width))).cast("int"))
+    part, by, before, n = (f"_{name}_{x}" for x in ("part", "by", "before", "n"))
+    dealt = df.withColumn(by, order).withColumn(part, F.floor(F.col(by) / F.lit(2.0**64 / parts)).cast("int"))
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy(*keys, part).agg(F.count("*").alias(n))
-    first = F.coalesce(F.sum(n).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col(part).alias("_c_part"), first.alias(before))
-    same = F.col(part).eqNullSafe(F.col("_c_part"))
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"_c_{k}"))
-    inner = F.row_number().over(Window.partitionBy(*keys, part).orderBy(F.col(f"_{name}_by"), *ties)) - 1
-    ranked = dealt.withColumn(f"_{name}_in", inner).join(counts, same)
-    return ranked.withColumn(name, F.col(before) + F.col(f"_{name}_in")).drop(
-        *[f"_c_{k}" for k in keys], "_c_part", before, part, f"_{name}_by", f"_{name}_in"
-    )
-
-
-def frame(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
-
-
-def to_arrow(df: pd.DataFrame, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pandas(df, schema=schema, preserve_index=False)
+    counts = counts.select(*keys, part, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    inner = F.row_number().over(Window.partitionBy(*keys, part).orderBy(by, *ties)) - 1
+    ranked = dealt.withColumn(name, inner).join(counts, [*keys, part])
+    return ranked.withColumn(name, F.col(name) + F.col(before)).drop(before, part, by)

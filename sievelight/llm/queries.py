@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ogg
+from . import langid, ogg, packing
 from .common import table
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,6 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ogg_media, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op8_language_id)}
 
 ORACLES: dict[str, str] = {}
