@@ -156,7 +156,7 @@ def train(rows: list[tuple[str, str]], s: Settings = Settings()) -> Model:
             lin -= rate * 0.05 * (h.T @ g)
             bias -= rate * 0.05 * g.sum(0)
             np.add.at(emb, k, (-rate * np.repeat(back, n, axis=0)).astype(np.float32))
-    model = Model(langs, (emb @ lin).astype(np.float32), bias.astype(np.float64), 1.0, 0.0, s.bits)
+    model = Model(langs, np.einsum("bd,dk->bk", emb, lin), bias.astype(np.float64), 1.0, 0.0, s.bits)
     if held:
         z, x = model.logits([t for t, _ in held]), np.array([langs.index(x) for _, x in held])
         loss = lambda h: -np.log(softmax(z * h)[np.arange(len(x)), x] + 1e-12).mean()

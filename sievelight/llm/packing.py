@@ -129,6 +129,20 @@ def best_pattern(prices: np.ndarray, widths: np.ndarray, size: int) -> tuple[flo
     return float(worth[size]), counts
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """The inverse by elimination, without the thread pool of a linear algebra library in the driver."""
+    n = len(a)
+    x = np.hstack([a.astype(float), np.eye(n)])
+    for i in range(n):
+        k = i + int(np.abs(x[i:, i]).argmax())
+        x[[i, k]] = x[[k, i]]
+        x[i] /= x[i, i]
+        way = x[:, i].copy()
+        way[i] = 0
+        x -= np.outer(way, x[i])
+    return x[:, n:]
+
+
 def patterns(widths: np.ndarray, demand: np.ndarray, size: int, gap: float, rounds: int) -> list[tuple[float, np.ndarray]]:
     """(uses, counts by width) of a basic solution of the linear program, by column generation.
 
@@ -137,12 +151,12 @@ def patterns(widths: np.ndarray, demand: np.ndarray, size: int, gap: float, roun
     """
     base = np.diag(size // widths)
     inverse = np.diag(1.0 / np.diag(base))
-    uses = inverse @ demand
+    uses = (inverse * demand).sum(1)
     for k in range(rounds):
         worth, column = best_pattern(inverse.sum(0), widths, size)
         if worth <= 1 + gap:
             break
-        way = inverse @ column
+        way = (inverse * column).sum(1)
         ratio = np.where(way > 1e-9, uses / np.where(way > 1e-9, way, 1), np.inf)
         out = int(ratio.argmin())
         uses = np.maximum(uses - ratio[out] * way, 0)
@@ -152,8 +166,8 @@ def patterns(widths: np.ndarray, demand: np.ndarray, size: int, gap: float, roun
         inverse[out] = row
         base[:, out] = column
         if k % 400 == 399:  # rounding errors don't add up
-            inverse = np.linalg.inv(base)
-            uses = np.maximum(inverse @ demand, 0)
+            inverse = inverted(base)
+            uses = np.maximum((inverse * demand).sum(1), 0)
     return [(float(x), base[:, i].copy()) for i, x in enumerate(uses)]
 
 
