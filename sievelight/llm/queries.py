@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, ogg, packing
+from . import langid, neardup, ogg, packing
 from .common import table
 
 
@@ -16,10 +16,14 @@ def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op4_minhash_near_dedup, op8_language_id)}
 
 ORACLES: dict[str, str] = {}
