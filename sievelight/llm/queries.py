@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, ogg, packing
+from . import langid, mixing, neardup, ogg, packing, secrets
 from .common import table
 
 
@@ -24,10 +24,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op8_language_id)}
 
 ORACLES: dict[str, str] = {}
