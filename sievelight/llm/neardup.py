@@ -7,9 +7,10 @@
    below the step; large sets need two or three steps for all slots.
 3. `bands` bands of `rows` slots each give buckets. At a similarity of 0.85 a pair misses all 24 bands of
    5 slots with a probability below 1e-6.
-4. In a bucket, signatures (8 bits a slot) estimate similarities. A first round verifies only a spanning
-   forest of the most alike; a second all pairs that may be links and that lie in different components.
-   So no round makes all pairs of a large group of copies. A bucket of more than `block` classes is cut exactly:
+4. In a bucket, signatures (8 bits a slot) estimate similarities. A first round verifies a spanning forest of the
+   most alike. In a second, the rows that may have links out of the components found so far meet again in their
+   buckets with their full sets, and the links that join components leave. So neither round gives out
+   more pairs than rows, whatever the size of a group of copies. A bucket of more than `block` classes is cut exactly:
    by set size (links differ by a bounded ratio, and a class goes to its own size and the next lower one),
    then into blocks, each pair of blocks a group of its own. No bucket is capped.
 5. Links are confirmed on full sets, in integers: 100 * intersection >= percent * union.
@@ -45,7 +46,8 @@ class Settings:
     percent: int = 85
     bands: int = 24
     rows: int = 5
-    alike: int = 86  # slots of bands * rows that must agree for a pair to be verified
+    alike: int = 86  # slots of bands * rows that must agree for the first round
+    doubtful: int = 78  # and for the second
     block: int = 256
 
 
@@ -159,9 +161,15 @@ def _sets(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "members"])
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """The other columns of each run of rows that agree in the columns `names`, whose runs follow each other."""
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Each run of two rows or more that agree in the columns `names`, as one batch; the rows of a run follow each other."""
     held: list[pa.RecordBatch] = []
+
+    def out() -> Iterator[pa.RecordBatch]:
+        if sum(x.num_rows for x in held) > 1:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        held.clear()
+
     for b in batches:
         if not b.num_rows:
             continue
@@ -170,16 +178,15 @@ def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[lis
         for a, z in zip(cuts[:-1], cuts[1:], strict=True):
             part = b.slice(a, z - a)
             if held and any(held[0].column(n)[0] != part.column(n)[0] for n in names):
-                yield _joined(held, names)
-                held = []
+                yield from out()
             held.append(part)
-    if held:
-        yield _joined(held, names)
+    yield from out()
 
 
-def _joined(parts: list[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    t = pa.Table.from_batches(parts)
-    return [t.column(n).to_numpy() for n in t.column_names if n not in names]
+def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
+    """The other columns of each such run."""
+    for b in _whole_groups(batches, names):
+        yield [b.column(n).to_numpy(zero_copy_only=False) for n in b.schema.names if n not in names]
 
 
 def agreeing(sign: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -203,32 +210,56 @@ def forest(same: np.ndarray, least: int) -> list[tuple[int, int]]:
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], s: Settings, spanning: bool) -> Iterator[pa.RecordBatch]:
-    a: list[int] = []
-    b: list[int] = []
+GROUP = ["key", "size", "one", "two"]
 
-    def out() -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-        a.clear(), b.clear()
-        return made
 
-    for node, comp, sign in _groups(batches, ["key", "size", "one", "two"]):
-        if len(node) < 2:
-            continue
+def _candidates(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Of each group the pairs of a spanning forest of the most alike: fewer than its rows."""
+    for node, sign in _groups(batches, GROUP):
         own = np.frombuffer(b"".join(sign), np.uint8).reshape(len(node), -1)
+        if pairs := forest(agreeing(own, own), s.alike):
+            x, y = node[[i for i, _ in pairs]], node[[k for _, k in pairs]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
+
+
+def _open(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    """Of each group the rows that may have a link out of their component."""
+    names = [*GROUP, "id", "comp"]
+    for batch in _whole_groups(batches, GROUP):
+        comp = batch.column("comp").to_numpy()
+        own = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint8).reshape(len(comp), -1)
         same = agreeing(own, own)
         same[comp[:, None] == comp[None, :]] = -1
-        if spanning:
-            pairs = forest(same, s.alike)
-        else:
-            pairs = list(zip(*np.nonzero(np.triu(same >= s.alike, 1)), strict=True))
-        for i, k in pairs:
-            x, y = int(node[i]), int(node[k])
-            a.append(max(x, y))
-            b.append(min(x, y))
-        if len(a) > 20_000:
-            yield out()
-    yield out()
+        yield batch.select(names).filter(pa.array((same >= s.doubtful).any(1)))
+
+
+def exact_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets that join all components that any of their links joins; the sets hold sorted 64-bit hashes."""
+    size = np.array([len(x) for x in sets])
+    every, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(seen > 1) - 1  # what one set has alone is in no intersection
+    own, row = seen[at] > 1, np.repeat(np.arange(len(sets)), size)
+    width = -(-(int(rank[-1]) + 1) // 64) if len(rank) else 0
+    bits = np.zeros((len(sets), max(width, 1)), np.uint64)
+    place = rank[at[own]]
+    np.bitwise_or.at(bits, (row[own], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
+    comp, out = comp.copy(), []
+    for i in range(len(sets) - 1):
+        near = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])))
+        if len(near):
+            both = np.bitwise_count(bits[near] & bits[i]).sum(1, dtype=np.int64)
+            for k in near[100 * both >= percent * (size[i] + size[near] - both)]:
+                if comp[k] != comp[i]:
+                    out.append((i, int(k)))
+                    comp[comp == comp[k]] = comp[i]
+    return out
+
+
+def _linked(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
+    for node, comp, members in _groups(batches, GROUP):
+        if pairs := exact_links([np.frombuffer(x, np.uint64) for x in members], comp, s.percent):
+            x, y = node[[i for i, _ in pairs]], node[[k for _, k in pairs]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y))], names=["a", "b"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -311,18 +342,21 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     texts = docs.join(ids.hint("shuffle_hash"), docs.doc_id == ids.id).select("id", "text").distinct()
     sets = scratch.keep(texts.mapInArrow(lambda it: _sets(it, s), "id long, members binary"), "sets")
 
-    def confirmed(rows: DataFrame, spanning: bool) -> DataFrame:
-        rows = rows.select("key", "size", "one", "two", "id", "comp", "sign").repartition("key", "size", "one", "two").sortWithinPartitions("key", "size", "one", "two")
-        pairs = rows.mapInArrow(lambda it: _candidates(it, s, spanning), "a long, b long").distinct()
-        pairs = pairs.join(sets.withColumnsRenamed({"id": "a", "members": "ours"}), "a").join(sets.withColumnsRenamed({"id": "b", "members": "theirs"}), "b")
-        return pairs.select("a", "b", "ours", "theirs").mapInArrow(lambda it: _confirm(it, s.percent), "a long, b long")
+    def grouped(df: DataFrame) -> DataFrame:
+        return df.repartition(*GROUP).sortWithinPartitions(*GROUP)
+
+    pairs = grouped(rows.select(*GROUP, "id", "sign")).mapInArrow(lambda it: _candidates(it, s), "a long, b long").distinct()
+    pairs = pairs.join(sets.withColumnsRenamed({"id": "a", "members": "ours"}), "a").join(sets.withColumnsRenamed({"id": "b", "members": "theirs"}), "b")
+    sure = pairs.select("a", "b", "ours", "theirs").mapInArrow(lambda it: _confirm(it, s.percent), "a long, b long")
+    found = components(sure, scratch, "one")
 
-    found = components(confirmed(rows.withColumn("comp", F.col("id")), True), scratch, "one")
     known = found.select(F.col("a").alias("id"), F.col("b").alias("root"))
     marked = rows.join(known, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    mixed = marked.groupBy("key", "size", "one", "two").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").drop("x", "y")
-    more = confirmed(marked.join(mixed, ["key", "size", "one", "two"]), False)
-    final = components(more.union(found), scratch, "two")
+    mixed = marked.groupBy(*GROUP).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").drop("x", "y")
+    marked = grouped(marked.join(mixed, GROUP).select(*GROUP, "id", "comp", "sign"))
+    doubtful = marked.mapInArrow(lambda it: _open(it, s), "key long, size int, one int, two int, id long, comp long")
+    doubtful = grouped(doubtful.join(sets, "id").select(*GROUP, "id", "comp", "members"))
+    final = components(doubtful.mapInArrow(lambda it: _linked(it, s), "a long, b long").union(found), scratch, "two")
 
     named = classes.select("digest", "id").join(final.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left")
     named = named.select("digest", F.coalesce("root", "id").alias("found"))
