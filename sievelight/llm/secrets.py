@@ -235,7 +235,7 @@ def find(docs: DataFrame, s: Settings = Settings(), forest: list | None = None)
     some = docs.select("doc_id", "text").where(F.size(_tokens(F.col("text"))) > 0)  # one pass; the rest is for the few that have candidates
     found = some.select("doc_id", "text", scanned(some, s, forest).alias("found"))
     found = found.select("doc_id", "found", F.transform(F.split("text", CANDIDATE, -1), lambda p: F.length(p)).alias("gaps"))
-    rows = found.select("doc_id", "found", "gaps", F.posexplode("found").alias("i", "one")).where(F.col("one.score") >= s.least)
+    rows = found.select("doc_id", "found", "gaps", F.posexplode_outer("found").alias("i", "one")).where(F.col("one.score") >= s.least)
     add = lambda a, x: a + x
     before = F.aggregate(F.slice("gaps", F.lit(1), F.col("i") + 1), F.lit(0), add)
     before += F.aggregate(F.transform(F.slice("found", F.lit(1), F.col("i")), lambda x: F.length(x["token"])), F.lit(0), add)
