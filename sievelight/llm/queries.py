@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, mixing, neardup, ogg, packing, secrets
+from . import chunks, langid, mixing, neardup, ogg, packing, secrets
 from .common import table
 
 
@@ -28,10 +28,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find(table(spark, sf_dir, "documents"))
 
 
+def op7_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_chunk_fingerprints, op8_language_id)}
 
 ORACLES: dict[str, str] = {}
