@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, extract, langid, mixing, neardup, ogg, packing, pii, secrets
+from . import chunks, extract, langid, licenses, mixing, neardup, ogg, packing, pii, secrets
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licences(table(spark, sf_dir, "documents"))
+
+
 def op3_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.media_columns(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,9 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_chunk_fingerprints, op8_language_id, op9_html_extraction, op10_pii_pseudonyms)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_packing, op2_license_scan, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_chunk_fingerprints, op8_language_id, op9_html_extraction, op10_pii_pseudonyms)
+}
 
 ORACLES: dict[str, str] = {}
