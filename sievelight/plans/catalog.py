@@ -1,6 +1,15 @@
-"""Queries over the test tables, with the SQL that gives the same rows."""
+"""All queries over the test tables, with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from . import line_queries, syntax_queries
+
+QUERIES = line_queries.QUERIES | syntax_queries.QUERIES
+ORACLES = line_queries.ORACLES | syntax_queries.ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of every file by severity."""
+    return QUERIES["severity_summary"](spark, sf_dir)
