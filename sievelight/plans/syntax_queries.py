@@ -1,4 +1,163 @@
-"""Queries over syntax facts."""
+"""Queries over syntax facts. The modules' templates are known, so the SQL states the facts of each template."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators import findings as O
+from ..operators import fixpoint, refactor
+from ..operators import syntax as S
+from ..sources import corpus as C
+from ..sources import sinks
+from ..sources.corpus import quoted as q
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return put
+
+
+def stated(columns: str, rows: list[tuple]) -> str:
+    """SQL of rows (template, values): each for every event of its template; {n} in a text is the event's number."""
+    names = columns.split()
+    value = lambda v: q(v) if isinstance(v, str) else f"CAST({v} AS BIGINT)"
+    body = ", ".join(f"({k}, " + ", ".join(map(value, r)) + ")" for k, *r in rows)
+    shown = ", ".join(f"replace(t.{c}, '{{n}}', CAST(event_id AS VARCHAR)) AS {c}" if isinstance(rows[0][i + 1], str) else f"t.{c} AS {c}" for i, c in enumerate(names))
+    return f"SELECT 'm' || event_id || '.py' AS path, {shown} FROM events JOIN (VALUES {body}) t(kind, {', '.join(names)}) ON event_id % {len(C.MODULES)} = t.kind"
+
+
+def facts(spark, d) -> DataFrame:
+    return S.facts(C.modules(spark, d))
+
+
+#: function, line, cyclomatic, cognitive, max_nesting, params, lines, n_issues, refactor_priority of the templates' functions
+_SHAPES = [
+    (0, "plain_{n}", 1, 1, 0, 0, 2, 2, 0, "ok"), (1, "branchy_{n}", 1, 9, 18, 5, 6, 10, 3, "high"), (2, "read_{n}", 3, 1, 0, 0, 0, 4, 0, "ok"), (3, "clean_{n}", 1, 1, 0, 0, 0, 4, 0, "ok"), (4, "half_{n}", 1, 2, 1, 1, 1, 5, 0, "ok"),
+    (5, "helper_{n}", 1, 1, 0, 0, 1, 2, 0, "ok"), (5, "use_{n}", 4, 1, 0, 0, 0, 3, 0, "ok"), (7, "get", 4, 2, 1, 1, 2, 5, 0, "ok"), (8, "loop_{n}", 1, 3, 2, 1, 1, 11, 0, "ok"),
+]
+_SHAPE = stated("function line cyclomatic cognitive max_nesting params lines n_issues refactor_priority", _SHAPES)
+
+
+@query(f"SELECT path, function, cyclomatic FROM ({_SHAPE})")
+def complexity_cyclomatic(spark, d):
+    return S.complexity(facts(spark, d)).select("path", "function", "cyclomatic")
+
+
+@query(f"SELECT path, function, cognitive FROM ({_SHAPE})")
+def complexity_cognitive(spark, d):
+    return S.complexity(facts(spark, d)).select("path", "function", "cognitive")
+
+
+@query(f"SELECT path, function, max_nesting, params, lines FROM ({_SHAPE})")
+def complexity_shape(spark, d):
+    return S.complexity(facts(spark, d)).select("path", "function", "max_nesting", "params", "lines")
+
+
+@query(f"SELECT path, function, n_issues, refactor_priority FROM ({_SHAPE})")
+def complexity_priority(spark, d):
+    return S.complexity(facts(spark, d)).select("path", "function", "n_issues", "refactor_priority")
+
+
+@query(stated("function param", [(0, "plain_{n}", 0), (0, "plain_{n}", 1), (1, "branchy_{n}", 4), (5, "helper_{n}", 0), (7, "get", 0)]))
+def fn_summary(spark, d):
+    return S.fn_summary(facts(spark, d))
+
+
+@query(stated("node", [(2, "read_{n}:name"), (2, "read_{n}:cmd"), (3, "clean_{n}:name"), (4, "half_{n}:v"), (5, "helper_{n}:p"), (5, "helper_{n}:<return>"), (5, "use_{n}:t"), (8, "loop_{n}:q")]))
+def taint_interproc(spark, d):
+    return S.tainted_names(facts(spark, d))
+
+
+_TAINT = [(2, 6, "TAINT-CWE_78", "high", "CWE-78", "os.system"), (3, 4, "TAINT-CWE_89", "critical", "CWE-89", "cursor.execute"), (4, 5, "TAINT-CWE_89", "critical", "CWE-89", "cursor.execute"), (5, 6, "TAINT-CWE_95", "critical", "CWE-95", "eval"), (8, 5, "TAINT-CWE_89", "critical", "CWE-89", "cursor.execute")]
+_FLOW = [(2, 6, "DFLOW-CWE_78", "high", "CWE-78", "system"), (4, 5, "DFLOW-CWE_89", "critical", "CWE-89", "execute"), (5, 6, "DFLOW-CWE_95", "critical", "CWE-95", "eval"), (8, 5, "DFLOW-CWE_89", "critical", "CWE-89", "execute")]
+
+
+@query(stated("line_no rule_id severity cwe snippet", _TAINT))
+def taint_findings(spark, d):
+    return S.taint_findings(facts(spark, d)).select("path", "line_no", "rule_id", "severity", "cwe", "snippet")
+
+
+@query(stated("line_no rule_id severity cwe snippet", _FLOW))
+def dataflow_findings(spark, d):
+    return S.dataflow_findings(facts(spark, d)).select("path", "line_no", "rule_id", "severity", "cwe", "snippet")
+
+
+@query(f"WITH t AS ({stated('line_no rule_id severity cwe snippet', _TAINT)}), f AS ({stated('line_no rule_id severity cwe snippet', _FLOW)}), e AS (SELECT *, 'taint' AS source FROM t UNION ALL SELECT *, 'dataflow' FROM f) SELECT path, line_no, cwe, arg_max(rule_id, source) AS rule_id, CASE WHEN count(*) > 1 THEN 'confirmed' ELSE 'medium' END AS confidence FROM e GROUP BY path, line_no, cwe")
+def merged_syntax(spark, d):
+    own = facts(spark, d)
+    return O.merged(S.taint_findings(own), S.dataflow_findings(own)).select("path", "line_no", "cwe", "rule_id", "confidence")
+
+
+@query(stated("scope name n_args", [(2, "read_{n}", "os.system", 1), (3, "clean_{n}", "cursor.execute", 1), (4, "half_{n}", "cursor.execute", 1), (5, "use_{n}", "eval", 1), (8, "loop_{n}", "cursor.execute", 1)]))
+def sink_calls(spark, d):
+    """Calls whose last name is a sink's: an equi-join with the table of sinks."""
+    from ..functions import dims
+
+    sinks_ = spark.createDataFrame([(k,) for k in dims.FLOW_SINKS], "sink string")
+    calls = facts(spark, d).where("kind = 'call'").withColumn("sink", F.substring_index("name", ".", -1))
+    return calls.join(F.broadcast(sinks_), "sink").select("path", "scope", "name", F.col("a").alias("n_args"))
+
+
+@query(stated("scope src dst", [(4, "half_{n}", 0, 1), (4, "half_{n}", 1, 2), (4, "half_{n}", 1, 3), (4, "half_{n}", 2, 3)]))
+def cfg_edges(spark, d):
+    own = C.modules(spark, d).where("kind = 4")
+    return S.facts(own).where("kind = 'cfg'").select("path", "scope", F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 7 % 500 + 1 AS dst FROM part), r(node) AS (SELECT CAST(p_partkey AS BIGINT) FROM part WHERE p_partkey < 4 UNION SELECT CAST(e.dst AS BIGINT) FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
+def dataflow_fixpoint(spark, d):
+    k = F.col("p_partkey")
+    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey")
+    return fixpoint.closure(part.select(k.alias("src"), (k * 7 % 500 + 1).alias("dst")), part.where("p_partkey < 4").select(k.alias("node")))
+
+
+@query(stated("line_no sink cwe", [(2, 6, "os.system", "CWE-78"), (5, 6, "eval", "CWE-95")]))
+def legacy_taint(spark, d):
+    return S.facts(C.modules(spark, d)).where("kind = 'legacy'").select("path", F.col("line").alias("line_no"), F.col("name").alias("sink"), F.col("text").alias("cwe"))
+
+
+@query(stated("functions classes imports loc purpose function_names", [(0, 1, 0, 0, 2, "library", "plain_{n}"), (1, 1, 0, 0, 10, "library", "branchy_{n}"), (2, 1, 0, 1, 6, "library", "read_{n}"), (3, 1, 0, 0, 4, "library", "clean_{n}"), (4, 1, 0, 0, 5, "library", "half_{n}"), (5, 2, 0, 0, 6, "library", "helper_{n},use_{n}"), (7, 1, 1, 1, 11, "script", "get"), (8, 1, 0, 0, 11, "library", "loop_{n}")]))
+def explain_files(spark, d):
+    return S.explain_files(facts(spark, d)).drop("import_names")
+
+
+@query(stated("function params returns raises calls", [(0, "plain_{n}", "a, b", "", "", ""), (1, "branchy_{n}", "a, b, c, d, e, f", "", "", "range"), (2, "read_{n}", "", "", "", "os.system,request.args.get"), (3, "clean_{n}", "", "", "", "cursor.execute,int,request.args.get"), (4, "half_{n}", "flag", "", "", "cursor.execute,escape,input"), (5, "helper_{n}", "p", "", "", "p.strip"), (5, "use_{n}", "", "", "", "eval,helper_{n},input"), (7, "get", "key: str = 'k'", "str", "KeyError", "lookup"), (8, "loop_{n}", "items", "", "", "cursor.execute,input,len")]))
+def describe_functions(spark, d):
+    return S.describe_functions(facts(spark, d))
+
+
+@query(f"SELECT rule, category, count(*) AS n FROM ({stated('rule category', [(7, 'eq-none', 'idiom'), (8, 'len-gt0', 'idiom')])}) GROUP BY rule, category")
+def refactor_by_category(spark, d):
+    return refactor.changes(C.modules(spark, d), 2).groupBy("rule", "category").agg(F.count("*").alias("n"))
+
+
+@query()
+def docstring_stubs(spark, d):
+    return refactor.documented(C.modules(spark, d))
+
+
+@query(f"WITH s AS ({_SHAPE}) SELECT path, line AS line_no, 'COMPLEXITY' AS rule_id, CASE refactor_priority WHEN 'high' THEN 'medium' ELSE 'low' END AS severity, 'complexity' AS kind FROM s WHERE n_issues > 0 UNION ALL SELECT path, line_no, rule_id, severity, 'finding' FROM ({stated('line_no rule_id severity cwe snippet', _TAINT)})")
+def ide_union(spark, d):
+    own = facts(spark, d)
+    none = spark.createDataFrame([], "path string, line_no long, rule_id string, severity string")
+    return sinks.ide_union(S.taint_findings(own), none, S.complexity(own))
+
+
+@query(f"SELECT (SELECT count(*) FROM ({stated('line_no rule_id severity cwe snippet', _TAINT)})) + (SELECT count(*) FROM ({_SHAPE}) WHERE n_issues > 0) AS total")
+def project_totals(spark, d):
+    return ide_union(spark, d).agg(F.count("*").alias("total"))
+
+
+@query(f"WITH t AS ({stated('line_no rule_id severity cwe snippet', _TAINT)}), p AS (SELECT path, sum(CASE severity WHEN 'critical' THEN 25 ELSE 12 END) AS p FROM t GROUP BY path) SELECT 'm' || event_id || '.py' AS path, CAST(100 - coalesce(p, 0) - CASE event_id % 9 WHEN 1 THEN 3 ELSE 0 END AS BIGINT) AS score, CASE WHEN coalesce(p, 0) <= 10 THEN 'A' WHEN coalesce(p, 0) <= 25 THEN 'B' ELSE 'C' END AS grade FROM events LEFT JOIN p ON p.path = 'm' || event_id || '.py'")
+def file_score_syntax(spark, d):
+    own = facts(spark, d)
+    return O.file_score(C.modules(spark, d), S.taint_findings(own), S.complexity(own))
