@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,12 +96,13 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: float) -> np.ndarray:
     return taken
 
 
-def _fitted(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("size", ignore_index=True)
-    whole = int(rows["target"].iloc[0] // rows["source_size"].iloc[0])
-    rows["whole"] = whole
-    rows["more"] = fit(rows["size"].to_numpy(), rows["n"].to_numpy(), float(rows["target"].iloc[0]) - whole * int(rows["source_size"].iloc[0]))
-    return rows[["source", "size", "whole", "more"]]
+def _fitted(rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("size")
+    target, words = rows.column("target")[0].as_py(), rows.column("source_size")[0].as_py()
+    whole = int(target // words)
+    more = fit(rows.column("size").to_numpy(), rows.column("n").to_numpy(), target - whole * words)
+    out = rows.select(["source", "size"]).append_column("whole", pa.array([whole] * len(more), pa.int64()))
+    return out.append_column("more", pa.array(more, pa.int64()))
 
 
 def mix(docs: DataFrame, s: Settings = Settings(), keep: Scratch | None = None) -> DataFrame:
@@ -115,7 +116,7 @@ def mix(docs: DataFrame, s: Settings = Settings(), keep: Scratch | None = None)
     shares = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), s)
     shares = scratch.keep(shares.withColumn("_source", known).drop("source"), "shares")
     rows = counts.where("size > 0").withColumn("_source", known).join(shares, "_source").select(F.col("_source").alias("source"), "size", "n", "source_size", "target")
-    fitted = rows.groupBy("source").applyInPandas(_fitted, "source string, size long, whole long, more long")
+    fitted = rows.groupBy("source").applyInArrow(_fitted, "source string, size long, whole long, more long")
     fitted = scratch.keep(fitted.withColumnRenamed("source", "_source").withColumnRenamed("size", "_size"), "fitted")
     order = F.xxhash64(F.lit(s.seed), "doc_id")
     ranked = numbered(sized.withColumn("_source", known).withColumn("_size", F.col("size")), ["_source", "_size"], order, [F.col("doc_id")], "_rank")
