@@ -121,7 +121,7 @@ def superminhash(sets: list[np.ndarray], m: int) -> np.ndarray:
         keep = going[doc]
         if order is None:
             element, doc, pick = element[keep], doc[keep], pick[keep]
-            order = np.tile(np.arange(m, dtype=np.uint8), (len(element), 1))
+            order = np.tile(np.arange(m, dtype=np.uint8 if m <= 256 else np.uint16), (len(element), 1))
             order[np.arange(len(element)), pick] = 0
         elif keep.mean() < 0.6:
             element, doc, order = element[keep], doc[keep], order[keep]
