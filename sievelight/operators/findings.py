@@ -73,8 +73,22 @@ def sort_findings(found: DataFrame) -> DataFrame:
 
 
 def merged(*found: DataFrame) -> DataFrame:
-    """The whole chain: sources that agree confirm each other before any of them gives way."""
-    return dedupe(merge_secrets(merge_dataflow(merge_taint_over_rule(confirm_multi_source(union_detectors(*found)), same_cwe=True))))
+    """The whole chain, in one shuffle by (path, line_no): the detectors are read once, and every step is a window on it.
+
+    Sources that agree confirm each other first; taint then replaces rules of its line and weakness, data flow gives way
+    to any other source of its line and weakness, secrets to others' secrets of their line; the first of the rest stays.
+    """
+    line = Window.partitionBy("path", "line_no")
+    weakness = Window.partitionBy("path", "line_no", "cwe")
+    some = lambda cond, w: F.coalesce(F.max(cond).over(w), F.lit(False))
+    source, secret = F.col("source"), F.col("source").isin("secret-scanner", "entropy")
+    own = union_detectors(*found).repartition("path", "line_no").select(
+        "*", F.size(F.collect_set("source").over(weakness)).alias("_n"), some(source == "taint", weakness).alias("_taint"), some(source != "dataflow", weakness).alias("_other")
+    )
+    own = own.withColumn("confidence", F.when(F.col("_n") >= 2, "confirmed").otherwise(F.col("confidence")))
+    own = own.where(~(F.col("_taint") & (source == "rule")) & ~(F.col("_other") & (source == "dataflow")))
+    own = own.withColumn("_secrets", some((F.col("category") == "secrets") & ~secret, line)).where(~(F.col("_secrets") & secret))
+    return dedupe(own.select(*COLUMNS))
 
 
 def owasp_coverage(found: DataFrame, catalog: DataFrame) -> DataFrame:
