@@ -64,9 +64,14 @@ LINES = (
 )
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event numbers dealt over all cores: the table is one small file, what is made of it is much work."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").repartition(spark.sparkContext.defaultParallelism)
+
+
 def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, path, language, line_no, text: one line for each event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    e = _events(spark, sf_dir)
     file_id = F.floor(F.col("event_id") / LINES_PER_FILE).cast("long")
     kind = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("file_id") % len(SUFFIXES) + 1).cast("int"))
     stem = F.when(F.col("file_id") % 11 == 0, "tests/test_f").otherwise("src/f")
@@ -119,7 +124,7 @@ MODULES = (
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, language, text, kind of a Python file for each event."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    e = _events(spark, sf_dir)
     e = _with_template(e, F.col("event_id") % len(MODULES), MODULES)
     text = F.replace(F.col("template"), F.lit("{n}"), F.col("event_id").cast("string"))
     return e.select(F.concat(F.lit("m"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"), F.col("_kind").alias("kind"))
