@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as T
+from .catalog import CURRENT
 
 COLUMNS = ("path", "line_no", "rule_id", "severity", "cwe", "category", "snippet", "confidence", "source", "seq")
 #: The order of detectors.
@@ -127,7 +128,9 @@ def suppressions(lines: DataFrame) -> DataFrame:
     """path, line_no, rule_id of inline marks; a null rule_id stands for all rules."""
     ids = F.regexp_extract("text", MARK_RULES, 1)
     some = lines.where(F.lower("text").contains("nosec") | F.lower("text").contains("sievelight"))
-    named = some.where(ids != "").select("path", "line_no", F.explode(F.split(ids, ",")).alias("rule_id")).select("path", "line_no", F.trim("rule_id").alias("rule_id"))
+    named = some.where(ids != "").select("path", "line_no", F.explode(F.split(ids, ",")).alias("rule_id"))
+    now = F.create_map(*[F.lit(x) for kv in CURRENT.items() for x in kv])
+    named = named.select("path", "line_no", F.coalesce(F.element_at(now, F.trim("rule_id")), F.trim("rule_id")).alias("rule_id"))
     every = some.where((ids == "") & F.col("text").rlike(MARK)).select("path", "line_no", F.lit(None).cast("string").alias("rule_id"))
     return named.unionByName(every)
 
@@ -147,7 +150,9 @@ def suppress_baseline(found: DataFrame, baseline: DataFrame) -> DataFrame:
 
 
 def suppress_rules(found: DataFrame, rule_ids: list[str]) -> DataFrame:
-    return found.where(~F.col("rule_id").isin(*rule_ids)) if rule_ids else found
+    """Drops findings by rule id; former ids count as the rules that now find the same."""
+    ids = [CURRENT.get(r, r) for r in rule_ids]
+    return found.where(~F.col("rule_id").isin(*ids)) if ids else found
 
 
 def suppress_globs(found: DataFrame, globs: list[str]) -> DataFrame:

@@ -101,7 +101,7 @@ def core(df: DataFrame, *more: str) -> DataFrame:
 # Sources and scalars ----------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {LINES} SELECT path, language, count(*) AS n FROM lines WHERE regexp_matches(path, '\\.(py|js|java|go|rb|php|html|yaml|sh)$') AND NOT starts_with(path, 'build/') GROUP BY ALL")
+@query(f"WITH {LINES} SELECT path, language, count(*) AS n FROM lines WHERE regexp_matches(path, '\\.(py|js|java|go|rb|php|html|yaml|sh|css|gradle)$') AND NOT starts_with(path, 'build/') GROUP BY ALL")
 def scan_filter(spark, d):
     return lines(spark, d).where(files.keep_path()).groupBy("path", "language").agg(F.count("*").alias("n"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import detect_language
 
 LINES_PER_FILE = 20
-SUFFIXES = ("py", "js", "java", "go", "rb", "php", "html", "yaml", "py", "sh")
+SUFFIXES = ("py", "js", "java", "go", "rb", "php", "html", "yaml", "py", "sh", "css", "gradle")
 
 #: Lines of code: unsafe, harmless look-alikes, in comments, suppressed, sanitised; {n} is the event's number.
 LINES = (
@@ -61,6 +61,10 @@ LINES = (
     "TODO fix security hole {n}",
     "<a href='x{n}' target='_blank'>go</a>",
     "import subprocess; subprocess.run(c{n}, shell=True)",
+    "return redirect(request.args['u{n}'])",
+    "a.c{n} { color: red !important }",
+    "implementation 'a:b{n}:1.+'",
+    "maven { url 'http://repo{n}.example.com' }",
 )
 
 
@@ -75,7 +79,7 @@ def code_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     file_id = F.floor(F.col("event_id") / LINES_PER_FILE).cast("long")
     kind = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("file_id") % len(SUFFIXES) + 1).cast("int"))
     stem = F.when(F.col("file_id") % 11 == 0, "tests/test_f").otherwise("src/f")
-    e = _with_template(e, F.col("event_id") * 7 % len(LINES), LINES)
+    e = _with_template(e, F.col("event_id") * 5 % len(LINES), LINES)
     text = F.replace(F.col("template"), F.lit("{n}"), F.col("event_id").cast("string"))
     long = F.when(F.col("event_id") % 997 == 5, F.repeat(text, 100)).otherwise(text)
     df = e.withColumn("file_id", file_id).select("file_id", (F.col("event_id") % LINES_PER_FILE + 1).cast("long").alias("line_no"), F.concat(stem, F.col("file_id").cast("string"), F.lit("."), kind).alias("path"), long.alias("text"))
@@ -100,7 +104,7 @@ def code_lines_sql() -> str:
     return f"""SELECT file_id, CASE WHEN file_id % 11 = 0 THEN 'tests/test_f' ELSE 'src/f' END || file_id || '.' || ([{", ".join(map(quoted, SUFFIXES))}])[file_id % {len(SUFFIXES)} + 1] AS path,
   ({languages})[file_id % {len(SUFFIXES)} + 1] AS language, line_no, CASE WHEN event_id % 997 = 5 THEN repeat(t, 100) ELSE t END AS text
 FROM (SELECT event_id, event_id // {LINES_PER_FILE} AS file_id, event_id % {LINES_PER_FILE} + 1 AS line_no,
-  replace(([{", ".join(map(quoted, LINES))}])[event_id * 7 % {len(LINES)} + 1], '{{n}}', CAST(event_id AS VARCHAR)) AS t FROM events)"""
+  replace(([{", ".join(map(quoted, LINES))}])[event_id * 5 % {len(LINES)} + 1], '{{n}}', CAST(event_id AS VARCHAR)) AS t FROM events)"""
 
 
 def lines_of(df: DataFrame, key: str, text: str = "text") -> DataFrame:
