@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import dims
 from .operators import detect, findings, syntax
 from .operators.catalog import Catalog
-from .operators.file_rules import file_rule_scan
+from .operators.file_rules import file_rule_scan, file_scan
 from .sources import files as F_
 from .sources import sinks
 
@@ -45,7 +45,7 @@ class Scan:
     @cached_property
     def raw_findings(self) -> DataFrame:
         o = self.options
-        parts = [syntax.taint_findings(self.facts), detect.rule_scan(self.lines, o.catalog, o.depth), file_rule_scan(self.files), detect.secret_providers(self.lines), detect.secret_entropy(self.lines)]
+        parts = [syntax.taint_findings(self.facts), file_scan(self.files, o.catalog, o.depth), file_rule_scan(self.files), detect.secret_providers(self.lines), detect.secret_entropy(self.lines)]
         if o.depth >= 2:
             parts.append(syntax.dataflow_findings(self.facts))
         return findings.merged(*parts).persist()

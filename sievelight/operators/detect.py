@@ -53,10 +53,12 @@ def _hit(rule: Rule, text: Column, low: Column, language: Column) -> Column:
     return cond if "*" in rule.languages else language.isin(*rule.languages) & cond
 
 
-def rule_scan(lines: DataFrame, catalog: Catalog | None = None, depth: int = 2, filters: bool = True, **of) -> DataFrame:
-    """Findings of (path, language, line_no, text): a row for each line and rule that match, with the rule's attributes."""
+def rule_scan(lines: DataFrame, catalog: Catalog | None = None, depth: int = 2, filters: bool = True, rules: list[tuple[int, Rule]] | None = None, **of) -> DataFrame:
+    """Findings of (path, language, line_no, text): a row for each line and rule that match, with the rule's attributes.
+
+    Lines are read one by one; `file_rules.file_scan` also finds what goes over lines. `rules` replaces the catalog's choice."""
     catalog = catalog or Catalog()
-    rules = catalog.of(depth, **of)
+    rules = catalog.of(depth, **of) if rules is None else rules
     lines = lines.select("path", "language", "line_no", T.long_line_guard("text").alias("text")).where(F.trim("text") != "")
     if filters:
         lines = lines.where(~is_comment(F.col("text")) & ~is_definition(F.col("text")))

@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import detect as D
 from ..operators import findings as O
 from ..operators.catalog import Catalog, Rule
+from ..operators.file_rules import file_scan
 from ..sources import corpus as C
 from ..sources import files, sinks
 from ..sources.corpus import quoted as q
@@ -234,6 +235,19 @@ def rule_scan(spark, d):
     return core(found(spark, d), "owasp", "snippet", "confidence")
 
 
+#: template, line, column, rule and snippet of what is found in `corpus.CALLS`
+_CALLS = [
+    (0, 2, 0, "INJ-CMD-001", "subprocess.run("), (2, 1, 4, "SSRF-001", "r = requests.get("), (3, 3, 0, "INJ-EVAL-001", "eval(a)"), (4, 1, 16, "INJ-CMD-003", "const p = child.exec("),
+    (6, 1, 4, "DES-YAML-001", "d = yaml.load(f{n})"), (7, 4, 0, "HTML-IFRAME-SANDBOX-001", "<iframe src=b>"),
+]
+
+
+@query("SELECT 'c' || event_id || '.' || suffix AS path, CAST(line_no AS BIGINT) AS line_no, CAST(col AS INT) AS col, rule_id, replace(snippet, '{n}', CAST(event_id AS VARCHAR)) AS snippet FROM events JOIN (VALUES " + ", ".join(f"({k}, {q(C.CALLS[k][0])}, {n}, {col}, {q(r)}, {q(s)})" for k, n, col, r, s in _CALLS) + f") t(kind, suffix, line_no, col, rule_id, snippet) ON event_id % {len(C.CALLS)} = t.kind")
+def rule_scan_files(spark, d):
+    """The scan of whole files, whose calls go over lines."""
+    return file_scan(C.calls(spark, d), CATALOG).select("path", "line_no", "col", "rule_id", "snippet")
+
+
 def _family(name: str, **of) -> None:
     def run(spark, d):
         return core(found(spark, d, **of))

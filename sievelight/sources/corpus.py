@@ -132,3 +132,24 @@ def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _with_template(e, F.col("event_id") % len(MODULES), MODULES)
     text = F.replace(F.col("template"), F.lit("{n}"), F.col("event_id").cast("string"))
     return e.select(F.concat(F.lit("m"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"), F.col("_kind").alias("kind"))
+
+
+#: Whole files of several languages whose calls go over lines, one for each event: suffix, text. What the rules find in them is known by construction.
+CALLS = (
+    ("py", "import subprocess\nsubprocess.run(\n    c{n},\n    shell=True,\n)\n"),
+    ("py", "d = yaml.load(\n    f{n},\n    Loader=SafeLoader,\n)\n"),
+    ("py", "r = requests.get(\n    url_{n},\n    timeout=3,\n)\n"),
+    ("py", "q{n} = 1\n\neval(a)\n"),
+    ("js", "const p = child.exec(\n  'ls ' +\n  d{n});\n"),
+    ("py", "# subprocess.run(\n#    c{n}, shell=True)\nx = 1\n"),
+    ("py", "d = yaml.load(f{n})\n"),
+    ("html", "<iframe\n  src=a{n}\n  sandbox>\n<iframe src=b>\n"),
+)
+
+
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, language, text of a file for each event."""
+    e = _with_template(_events(spark, sf_dir), F.col("event_id") % len(CALLS), tuple(t for _, t in CALLS))
+    text = F.replace(F.col("template"), F.lit("{n}"), F.col("event_id").cast("string"))
+    suffix = F.element_at(F.array(*[F.lit(s) for s, _ in CALLS]), (F.col("_kind") + 1).cast("int"))
+    return e.select(F.concat(F.lit("c"), F.col("event_id").cast("string"), F.lit("."), suffix).alias("path"), text.alias("text")).select("path", detect_language("path").alias("language"), "text")

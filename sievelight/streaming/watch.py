@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog
-from ..operators.detect import rule_scan
-from ..sources.files import to_lines
+from ..operators.file_rules import file_scan
 
 EDITS = "path string, language string, text string, version long, at timestamp"
 
@@ -21,7 +20,7 @@ def edits(spark: SparkSession, folder: str, schema: str = EDITS, most_files: int
 
 def scan_stream(stream: DataFrame, catalog: Catalog | None = None) -> DataFrame:
     """Findings of each file that arrives; the scan is stateless, so the same plan as the batch one."""
-    return rule_scan(to_lines(stream), catalog)
+    return file_scan(stream, catalog)
 
 
 def debounced(stream: DataFrame, gap: str = "800 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -37,5 +36,5 @@ def latest_only(batch: DataFrame) -> DataFrame:
 
 def watch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, catalog: Catalog | None = None):
     """Runs the scan on each batch's latest versions; `sink(findings, batch_id)` must be idempotent by batch."""
-    writer = stream.writeStream.foreachBatch(lambda df, i: sink(rule_scan(to_lines(latest_only(df)), catalog), i)).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda df, i: sink(file_scan(latest_only(df), catalog), i)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
