@@ -1,14 +1,14 @@
-"""Licence scans: a trained classifier of paragraphs, its predictions confirmed against templates.
+"""Licence scans: templates found in paragraphs, confirmed by a trained classifier.
 
-A paragraph is a line; one of more than `Settings.window` words is read in overlapping windows. Its features are hashed
-n-grams of one to three words, kept sparse. A softmax regression over licence families and an unknown class is trained on the
-driver, by stochastic gradient descent, on paragraphs made by rule from the templates (cut, and set among other words)
-and on others that share words with them. Held-out paragraphs calibrate its temperature and the least score of
-a family, so that the unknown class takes what is unsure. A prediction counts only if a template of the family is found in the
-paragraph: the share of the template's word triples that the paragraph holds is at least `Settings.cover`, for
-one of at most eight words all of them but one.
+A paragraph is a run of lines that hold a word, whatever marks of comments stand before it. A template is found in it where the
+share of the template's word triples in one place is at least `Settings.cover`, for one of at most eight words all of them but
+one; line ends and words in between don't matter. What is found counts only if the classifier gives that place to the template's
+family. The classifier's features are hashed n-grams of one to three words, kept sparse. A softmax regression over licence families
+and an unknown class is trained on the driver, by stochastic gradient descent, on paragraphs made by rule from the templates (cut, and
+set among other words) and on others that share words with them. Held-out paragraphs calibrate its temperature and the
+least score of a family, so that the unknown class takes what is unsure.
 
-Every template has one of `CUES`; paragraphs without any are unknown without being scored (a test checks that).
+Paragraphs without any of `cues` are passed over: those follow from what confirms a template, so no template can be found there.
 
 Defined cases: null and empty texts have no findings; whole texts are read; equal rows give equal rows; a null id stays null; extra
 columns are ignored; an empty table gives an empty table.
@@ -16,6 +16,7 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import zlib
@@ -110,6 +111,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "confidential and proprietary unauthorized copying of this file is strictly prohibited",
     ),
 }
+#: Words that complete templates hold. What the scan passes over follows from `cues`, not from these.
 CUES = ("licens", "licenc", "copyright", "rights reserved", "public domain", "permission", "redistribut", "proprietary", "free software", "endorse or promote", "gpl")
 #: Sentences that share words with licences but grant nothing, and words to set around.
 OTHERS = (
@@ -221,43 +223,109 @@ def triples(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
 
 
-_TEMPLATES = {f: [(words_of(t), triples(words_of(t))) for t in ts] for f, ts in TEMPLATES.items()}
-
-
-def confirmed(family: str, words: list[str], s: Settings) -> tuple[int, float]:
-    """The family's template that the words cover best, and the covered share of its triples; (-1, 0.0) if none is covered enough."""
-    have, best = triples(words), (-1, 0.0)
-    for i, (_, own) in enumerate(_TEMPLATES[family]):
-        share = len(own & have) / len(own)
-        need = (len(own) - 1) / len(own) if 1 < len(own) <= 6 else 1.0 if len(own) == 1 else s.cover
-        if share >= need and share > best[1]:
-            best = (i, share)
-    return best
+#: Family and triples of each template, with its number in the family; the templates of each triple.
+_TEMPLATES = [(f, i, triples(words_of(t))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+_HOLDERS: dict[tuple[str, ...], list[int]] = {}
+for _k, (_, _, _own) in enumerate(_TEMPLATES):
+    for _t in _own:
+        _HOLDERS.setdefault(_t, []).append(_k)
+
+
+def needed(own: set[tuple[str, ...]], cover: float) -> int:
+    """How many of a template's triples confirm it."""
+    n = len(own)
+    return n - 1 if 1 < n <= 6 else n if n == 1 else math.ceil(cover * n - 1e-9)
+
+
+def cues(cover: float) -> tuple[str, ...]:
+    """Words of which every confirmed text holds one: fewer triples of each template go without than confirm it."""
+    out: list[str] = []
+    common = {*FILLER, *"this is you it a an or be may not no any are".split()}
+    for _, _, own in _TEMPLATES:
+        most = needed(own, cover) - 1
+        while len(bare := [t for t in own if not any(c in w for w in t for c in out)]) > most:
+            words = sorted({w for t in bare for w in t})
+            out.append(min(words, key=lambda w: (w in common or len(w) < 2, -sum(w in t for t in bare), -len(w), w)))
+    return tuple(out)
+
+
+CUES_OF = {Settings.cover: cues(Settings.cover)}
+
+
+def covered(words: list[str], s: Settings) -> list[tuple[int, int, int, int]]:
+    """(first word, word after the last, template, covered triples) of each place where a template is covered enough.
+
+    Triples of a template belong to one place as long as none repeats, they are at most half a window apart, and fit a window.
+    """
+    open_: dict[int, list] = {}
+    found = []
+
+    def close(k: int) -> None:
+        first, last, seen = open_.pop(k)
+        if len(seen) >= needed(_TEMPLATES[k][2], s.cover):
+            found.append((first, last + 3, k, len(seen)))
+
+    for at, t in enumerate(zip(words, words[1:], words[2:], strict=False)):
+        for k in _HOLDERS.get(t, ()):
+            if k in open_ and (t in open_[k][2] or at - open_[k][1] > s.window // 2 or at + 3 - open_[k][0] > s.window):
+                close(k)
+            if k in open_:
+                open_[k][1] = at
+                open_[k][2].add(t)
+            else:
+                open_[k] = [at, at, {t}]
+    for k in list(open_):
+        close(k)
+    return found
+
+
+def confirmed(words: list[str], model: Model) -> list[tuple[int, int, int, float, float]]:
+    """(first word, word after the last, template, covered share, score) of the places that the classifier gives to their template's family.
+
+    Of places that overlap the one with the greatest product of covered triples and share stays.
+    """
+    said = []
+    for a, b, k, n in covered(words, model.s):
+        family, score = model.predict(words[a:b])
+        if family == _TEMPLATES[k][0]:
+            said.append((a, b, k, n / len(_TEMPLATES[k][2]), score, n))
+    kept: list[tuple[int, int, int, float, float]] = []
+    for a, b, k, share, score, _ in sorted(said, key=lambda x: (-x[3] * x[5], x[1] - x[0], x[0], x[2])):
+        if all(b <= y[0] or a >= y[1] for y in kept):
+            kept.append((a, b, k, share, score))
+    return sorted(kept)
+
+
+def parts(text: str) -> Iterator[tuple[int, str]]:
+    """(start, text) of the paragraphs: runs of lines that hold a word."""
+    at, first = 0, -1
+    for line in text.split("\n"):
+        if _WORD.search(line):
+            first = at if first < 0 else first
+        elif first >= 0:
+            yield first, text[first : at - 1]
+            first = -1
+        at += len(line) + 1
+    if first >= 0:
+        yield first, text[first:]
 
 
 def scan(text: str, model: Model) -> list[tuple[int, int, str, float, int, float]]:
-    """(start, length, family, score, template, cover) of each paragraph or window under a licence."""
+    """(start, length, family, score, template, cover) of each place under a licence, from the template's first word in it to its last."""
+    some = CUES_OF.get(model.s.cover) or CUES_OF.setdefault(model.s.cover, cues(model.s.cover))
     low = text.lower()
-    if not any(c in low for c in CUES):
+    if not any(c in low for c in some):
         return []
-    out, at = [], 0
-    for line in text.split("\n"):
-        low = line.lower()
-        if any(c in low for c in CUES):
-            spans = [(m.start(), m.end()) for m in _WORD.finditer(line)]
-            step = model.s.window // 2
-            last = None
-            for a in range(0, max(1, len(spans) - step), step):
-                part = spans[a : a + model.s.window]
-                words = [line[i:j].lower() for i, j in part]
-                family, score = model.predict(words) if words else (UNKNOWN, 0.0)
-                if family == UNKNOWN:
-                    continue
-                template, cover = confirmed(family, words, model.s)
-                if template >= 0 and (family, template) != last:
-                    out.append((at + part[0][0], part[-1][1] - part[0][0], family, round(score, 6), template, round(cover, 6)))
-                last = (family, template) if template >= 0 else None
-        at += len(line) + 1
+    out = []
+    for at, part in parts(text):
+        low = part.lower()
+        if not any(c in low for c in some):
+            continue
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(part)]
+        words = [part[i:j].lower() for i, j in spans]
+        for a, b, k, share, score in confirmed(words, model):
+            family, template, _ = _TEMPLATES[k]
+            out.append((at + spans[a][0], spans[b - 1][1] - spans[a][0], family, round(score, 6), template, round(share, 6)))
     return out
 
 
@@ -274,6 +342,6 @@ def _found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
 
 
 def licences(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """A row for each paragraph under a licence: doc_id, its place (code points from 0), family, score, template, cover."""
+    """A row for each licence notice: doc_id, its place (code points from 0), family, score, template, cover."""
     shared = docs.sparkSession.sparkContext.broadcast(model or train())
     return docs.select("doc_id", "text").mapInArrow(lambda it: _found(it, shared.value), ROWS)
