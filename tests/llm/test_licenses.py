@@ -1,5 +1,8 @@
 """Licence notices as files have them: wrapped, behind marks of comments, one after another."""
 
+import itertools
+import random
+
 from sievelight.llm import licenses
 
 BSD = """# Copyright (c) 2020, Someone
@@ -41,3 +44,20 @@ def test_every_wrapping_of_every_template():
                 w = t.split()
                 text = "\n".join("  # " + " ".join(w[i : i + width]) for i in range(0, len(w), width))
                 assert [x[2] for x in licenses.scan(text, model)] == [family], (t, width)
+
+
+def test_cues_follow_from_the_confirmation():
+    """No set of triples that confirms a template does without a cue."""
+    model, s = licenses.train(), licenses.Settings()
+    words = licenses.cues(s.cover)
+    for _, _, own in licenses._TEMPLATES:
+        bare = [t for t in own if not any(c in w for w in t for c in words)]
+        assert len(bare) < licenses.needed(own, s.cover)
+    rng = random.Random(1)
+    for family, i, own in licenses._TEMPLATES:
+        w = licenses.words_of(licenses.TEMPLATES[family][i])
+        for a, b in itertools.combinations(range(len(w) + 1), 2):
+            if rng.random() < 0.3 and b - a > 2 and licenses.covered(w[a:b], s):
+                assert any(c in " ".join(w[a:b]) for c in words), w[a:b]
+    for text, family in (("Text available under CC BY 4.0", "CC-BY"), ("Unauthorized copying of this file is strictly prohibited", "proprietary")):
+        assert [x[2] for x in licenses.scan(text, model)] == [family]
