@@ -113,6 +113,21 @@ def cfg_edges(spark, d):
     return S.facts(own).where("kind = 'cfg'").select("path", "scope", F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
+#: template, scope, node, next node: the edges of all templates. Nodes count a body's statements from 0, nested ones in their order; a return or raise has no next.
+_EDGES = [
+    (1, "branchy_{n}", 0, 1), (1, "branchy_{n}", 0, 6), (1, "branchy_{n}", 1, 2), (1, "branchy_{n}", 1, 8), (1, "branchy_{n}", 2, 1), (1, "branchy_{n}", 2, 3), (1, "branchy_{n}", 3, 1), (1, "branchy_{n}", 3, 4),
+    (1, "branchy_{n}", 4, 3), (1, "branchy_{n}", 4, 5), (1, "branchy_{n}", 6, 7), (1, "branchy_{n}", 6, 8), (2, "read_{n}", 0, 1), (2, "read_{n}", 1, 2), (3, "clean_{n}", 0, 1), (3, "clean_{n}", 1, 2),
+    (4, "half_{n}", 0, 1), (4, "half_{n}", 1, 2), (4, "half_{n}", 1, 3), (4, "half_{n}", 2, 3), (5, "use_{n}", 0, 1), (7, "<module>", 0, 1), (7, "<module>", 1, 2), (7, "get", 0, 1), (7, "get", 1, 2), (7, "get", 1, 3),
+    (8, "loop_{n}", 0, 1), (8, "loop_{n}", 1, 2), (8, "loop_{n}", 2, 3), (8, "loop_{n}", 2, 5), (8, "loop_{n}", 3, 4), (8, "loop_{n}", 4, 2), (8, "loop_{n}", 5, 6), (8, "loop_{n}", 5, 8), (8, "loop_{n}", 6, 7),
+]
+
+
+@query(stated("scope src dst", _EDGES))
+def cfg_edges_all(spark, d):
+    """The edges of all modules; `cfg_edges` has those of one template, as its SQL does."""
+    return facts(spark, d).where("kind = 'cfg'").select("path", "scope", F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
 @query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 7 % 500 + 1 AS dst FROM part), r(node) AS (SELECT CAST(p_partkey AS BIGINT) FROM part WHERE p_partkey < 4 UNION SELECT CAST(e.dst AS BIGINT) FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
 def dataflow_fixpoint(spark, d):
     k = F.col("p_partkey")
