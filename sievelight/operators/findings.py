@@ -7,6 +7,8 @@ a scan shuffles its findings, never its files, and all steps share that partitio
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -69,8 +71,31 @@ def dedupe(found: DataFrame) -> DataFrame:
     return found.withColumn("rule_ids", ids).withColumn("_first", first).where("_first = 1").drop("_first")
 
 
+def _order() -> list:
+    return [dims.rank("severity"), F.col("path"), F.col("line_no"), F.col("seq"), F.col("rule_id")]
+
+
 def sort_findings(found: DataFrame) -> DataFrame:
-    return found.orderBy(dims.rank("severity"), "path", "line_no", "seq")
+    """All findings, the gravest first, then by place and detector."""
+    return found.orderBy(*_order())
+
+
+def placed(found: DataFrame) -> DataFrame:
+    """All findings with their `place` from 1 in the order of `sort_findings`, equal ones in any order.
+
+    Ranges of the order are written to the shared folder, each sorted and numbered by itself; the ranges' counts, a row for each
+    partition, give each its first place. No task reads more than a range, and ranges are drawn once, so counts and rows agree.
+    """
+    spark = found.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievelight-")
+    root = f"{root}/placed-{uuid.uuid4().hex}"
+    ranges = found.repartitionByRange(*_order()).sortWithinPartitions(*_order())
+    part = F.spark_partition_id()
+    ranges.withColumn("_part", part).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).write.parquet(root)
+    own = spark.read.parquet(root)
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = own.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return own.join(F.broadcast(counts), "_part").select((F.col("_before") + F.col("_in") + 1).alias("place"), *found.columns)
 
 
 def merged(*found: DataFrame) -> DataFrame:

@@ -363,13 +363,19 @@ def dedupe_findings(spark, d):
 
 @query(f"WITH {UNION} SELECT CAST(row_number() OVER (ORDER BY {RANK}, path, line_no, seq, rule_id) AS BIGINT) AS place, path, line_no, rule_id FROM every ORDER BY place LIMIT 200")
 def sort_findings(spark, d):
+    """The first 200, as the SQL has them; `sort_findings_all` has all."""
     from pyspark.sql import Window
 
-    top = every(spark, d).orderBy(dims.rank("severity"), "path", "line_no", "seq", "rule_id").limit(200)
+    top = O.sort_findings(every(spark, d)).limit(200)
     place = F.row_number().over(Window.orderBy(dims.rank("severity"), "path", "line_no", "seq", "rule_id"))
     return top.select(place.cast("long").alias("place"), "path", "line_no", "rule_id")
 
 
+@query(f"WITH {UNION} SELECT CAST(row_number() OVER (ORDER BY {RANK}, path, line_no, seq, rule_id) AS BIGINT) AS place, path, line_no, rule_id FROM every")
+def sort_findings_all(spark, d):
+    return O.placed(every(spark, d)).select("place", "path", "line_no", "rule_id")
+
+
 @query(f"WITH {FOUND} SELECT path, CAST(greatest(0, 100 - coalesce(p, 0)) AS BIGINT) AS score, CASE WHEN greatest(0, 100 - coalesce(p, 0)) >= 90 THEN 'A' WHEN greatest(0, 100 - coalesce(p, 0)) >= 75 THEN 'B' WHEN greatest(0, 100 - coalesce(p, 0)) >= 55 THEN 'C' WHEN greatest(0, 100 - coalesce(p, 0)) >= 35 THEN 'D' ELSE 'F' END AS grade FROM (SELECT DISTINCT path FROM lines) LEFT JOIN (SELECT path, sum({WEIGHT}) AS p FROM found GROUP BY path) USING (path)")
 def file_score(spark, d):
     return O.file_score(lines(spark, d), found(spark, d))

@@ -1,5 +1,6 @@
 """Queries on whole tables, beside those that their SQL holds to a part."""
 
+from sievelight.operators import findings as O
 from sievelight.operators.syntax import facts
 from sievelight.plans import catalog
 from sievelight.sources import corpus as C
@@ -27,3 +28,17 @@ def test_edges_of_a_fixture(spark):
     found = facts(spark.createDataFrame(rows, "path string, language string, text string")).where("kind = 'cfg'").collect()
     for i, (body, want) in enumerate(BODIES):
         assert {(r.a, r.b) for r in found if r.path == f"{i}.py"} == want, body
+
+
+def test_places_of_all_findings(spark):
+    """Every finding has its place, over many ranges, with ties and a place for each of equal rows."""
+    found = catalog.QUERIES["sort_findings_all"](spark, SF).collect()
+    assert len(found) > 200 and sorted(r.place for r in found) == list(range(1, len(found) + 1))
+    severity = ["low", "critical", "info", "high", "medium"]
+    rows = [(f"f{i % 7}", i % 50, f"R{i % 3}", severity[i % 5], i % 4) for i in range(1000)] * 2
+    df = spark.createDataFrame(rows, "path string, line_no long, rule_id string, severity string, seq long").repartition(8)
+    rank = {"critical": 0, "high": 1, "medium": 2, "low": 3, "info": 4}
+    want = sorted(rows, key=lambda r: (rank[r[3]], r[0], r[1], r[4], r[2]))
+    got = sorted(O.placed(df).collect(), key=lambda r: r.place)
+    assert [tuple(r)[1:] for r in got] == want and [r.place for r in got] == list(range(1, 2001))
+    assert [tuple(r) for r in O.sort_findings(df).collect()] == want
