@@ -5,7 +5,8 @@
 2. Features: length, shares and transitions of character classes, entropy, the part covered by dictionary words, path
    marks, neighbouring words, assignment, and known formats.
 3. A random forest, trained on the driver with numpy on `labelled()` findings (a bounded table made by rule, its features by
-   the same DataFrame functions), becomes one expression of nested conditions. So the scan has no Python.
+   the same DataFrame functions), becomes one expression of nested conditions. So the scan has no Python. What has a
+   known format in full is a secret whatever the forest votes.
 
 `find` gives a row for each confirmed secret; `redact` replaces them in the text. Both work row by row, without a shuffle.
 
@@ -33,7 +34,10 @@ FORMATS = (
     ("stripe-key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     ("google-key", r"AIza[A-Za-z0-9_-]{35}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("private-key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?"),
 )
+#: The part of a URL that names a user and a password, up to the sign before the host; without that sign a number is a port.
+URL = r"(?i:[a-z][a-z0-9+.-]{1,20})://[^\s:/@\"']*:[^\s/@\"']+"
 #: Words beside secrets, words beside harmless identifiers, and a small dictionary.
 SECRET_WORDS = "password passwd pwd passphrase secret token apikey api_key api-key access_key auth authorization bearer credential credentials private_key client_secret"
 PLAIN_WORDS = "commit sha sha1 sha256 md5 checksum digest revision rev hash uuid guid etag build version id isbn order invoice serial tracking integrity blob tree file path url image"
@@ -47,13 +51,18 @@ WORDS = (
 
 _END = r"(?![A-Za-z0-9_+/-])"
 _NAMED = r"(?:" + SECRET_WORDS.replace(" ", "|") + r")"
+#: What stands between a name and its value. Java bounds what it looks back over: 40 blanks on each side of the sign.
+_SIGN = rf"(?i:{_NAMED})[\"']?\s{{0,40}}[:=]\s{{0,40}}"
 CANDIDATE = (
     r"(?<![A-Za-z0-9_+/-])(?:"
     + "|".join(p for _, p in FORMATS)
     + r")"
     + _END
-    + rf"|(?<=[:=]\s{{0,3}}[\"']?)(?<=(?i:{_NAMED})[\"']?\s{{0,3}}[:=]\s{{0,3}}[\"']?)[^\s\"'=:]{{8,}}"
-    + r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,63}[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+    + r"|(?<![A-Za-z0-9_+/-])" + URL + "(?=@)"
+    # Named values: in quotes up to the closing one, else up to a blank, a quote that ends something, or the next field of a query.
+    + "".join(rf"|(?<={x})(?<=[:=]\s{{0,40}}{x})(?<={_SIGN}{x})(?![^{x}\\\n]{{0,7}}{x})(?:[^{x}\\\n]++|\\[^\n])++(?={x})" for x in "\"'")
+    + rf"|(?<=[\s\"':=])(?![\s\"'=:])(?<=[:=]\s{{0,40}}[\"']?)(?<={_SIGN}[\"']?)(?:[^\s\"'&]|[\"'](?=[A-Za-z0-9])|&(?![A-Za-z_]+=)){{8,}}"
+    + r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
 )
 MASK = "[SECRET]"
 
@@ -70,13 +79,14 @@ class Settings:
 def _features(token: Column, left: Column, right: Column) -> dict[str, Column]:
     n = F.length(token)
     share = lambda p: F.regexp_count(token, F.lit(p)) / n
-    near = F.lower(F.right(left, F.lit(32)))
+    near = F.lower(F.right(F.regexp_replace(left, r"\s+", " "), F.lit(32)))
     has = lambda words: F.regexp_count(near, F.lit(r"(?<![a-z0-9])(?:" + words.replace(" ", "|") + r")(?![a-z0-9])")).cast("double")
     chars = F.split(token, "")
     counts = F.transform(F.array_distinct(chars), lambda c: (n - F.length(F.replace(token, c, F.lit("")))) / n)
     known = F.lit(0.0)
     for _, p in FORMATS:
         known = F.when(token.rlike(f"^(?:{p})$"), 1.0).otherwise(known)
+    known = F.when(token.rlike(f"^{URL}$") & right.startswith("@"), 1.0).otherwise(known)
     return {
         "length": n.cast("double"),
         "digits": share("[0-9]"),
@@ -89,7 +99,7 @@ def _features(token: Column, left: Column, right: Column) -> dict[str, Column]:
         "path": F.regexp_count(token, F.lit("/")).cast("double") + F.when(left.rlike(r"[/.\\]$|https?:\S*$"), 2.0).otherwise(0.0) + F.when(right.rlike(r"^\.[a-z]{2,4}\b|^/"), 1.0).otherwise(0.0),
         "secret_words": has(SECRET_WORDS),
         "plain_words": has(PLAIN_WORDS),
-        "assigned": F.when(left.rlike(r"[:=]\s{0,3}[\"']?$"), 1.0).otherwise(0.0),
+        "assigned": F.when(left.rlike(r"[:=]\s{0,40}[\"']?$"), 1.0).otherwise(0.0),
         "format": known,
     }
 
@@ -220,11 +230,12 @@ def fit(spark: SparkSession, s: Settings = Settings()) -> list:
 def scanned(docs: DataFrame, s: Settings = Settings(), forest: list | None = None) -> Column:
     """Array of (token, score) of the column `text`, which must not be null."""
     forest = forest or fit(docs.sparkSession, s)
-    return _scored(F.col("text"), lambda x: expression(forest, [x[k] for k in FEATURES]))
+    vote_ = lambda x: expression(forest, [x[k] for k in FEATURES])
+    return _scored(F.col("text"), lambda x: F.when(x["format"] == 1, F.greatest(vote_(x), F.lit(s.least))).otherwise(vote_(x)))
 
 
 def _kind(token: Column) -> Column:
-    out = F.lit("assigned-or-random")
+    out = F.when(token.rlike(f"^{URL}$"), "url-password").otherwise("assigned-or-random")
     for name, p in reversed(FORMATS):
         out = F.when(token.rlike(f"^(?:{p})$"), name).otherwise(out)
     return out
