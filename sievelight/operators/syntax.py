@@ -46,11 +46,11 @@ def last(name: str) -> str:
     return name.rsplit(".", 1)[-1]
 
 
-def is_source(name: str, sources: list[str]) -> bool:
+def is_source(name: str, sources: tuple[str, ...]) -> bool:
     return any(name == s or name.startswith(s + ".") or name.startswith(s + "(") for s in sources)
 
 
-def is_sanitizer(name: str, sanitizers: list[str]) -> bool:
+def is_sanitizer(name: str, sanitizers: tuple[str, ...]) -> bool:
     return name in sanitizers or last(name) in sanitizers
 
 

@@ -35,12 +35,8 @@ def query(sql: str | None = None):
 LINES = f"lines AS MATERIALIZED ({C.code_lines_sql()})"
 
 
-def any_of(column: str, words) -> str:
-    return "(" + " OR ".join(f"contains({column}, {q(w)})" for w in words) + ")"
-
-
 COMMENT = "(" + " OR ".join(f"starts_with(trim(text), '{m}')" for m in ("#", "//", "*")) + ")"
-DEFINITION = f"({any_of('text', D.DEFINITION_MARKS)} OR starts_with(trim(text), {q('r' + chr(34))}) OR starts_with(trim(text), {q('r' + chr(39))}))"
+DEFINITION = f"regexp_matches(text, {q(D.DEFINITION)})"
 TEST = f"regexp_matches(path, {q(D.TEST_PATH)})"
 
 
@@ -56,7 +52,7 @@ def findings_sql(depth: int = 2, filters: bool = True, **of) -> str:
     """`found`: the rule scan's findings."""
     where = f" AND NOT {COMMENT} AND NOT {DEFINITION}" if filters else ""
     union = "\n UNION ALL ".join(_rule_sql(i, r, "usable") for i, r in CATALOG.of(depth, **of))
-    keep = f"WHERE NOT (category IN ({', '.join(map(q, D.SAFE_FOR))}) AND {any_of('lower(text)', D.SAFE_CALLS)})" if filters else ""
+    keep = f"WHERE NOT (category IN ({', '.join(map(q, D.SAFE_FOR))}) AND regexp_matches(text, {q(D.SAFE_CALL)}))" if filters else ""
     keep += f" AND (NOT {TEST} OR severity = 'critical')" if filters and depth < 3 else ""
     return f"""{LINES}, usable AS MATERIALIZED (SELECT * FROM lines WHERE length(text) <= 2000 AND trim(text) <> ''{where}),
 found AS MATERIALIZED (SELECT path, line_no, rule_id, severity, cwe, owasp, category, title, substr(trim(text), 1, 120) AS snippet, confidence, 'rule' AS source, rule_seq FROM ({union}) {keep})"""
@@ -183,7 +179,7 @@ def filter_rule_definitions(spark, d):
     return lines(spark, d).where(D.is_definition(F.col("text"))).select("path", "line_no", "text")
 
 
-@query(f"WITH {findings_sql(filters=False)} SELECT {CORE} FROM found WHERE category IN ({', '.join(map(q, D.SAFE_FOR))}) AND {any_of('lower(snippet)', D.SAFE_CALLS)}")
+@query(f"WITH {findings_sql(filters=False)} SELECT {CORE} FROM found WHERE category IN ({', '.join(map(q, D.SAFE_FOR))}) AND regexp_matches(snippet, {q(D.SAFE_CALL)})")
 def filter_safe_context(spark, d):
     return core(found(spark, d, filters=False).where(D.is_safe_context(F.col("snippet"), F.col("category"))))
 
@@ -280,7 +276,7 @@ _BITS = "list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: -
 
 
 def _entropy_sql(source: str, threshold: float) -> str:
-    return f"""tokens AS (SELECT path, line_no, t, i, {_BITS} AS bits FROM (SELECT path, line_no, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS i FROM (SELECT path, line_no, regexp_extract_all(text, {q(D.QUOTED_TOKEN)}, 1) AS x FROM {source} WHERE regexp_matches(text, {q(D.SECRET_HINT)}))))
+    return f"""tokens AS (SELECT path, line_no, t, i, {_BITS} AS bits FROM (SELECT path, line_no, unnest(x) AS t, unnest(range(1, len(x) + 1)) AS i FROM (SELECT path, line_no, list_transform(regexp_extract_all(text, {q(D.QUOTED_TOKEN)}), lambda t: substr(t, 2, length(t) - 2)) AS x FROM {source} WHERE regexp_matches(text, {q(D.SECRET_HINT)}))))
 SELECT path, line_no, round(arg_min(bits, i), 6) AS bits FROM tokens WHERE bits > {threshold} AND NOT ((length(t) - length(replace(t, '/', '')) >= 2 AND NOT contains(t, ' ')) OR starts_with(t, 'http')) GROUP BY path, line_no"""
 
 
