@@ -1,7 +1,9 @@
 """Rewrites of Python files by level, docstring stubs, and their tables of changes.
 
-A rewrite applies only if its level allows it and is always logged. A file that no longer parses after rewriting, or
-didn't before, stays as it is.
+A rewrite applies only if its level allows it and is always logged. A file that no longer compiles after rewriting, or
+didn't before, stays as it is. New names are fresh: no scope of the file has them. Code after a jump stays where it makes its
+function a generator or a name local; numbers in patterns stay numbers; a loop over indices stays where its body may change
+the sequence or the index. Level 2 takes compared values for numbers, texts and flags, and sequences for lists.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .syntax import dotted
+
 #: Level of each rewrite: 1 is always safe, 2 assumes ordinary types, 3 adds names.
 LEVELS = {
     "eq-none": 1, "neq-none": 1, "double-not": 1, "not-in": 1, "not-is": 1, "not-eq": 1, "not-neq": 1, "eq-true": 2, "eq-false": 2, "len-gt0": 2, "len-eq0": 2, "type-eq": 2, "dict-keys-membership": 2, "genexpr-in-aggregate": 2,
@@ -38,9 +42,96 @@ def negated(e: ast.expr) -> ast.expr:
     return ast.UnaryOp(ast.Not(), e)
 
 
+def names_in(tree: ast.AST) -> set[str]:
+    """Every name that the tree speaks of, in whatever scope and role."""
+    out: set[str] = set()
+    for n in ast.walk(tree):
+        for _, v in ast.iter_fields(n):
+            out |= {x for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)} if not isinstance(n, ast.Constant) else set()
+        if isinstance(n, ast.alias):
+            out.add((n.asname or n.name).split(".")[0])
+    return out
+
+
+def _bound(nodes: list[ast.stmt]) -> set[str]:
+    """The names that statements bind in their own scope."""
+    out: set[str] = set()
+    todo: list[ast.AST] = list(nodes)
+    while todo:
+        n = todo.pop()
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            out.add(n.name)
+            continue
+        if isinstance(n, ast.Lambda):
+            continue
+        if isinstance(n, ast.Name) and isinstance(n.ctx, (ast.Store, ast.Del)):
+            out.add(n.id)
+        elif isinstance(n, ast.alias):
+            out.add((n.asname or n.name).split(".")[0])
+        elif isinstance(n, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and n.name:
+            out.add(n.name)
+        elif isinstance(n, ast.MatchMapping) and n.rest:
+            out.add(n.rest)
+        todo += ast.iter_child_nodes(n)
+    return out
+
+
+def _may_go(f: ast.FunctionDef, kept: list[ast.stmt], dropped: list[ast.stmt]) -> bool:
+    """Whether statements that are never reached have no effect by standing there: no yield, and no name made local, global or nonlocal."""
+    if any(isinstance(n, (ast.Yield, ast.YieldFrom, ast.Global, ast.Nonlocal)) for s in dropped for n in ast.walk(s)):
+        return False
+    a = f.args
+    own = {x.arg for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg] if x} | _bound(kept)
+    said = set().union(*map(names_in, kept)) if kept else set()
+    return not (_bound(dropped) - own) & said
+
+
+_FLAGS = frozenset("bool isinstance issubclass callable hasattr any all".split())
+
+
+def _flag(e: ast.expr) -> bool:
+    """Whether an expression is a truth value whatever its parts are, as far as comparisons give truth values."""
+    if isinstance(e, ast.Call):
+        return isinstance(e.func, ast.Name) and e.func.id in _FLAGS
+    if isinstance(e, ast.BoolOp):
+        return all(map(_flag, e.values))
+    return isinstance(e, ast.Compare) or (isinstance(e, ast.UnaryOp) and isinstance(e.op, ast.Not)) or (isinstance(e, ast.Constant) and isinstance(e.value, bool))
+
+
+def _container(e: ast.expr) -> bool:
+    """Whether it is a list, set, ... for sure: `x += [1]` changes the list that other names have too."""
+    made = isinstance(e, ast.Call) and isinstance(e.func, ast.Name) and e.func.id in ("list", "set", "dict", "bytearray", "deque")
+    return made or isinstance(e, (ast.List, ast.Set, ast.Dict, ast.ListComp, ast.SetComp, ast.DictComp))
+
+
+def _stays(loop: ast.For, seq: str, i: str) -> bool:
+    """Whether the loop's body only reads `seq` by index and never sets `i`; a call that is given the sequence, or one of its methods, may change it."""
+    for n in (n for s in loop.body for n in ast.walk(s)):
+        if isinstance(n, ast.Name) and n.id in (seq, i) and not isinstance(n.ctx, ast.Load):
+            return False
+        if isinstance(n, ast.Subscript) and isinstance(n.value, ast.Name) and n.value.id == seq and not isinstance(n.ctx, ast.Load):
+            return False
+        if isinstance(n, ast.Attribute) and isinstance(n.value, ast.Name) and n.value.id == seq:
+            return False
+        if isinstance(n, ast.Call) and not (isinstance(n.func, ast.Name) and n.func.id == "len") and any(isinstance(a, ast.Name) and a.id == seq for a in [*n.args, *(k.value for k in n.keywords)]):
+            return False
+        if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef, ast.Global, ast.Nonlocal)):
+            return False
+    return True
+
+
 class Rewriter(ast.NodeTransformer):
-    def __init__(self, level: int):
-        self.level, self.changes, self.names = level, [], 0
+    def __init__(self, level: int, names: set[str] = frozenset()):
+        self.level, self.changes, self.names, self.inside = level, [], set(names), 0
+
+    def fresh(self, stem: str, numbered: bool = False) -> str:
+        """`stem`, or with the first number that makes a name which the file doesn't have."""
+        name, k = (f"{stem}_1", 1) if numbered else (stem, 1)
+        while name in self.names:
+            k += 1
+            name = f"{stem}_{k}"
+        self.names.add(name)
+        return name
 
     def put(self, rule: str, old: ast.AST, new):
         """`new` in place of `old` if the level allows the rule; it is logged then."""
@@ -77,8 +168,9 @@ class Rewriter(ast.NodeTransformer):
 
     def visit_Call(self, node):
         self.generic_visit(node)
-        if isinstance(node.func, ast.Name) and node.func.id in AGGREGATES and len(node.args) == 1 and isinstance(node.args[0], ast.ListComp):
-            comp = node.args[0]
+        if isinstance(node.func, ast.Name) and node.func.id in AGGREGATES and len(node.args) == 1 and isinstance(comp := node.args[0], ast.ListComp):
+            if any(g.is_async for g in comp.generators) or any(isinstance(n, ast.Await) for n in ast.walk(comp)):
+                return node  # it would be an asynchronous generator
             return self.put("genexpr-in-aggregate", node, ast.Call(node.func, [ast.GeneratorExp(comp.elt, comp.generators)], node.keywords)) or node
         return node
 
@@ -94,7 +186,7 @@ class Rewriter(ast.NodeTransformer):
 
     def visit_Assign(self, node):
         self.generic_visit(node)
-        if len(node.targets) == 1 and isinstance(t := node.targets[0], ast.Name) and isinstance(node.value, ast.BinOp) and isinstance(node.value.left, ast.Name) and node.value.left.id == t.id:
+        if len(node.targets) == 1 and isinstance(t := node.targets[0], ast.Name) and isinstance(node.value, ast.BinOp) and isinstance(node.value.left, ast.Name) and node.value.left.id == t.id and not _container(node.value.right):
             return self.put("aug-assign", node, ast.AugAssign(t, node.value.op, node.value.right)) or node
         return node
 
@@ -106,14 +198,12 @@ class Rewriter(ast.NodeTransformer):
         value = lambda b: b[0].value.value if len(b) == 1 and isinstance(b[0], ast.Return) and isinstance(b[0].value, ast.Constant) and isinstance(b[0].value.value, bool) else None
         yes, no = value(node.body), value(node.orelse)
         if yes is not None and no is not None and yes != no:
-            test = ast.Call(ast.Name("bool", ast.Load()), [node.test], []) if not isinstance(node.test, (ast.Compare, ast.Call)) and yes else node.test if yes else negated(node.test)
+            test = negated(node.test) if no else node.test if _flag(node.test) else ast.Call(ast.Name("bool", ast.Load()), [node.test], [])
             return self.put("if-return-bool", node, ast.Return(test)) or node
-        if isinstance(node.test, ast.BoolOp) and len(node.test.values) >= 4:
-            name = f"condition_{self.names + 1}"
+        if isinstance(node.test, ast.BoolOp) and len(node.test.values) >= 4 and self.inside and LEVELS["extract-condition"] <= self.level:
+            name = self.fresh("condition", numbered=True)
             first = ast.Assign([ast.Name(name, ast.Store())], node.test)
-            if new := self.put("extract-condition", node, [first, ast.If(ast.Name(name, ast.Load()), node.body, node.orelse)]):
-                self.names += 1
-                return new
+            return self.put("extract-condition", node, [first, ast.If(ast.Name(name, ast.Load()), node.body, node.orelse)])
         return node
 
     def visit_For(self, node):
@@ -122,25 +212,33 @@ class Rewriter(ast.NodeTransformer):
         if isinstance(node.target, ast.Name) and isinstance(it, ast.Call) and isinstance(it.func, ast.Name) and it.func.id == "range" and len(it.args) == 1 and isinstance(n := it.args[0], ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "len" and isinstance(n.args[0], ast.Name):
             seq, i = n.args[0].id, node.target.id
             reads = [x for s in node.body for x in ast.walk(s) if isinstance(x, ast.Subscript) and isinstance(x.value, ast.Name) and x.value.id == seq and isinstance(x.slice, ast.Name) and x.slice.id == i]
-            if reads and all(isinstance(x.ctx, ast.Load) for x in reads):
-                item = f"{seq}_item"
+            if reads and LEVELS["range-len-enumerate"] <= self.level and _stays(node, seq, i):
+                item = self.fresh(f"{seq}_item")
 
                 class Use(ast.NodeTransformer):
                     def visit_Subscript(self, x):
                         return ast.copy_location(ast.Name(item, ast.Load()), x) if x in reads else self.generic_visit(x)
 
-                if LEVELS["range-len-enumerate"] <= self.level:
-                    target = ast.Tuple([ast.Name(i, ast.Store()), ast.Name(item, ast.Store())], ast.Store())
-                    new = ast.For(target, ast.Call(ast.Name("enumerate", ast.Load()), [ast.Name(seq, ast.Load())], []), [Use().visit(s) for s in node.body], node.orelse)
-                    return self.put("range-len-enumerate", node, new)
+                target = ast.Tuple([ast.Name(i, ast.Store()), ast.Name(item, ast.Store())], ast.Store())
+                new = ast.For(target, ast.Call(ast.Name("enumerate", ast.Load()), [ast.Name(seq, ast.Load())], []), [Use().visit(s) for s in node.body], node.orelse)
+                return self.put("range-len-enumerate", node, new)
+        return node
+
+    def visit_ClassDef(self, node):
+        self.inside, before = 0, self.inside
+        self.generic_visit(node)
+        self.inside = before
         return node
 
     def visit_FunctionDef(self, node):
+        self.inside, before = 1, self.inside
         self.generic_visit(node)
+        self.inside = before
         for i, s in enumerate(node.body[:-1]):
-            if isinstance(s, _JUMPS) and LEVELS["dead-code"] <= self.level:
-                self.put("dead-code", node.body[i + 1], ast.Pass())
-                node.body = node.body[: i + 1]
+            if isinstance(s, _JUMPS):
+                if LEVELS["dead-code"] <= self.level and _may_go(node, node.body[: i + 1], node.body[i + 1 :]):
+                    self.put("dead-code", node.body[i + 1], ast.Pass())
+                    node.body = node.body[: i + 1]
                 break
         s = node.body[-1]
         if isinstance(s, ast.If) and not s.orelse and len(s.body) >= 3 and len(node.body) > 1 and LEVELS["guard-clause"] <= self.level:
@@ -153,17 +251,25 @@ class Rewriter(ast.NodeTransformer):
 
 
 def _constants(tree: ast.Module, r: Rewriter) -> None:
-    taken = {n.id for s in tree.body if isinstance(s, ast.Assign) for n in s.targets if isinstance(n, ast.Name)}
+    """Numbers with one accepted meaning under a name, which no scope of the file may have; `case 404` stays, as a name there takes any value."""
     used: dict[str, int] = {}
 
     class Name(ast.NodeTransformer):
         def visit_Constant(self, node):
             name = NUMBERS.get(node.value) if type(node.value) is int else None
-            if name and name not in taken:
+            if name and name not in r.names:
                 used[name] = node.value
                 return r.put("named-constant", node, ast.Name(name, ast.Load()))
             return node
 
+        def visit_match_case(self, node):
+            node.guard = self.visit(node.guard) if node.guard else None
+            node.body = [self.visit(s) for s in node.body]
+            return node
+
+        def visit_Subscript(self, node):
+            return node if dotted(node.value).rsplit(".", 1)[-1] == "Literal" else self.generic_visit(node)
+
     Name().visit(tree)
     at = int(bool(tree.body) and isinstance(tree.body[0], ast.Expr) and isinstance(tree.body[0].value, ast.Constant))
     while at < len(tree.body) and isinstance(tree.body[at], (ast.Import, ast.ImportFrom)):
@@ -175,12 +281,13 @@ def refactor(text: str, level: int = 2) -> tuple[str, list[tuple[str, int, str,
     """The rewritten text and (rule, line, before, after, category) of each change; the text as it was if anything fails."""
     try:
         tree = ast.parse(text)
-        r = Rewriter(level)
+        compile(tree, "before", "exec", dont_inherit=True)
+        r = Rewriter(level, names_in(tree))
         tree = r.visit(tree)
         if level >= LEVELS["named-constant"]:
             _constants(tree, r)
         new = ast.unparse(ast.fix_missing_locations(tree)) + "\n"
-        ast.parse(new)
+        compile(new, "after", "exec", dont_inherit=True)
     except (SyntaxError, ValueError, RecursionError):
         return text, []
     return (new, r.changes) if r.changes else (text, [])
