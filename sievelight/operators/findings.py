@@ -1,24 +1,24 @@
 """Findings as a relation: union of detectors, merging, confirmation, deduplication, scores, suppression, compliance.
 
-A finding has path, line_no, rule_id, severity, cwe, category, snippet, confidence, source and `seq`, which states the order in
-which detectors and rules count when the first one wins. Each step is a join or a window on (path, line_no), so
+A finding has path, line_no, rule_id, severity, cwe, category, snippet, confidence, source, `seq`, which states the order in
+which detectors and rules count when the first one wins, and `flow`, the way of tainted data, null elsewhere. Each step is a join or a window on (path, line_no), so
 a scan shuffles its findings, never its files, and all steps share that partitioning.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as T
 from .catalog import CURRENT
+from .fixpoint import shared_dir
 
-COLUMNS = ("path", "line_no", "rule_id", "severity", "cwe", "category", "snippet", "confidence", "source", "seq")
+COLUMNS = ("path", "line_no", "rule_id", "severity", "cwe", "category", "snippet", "confidence", "source", "seq", "flow")
 #: The order of detectors.
 DETECTORS = {"taint": 0, "rule": 1, "dataflow": 2, "secret-scanner": 3, "entropy": 4}
 
@@ -29,32 +29,33 @@ def union_detectors(*found: DataFrame) -> DataFrame:
     for df in found:
         own = F.col("rule_seq") if "rule_seq" in df.columns else F.lit(0)
         seq = dims.mapped("source", DETECTORS, 9) * 1000 + own
+        df = df if "flow" in df.columns else df.withColumn("flow", F.lit(None).cast("string"))
         parts.append(df.withColumn("seq", seq.cast("long")).select(*COLUMNS))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _any(cond: Column, *keys: str) -> Column:
+    """Whether a row of the same keys meets the condition: a window, so that the findings are read once and shuffled once."""
+    return F.coalesce(F.bool_or(cond).over(Window.partitionBy(*keys)), F.lit(False))
+
+
 def merge_taint_over_rule(found: DataFrame, same_cwe: bool = False) -> DataFrame:
     """Taint findings replace rule findings of their line (with `same_cwe`, of their line and weakness) and are confirmed by them."""
-    keys = ["path", "line_no"] + ["cwe"] * same_cwe
-    taint, rule, rest = (found.where(c) for c in ("source = 'taint'", "source = 'rule'", "source not in ('taint', 'rule')"))
-    seen = rule.select(*keys).distinct().withColumn("_seen", F.lit(True))
-    taint = taint.join(seen, keys, "left").withColumn("confidence", F.when(F.col("_seen"), "confirmed").otherwise(F.col("confidence"))).select(found.columns)
-    return taint.unionByName(rule.join(taint.select(*keys).distinct(), keys, "left_anti").select(found.columns)).unionByName(rest)
+    keys, source = ["path", "line_no"] + ["cwe"] * same_cwe, F.col("source")
+    own = found.withColumn("_rule", _any(source == "rule", *keys)).withColumn("_taint", _any(source == "taint", *keys)).where(~(F.col("_taint") & (source == "rule")))
+    return own.withColumn("confidence", F.when((source == "taint") & F.col("_rule"), "confirmed").otherwise(F.col("confidence"))).select(found.columns)
 
 
 def merge_dataflow(found: DataFrame) -> DataFrame:
     """Data-flow findings stay only where no other one has their line and weakness."""
-    keys = ["path", "line_no", "cwe"]
-    flow, rest = found.where("source = 'dataflow'"), found.where("source <> 'dataflow'")
-    return rest.unionByName(flow.join(rest.select(*keys).distinct(), keys, "left_anti").select(found.columns))
+    flow = F.col("source") == "dataflow"
+    return found.withColumn("_other", _any(~flow, "path", "line_no", "cwe")).where(~(F.col("_other") & flow)).drop("_other")
 
 
 def merge_secrets(found: DataFrame) -> DataFrame:
     """Secrets stay only on lines without a finding of the category `secrets` from another detector."""
     secret = F.col("source").isin("secret-scanner", "entropy")
-    own, rest = found.where(secret), found.where(~secret)
-    lines = rest.where("category = 'secrets'").select("path", "line_no").distinct()
-    return rest.unionByName(own.join(lines, ["path", "line_no"], "left_anti").select(found.columns))
+    return found.withColumn("_other", _any(~secret & (F.col("category") == "secrets"), "path", "line_no")).where(~(F.col("_other") & secret)).drop("_other")
 
 
 def confirm_multi_source(found: DataFrame) -> DataFrame:
@@ -87,8 +88,7 @@ def placed(found: DataFrame) -> DataFrame:
     partition, give each its first place. No task reads more than a range, and ranges are drawn once, so counts and rows agree.
     """
     spark = found.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievelight-")
-    root = f"{root}/placed-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/placed-{uuid.uuid4().hex}"
     ranges = found.repartitionByRange(*_order()).sortWithinPartitions(*_order())
     part = F.spark_partition_id()
     ranges.withColumn("_part", part).withColumn("_in", F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).write.parquet(root)
@@ -160,10 +160,20 @@ def suppressions(lines: DataFrame) -> DataFrame:
     return named.unionByName(every)
 
 
+def _marked(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """The findings with `_off`, whether an inline mark of their line holds for them: one join with a row for each marked line."""
+    lines = marks.groupBy("path", "line_no").agg(F.bool_or(F.col("rule_id").isNull()).alias("_every"), F.collect_set("rule_id").alias("_ids"))
+    off = F.coalesce(F.col("_every") | F.array_contains("_ids", F.col("rule_id")), F.lit(False))
+    return found.join(lines, ["path", "line_no"], "left").withColumn("_off", off).drop("_every", "_ids")
+
+
 def suppress_inline(found: DataFrame, marks: DataFrame) -> DataFrame:
-    """Two equi anti-joins instead of one with an OR."""
-    left = found.join(marks.where("rule_id is null").select("path", "line_no"), ["path", "line_no"], "left_anti")
-    return left.join(marks.where("rule_id is not null"), ["path", "line_no", "rule_id"], "left_anti")
+    return _marked(found, marks).where("not _off").select(found.columns)
+
+
+def suppressed_inline(found: DataFrame, marks: DataFrame) -> DataFrame:
+    """The findings that inline marks take away."""
+    return _marked(found, marks).where("_off").select(found.columns)
 
 
 def with_fingerprint(found: DataFrame) -> DataFrame:
@@ -187,9 +197,8 @@ def suppress_globs(found: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def baseline(found: DataFrame) -> DataFrame:
-    """The sorted distinct fingerprints and their number, as one row to be written as JSON."""
-    own = with_fingerprint(found).select("fingerprint").distinct()
-    return own.agg(F.lit(1).alias("version"), F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"), F.count("*").alias("count"))
+    """fingerprint: the distinct ones, a row each; `sinks.baseline_document` puts the envelope around them."""
+    return with_fingerprint(found).select("fingerprint").distinct()
 
 
 def min_severity(found: DataFrame, least: str) -> DataFrame:

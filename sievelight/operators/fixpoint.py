@@ -5,18 +5,28 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of the machine's own only in local mode, where both are one process."""
+    if d := spark.conf.get("spark.checkpoint.dir", None):
+        return d
+    if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="sievelight-")
 
 
 def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """`node` of all nodes that (src, dst) edges reach from seeds (node), cycles included.
 
-    Each round joins only the last round's new nodes and writes its own to the shared folder, which cuts the lineage and
-    outlives lost executors; it ends with a round that finds nothing new.
+    The edges are written once, however dear they are to make. Each round joins only the last round's new nodes and writes its own
+    to the shared folder, which cuts the lineage and outlives lost executors; it ends with a round that finds nothing new.
     """
     spark = edges.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievelight-")
-    root = f"{root}/closure-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/closure-{uuid.uuid4().hex}"
+    edges.select("src", "dst").where("src is not null and dst is not null").distinct().write.parquet(f"{root}/edges")
+    edges = spark.read.parquet(f"{root}/edges")
     k = 0
     seeds.select("node").where("node is not null").distinct().write.parquet(f"{root}/round=0")
     while True:

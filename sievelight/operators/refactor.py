@@ -9,6 +9,7 @@ the sequence or the index. Level 2 takes compared values for numbers, texts and
 from __future__ import annotations
 
 import ast
+import copy
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -213,7 +214,7 @@ class Rewriter(ast.NodeTransformer):
             seq, i = n.args[0].id, node.target.id
             reads = [x for s in node.body for x in ast.walk(s) if isinstance(x, ast.Subscript) and isinstance(x.value, ast.Name) and x.value.id == seq and isinstance(x.slice, ast.Name) and x.slice.id == i]
             if reads and LEVELS["range-len-enumerate"] <= self.level and _stays(node, seq, i):
-                item = self.fresh(f"{seq}_item")
+                item, was = self.fresh(f"{seq}_item"), copy.deepcopy(node)
 
                 class Use(ast.NodeTransformer):
                     def visit_Subscript(self, x):
@@ -221,7 +222,7 @@ class Rewriter(ast.NodeTransformer):
 
                 target = ast.Tuple([ast.Name(i, ast.Store()), ast.Name(item, ast.Store())], ast.Store())
                 new = ast.For(target, ast.Call(ast.Name("enumerate", ast.Load()), [ast.Name(seq, ast.Load())], []), [Use().visit(s) for s in node.body], node.orelse)
-                return self.put("range-len-enumerate", node, new)
+                return self.put("range-len-enumerate", was, new)
         return node
 
     def visit_ClassDef(self, node):

@@ -4,7 +4,8 @@ Files cross to Python once; `facts` gives flat rows of all kinds, and the rest i
 Only what needs the order of statements (data flow over a control-flow graph) is solved where the file is parsed:
 files are small and independent, so this needs no shuffle. A file that doesn't parse gives one row of kind `error`.
 
-Deliberate differences to a naive reading: taint is kept by (scope, name), so equal names in two functions don't mix; the
+Deliberate differences to a naive reading: taint is kept by (scope, name), so equal names in two functions don't mix, and the
+scope of a function whose name an earlier one of the file has is `name#line`, so equal methods of two classes don't either; the
 control-flow graph has try, with, break and continue; every reachable node is visited at least once; a sink inside
 a compound statement is checked with the state at its own statement.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -192,29 +193,57 @@ class _Taint:
                         self.carried(n, scope)
 
 
-def _reached(edges: dict[str, set[str]], seeds: set[str]) -> set[str]:
-    seen, todo = set(seeds), list(seeds)
-    while todo:
-        for n in edges.get(todo.pop(), ()):
-            if n not in seen:
-                seen.add(n)
+def _reached(edges: dict[str, set[str]], seeds: set[str]) -> dict[str, str]:
+    """Every node that the seeds reach, with the node before it on a shortest way; a seed with itself."""
+    before = {x: x for x in sorted(seeds)}
+    todo = list(before)
+    for x in todo:
+        for n in sorted(edges.get(x, ())):
+            if n not in before:
+                before[n] = x
                 todo.append(n)
-    return seen
+    return before
+
+
+def _way(node: str, before: dict[str, str]) -> list[str]:
+    """The nodes from a seed to this one."""
+    out = [node]
+    while before[out[-1]] != out[-1]:
+        out.append(before[out[-1]])
+    return out[::-1]
+
+
+def _shown(node: str) -> str:
+    scope, name = node.split(":", 1)
+    return f"{bare(scope)}()" if name == "<return>" else name
+
+
+def bare(scope: str) -> str:
+    return scope.split("#", 1)[0]
+
+
+ARROW = " -> "
 
 
 def _close(f: Facts) -> None:
-    """What the edges of this file let the seeds reach, and which parameters reach results: a file's graph is solved where it is made."""
+    """What the edges of this file let the seeds reach, and which parameters reach results: a file's graph is solved where it is made.
+
+    A `taint` fact's text is its flow: the source, the names it goes through, and the sink.
+    """
     ahead: dict[str, set[str]] = {}
     back: dict[str, set[str]] = {}
     for kind, src, dst, *_ in f.rows:
         if kind == "edge":
             ahead.setdefault(src, set()).add(dst)
             back.setdefault(dst, set()).add(src)
-    seeds = {r[2] for r in f.rows if r[0] == "seed"}
-    tainted = _reached(ahead, seeds)
+    seeds: dict[str, str] = {}
+    for r in f.rows:
+        if r[0] == "seed":
+            seeds[r[2]] = min(seeds.get(r[2], r[8]), r[8])
+    tainted = _reached(ahead, set(seeds))
     for node in sorted(tainted):
         f.add("tainted", name=node)
-    into: dict[str, set[str]] = {}
+    into: dict[str, dict[str, str]] = {}
     for kind, scope, name, _, _, a, *_ in list(f.rows):
         if kind == "param":
             if scope not in into:
@@ -226,7 +255,9 @@ def _close(f: Facts) -> None:
             f.add("summary", node.split(":")[0], a=-1)
     for kind, scope, name, line, _, a, b, _, text in list(f.rows):
         if kind == "sinkarg" and (b or text in tainted):
-            f.add("taint", scope, name, line, a=a, b=b, text=text)
+            way = [] if b else _way(text, tainted)
+            flow = [text if b else seeds[way[0]], *map(_shown, way), f"{name}()"]
+            f.add("taint", scope, name, line, a=a, b=b, c=len(flow), text=ARROW.join(flow))
 
 
 def _own_nodes(s: ast.AST) -> Iterator[ast.AST]:
@@ -428,9 +459,10 @@ def file_facts(text: str) -> list[tuple]:
     def visit(node: ast.AST, owner: str) -> None:
         for child in ast.iter_child_nodes(node):
             if isinstance(child, FUNCTIONS):
-                _function(f, child, child.name, owner)
-                functions.setdefault(child.name, child)
-                bodies.append((child.name, child.body))
+                scope = child.name if child.name not in functions else f"{child.name}#{child.lineno}"
+                _function(f, child, scope, owner)
+                functions[scope] = child
+                bodies.append((scope, child.body))
                 visit(child, owner)
             elif isinstance(child, ast.ClassDef):
                 f.add("class", owner, child.name, child.lineno, child.end_lineno or child.lineno, text=",".join(filter(None, map(dotted, child.bases))))
@@ -482,7 +514,12 @@ def complexity(facts: DataFrame) -> DataFrame:
         F.max(F.when(is_f, F.col("a"))).alias("params"), F.max(F.when(is_f, F.col("end_line") - F.col("line") + 1)).alias("lines"),
     )
     issues = sum(((F.col(c) > n).cast("long") for c, n in (("cyclomatic", 10), ("cognitive", 15), ("max_nesting", 4), ("params", 5), ("lines", 50))), F.lit(0).cast("long"))
-    return g.withColumn("n_issues", issues).withColumn("refactor_priority", F.when(F.col("n_issues") >= 2, "high").when(F.col("n_issues") == 1, "medium").otherwise("ok"))
+    return g.withColumn("function", _bare("function")).withColumn("n_issues", issues).withColumn("refactor_priority", F.when(F.col("n_issues") >= 2, "high").when(F.col("n_issues") == 1, "medium").otherwise("ok"))
+
+
+def _bare(name: str) -> Column:
+    """A scope's name as the file has it."""
+    return F.substring_index(name, "#", 1)
 
 
 def tainted_names(facts: DataFrame) -> DataFrame:
@@ -491,19 +528,21 @@ def tainted_names(facts: DataFrame) -> DataFrame:
 
 
 def taint_findings(facts: DataFrame) -> DataFrame:
-    """A finding for each line and sink that tainted data reaches, at its first tainted argument."""
-    own = facts.where("kind = 'taint'").groupBy("path", "scope", "name", "line").agg(F.min("a").alias("arg"), F.max("b").alias("near"))
+    """A finding for each line and sink that tainted data reaches, at its first tainted argument, with the shortest flow to it."""
+    own = facts.where("kind = 'taint'").groupBy("path", "scope", "name", "line").agg(F.min(F.struct("a", "c", "text")).alias("x"), F.max("b").alias("near"))
+    own = own.select("*", F.col("x.a").alias("arg"), F.col("x.text").alias("flow"))
     sink = F.substring_index("name", ".", -1)
     cwe = dims.mapped(sink, {k: v[0] for k, v in dims.SINKS.items()}, None)
     return own.select(
         "path", F.col("line").alias("line_no"), F.concat(F.lit("TAINT-"), F.replace(cwe, F.lit("-"), F.lit("_"))).alias("rule_id"), dims.mapped(sink, {k: v[1] for k, v in dims.SINKS.items()}, "high").alias("severity"), cwe.alias("cwe"),
         dims.mapped(cwe, dims.CWE_CATEGORY, "code").alias("category"), F.col("name").alias("snippet"), F.when(F.col("near") == 1, "high").otherwise("medium").alias("confidence"), F.lit("taint").alias("source"), "arg", dims.mapped(F.col("name"), dims.FIXES, dims.DEFAULT_FIX).alias("fix"),
+        F.col("name").alias("sink"), F.substring_index("flow", ARROW, 1).alias("source_var"), "flow",
     )
 
 
 def fn_summary(facts: DataFrame) -> DataFrame:
     """path, function, param: parameters that a function's result may carry; -1 for a result that always comes from a source."""
-    return facts.where("kind = 'summary'").select("path", F.col("scope").alias("function"), F.col("a").alias("param"))
+    return facts.where("kind = 'summary'").select("path", _bare("scope").alias("function"), F.col("a").alias("param"))
 
 
 def dataflow_findings(facts: DataFrame) -> DataFrame:
@@ -514,7 +553,7 @@ def dataflow_findings(facts: DataFrame) -> DataFrame:
 def explain_files(facts: DataFrame) -> DataFrame:
     """An overview of each file that parses: numbers of things, whether it is a script, its first imports and functions."""
     n = lambda k: F.count_if(F.col("kind") == k)
-    names = lambda k, most: F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("name")))), 1, most), ",")
+    names = lambda k, most: F.array_join(F.slice(F.array_sort(F.collect_set(F.when(F.col("kind") == k, _bare("name")))), 1, most), ",")
     return facts.where("kind in ('module', 'import', 'function', 'class')").groupBy("path").agg(
         n("function").alias("functions"), n("class").alias("classes"), n("import").alias("imports"), F.max(F.when(F.col("kind") == "module", F.col("a"))).alias("loc"), F.max(F.when(F.col("kind") == "module", F.col("text"))).alias("purpose"),
         names("import", 8).alias("import_names"), names("function", 6).alias("function_names"),
@@ -522,8 +561,8 @@ def explain_files(facts: DataFrame) -> DataFrame:
 
 
 def describe_functions(facts: DataFrame) -> DataFrame:
-    """params, returns, raises, calls of each function."""
+    """params, returns, raises, calls of each function; two of one name are two rows."""
     own = facts.where("kind in ('function', 'param', 'returns', 'raise', 'calls')").select("path", F.when(F.col("kind") == "function", F.col("name")).otherwise(F.col("scope")).alias("function"), "kind", "name", "a", "text")
     texts = lambda k: F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == k, F.col("name")))), ",")
     params = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "param", F.struct("a", "text")))), lambda x: x["text"]), ", ")
-    return own.groupBy("path", "function").agg(params.alias("params"), texts("returns").alias("returns"), texts("raise").alias("raises"), texts("calls").alias("calls"))
+    return own.groupBy("path", "function").agg(params.alias("params"), texts("returns").alias("returns"), texts("raise").alias("raises"), texts("calls").alias("calls")).withColumn("function", _bare("function"))

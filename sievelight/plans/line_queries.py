@@ -67,11 +67,15 @@ WEIGHT = "CASE severity WHEN 'critical' THEN 25 WHEN 'high' THEN 12 WHEN 'medium
 FINGERPRINT = "substr(sha256(rule_id || ':' || path || ':' || trim(snippet)), 1, 16)"
 CORE = "path, line_no, rule_id, severity, cwe, category"
 #: A second detector for the merge queries, made of the scan's own rows: findings of the secret scanner, and rows that stand for data-flow and taint.
-UNION = f"""{FOUND}, {PROVIDER}, every AS (
+_EVERY = f"""{PROVIDER}, every AS MATERIALIZED (
 SELECT path, line_no, rule_id, severity, cwe, category, snippet, confidence, 'rule' AS source, 1000 + rule_seq AS seq FROM found
 UNION ALL SELECT path, line_no, rule_id, severity, 'CWE-798', 'secrets', snippet, 'high', 'secret-scanner', 3000 FROM provider
 UNION ALL SELECT path, line_no, 'TAINT-' || replace(cwe, '-', '_'), severity, cwe, 'taint', snippet, 'medium', 'taint', 0 FROM found WHERE category IN ('command', 'rce') AND line_no % 2 = 0
 UNION ALL SELECT path, line_no, 'DFLOW-' || replace(cwe, '-', '_'), severity, cwe, 'dataflow', snippet, 'medium', 'dataflow', 2000 FROM found WHERE category IN ('command', 'sql') AND line_no % 3 > 0)"""
+UNION = f"{FOUND}, {_EVERY}"
+#: The merge queries take the rules of these categories, those that the other detectors' findings meet: the steps are the same, and the SQL is a tenth as long.
+MERGED_OF = {"categories": ("sql", "command", "rce", "deserialization", "secrets")}
+MERGED = f"{findings_sql(**MERGED_OF)}, {_EVERY}"
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -82,13 +86,16 @@ def found(spark: SparkSession, d: str, **k) -> DataFrame:
     return D.rule_scan(lines(spark, d), CATALOG, **k)
 
 
-def every(spark: SparkSession, d: str) -> DataFrame:
-    own = found(spark, d)
+def every(spark: SparkSession, d: str, **of) -> DataFrame:
+    """The union of detectors, from one scan: a finding, and what stands for a taint or data-flow finding of it, are one array to explode."""
     name = lambda p: F.concat(F.lit(p), F.replace("cwe", F.lit("-"), F.lit("_")))
-    made = lambda df, p, s: df.withColumn("rule_id", name(p)).withColumn("category", F.lit(s)).withColumn("confidence", F.lit("medium")).withColumn("source", F.lit(s)).drop("rule_seq")
-    taint = made(own.where("category in ('command', 'rce') and line_no % 2 = 0"), "TAINT-", "taint")
-    flow = made(own.where("category in ('command', 'sql') and line_no % 3 > 0"), "DFLOW-", "dataflow")
-    return O.union_detectors(own, D.secret_providers(lines(spark, d)), taint, flow)
+    one = lambda rule, category, confidence, source, seq: F.struct(rule.alias("rule_id"), category.alias("category"), confidence.alias("confidence"), F.lit(source).alias("source"), seq.cast("int").alias("rule_seq"))
+    made = lambda p, s: one(name(p), F.lit(s), F.lit("medium"), s, F.lit(0))
+    own = one(F.col("rule_id"), F.col("category"), F.col("confidence"), "rule", F.col("rule_seq"))
+    taint = F.when(F.expr("category in ('command', 'rce') and line_no % 2 = 0"), made("TAINT-", "taint"))
+    flow = F.when(F.expr("category in ('command', 'sql') and line_no % 3 > 0"), made("DFLOW-", "dataflow"))
+    all_ = found(spark, d, **of).select("path", "line_no", "severity", "cwe", "snippet", F.explode_outer(F.array_compact(F.array(own, taint, flow))).alias("x"))
+    return O.union_detectors(all_.select("path", "line_no", "severity", "cwe", "snippet", "x.*"), D.secret_providers(lines(spark, d)))
 
 
 def core(df: DataFrame, *more: str) -> DataFrame:
@@ -332,19 +339,19 @@ def union_detectors(spark, d):
     return core(every(spark, d), "source", "seq")
 
 
-@query(f"WITH {UNION} SELECT {CORE}, source, CASE WHEN source = 'taint' AND EXISTS (SELECT 1 FROM every r WHERE r.source = 'rule' AND r.path = e.path AND r.line_no = e.line_no) THEN 'confirmed' ELSE confidence END AS confidence FROM every e WHERE NOT (source = 'rule' AND EXISTS (SELECT 1 FROM every t WHERE t.source = 'taint' AND t.path = e.path AND t.line_no = e.line_no))")
+@query(f"WITH {MERGED}, r AS (SELECT DISTINCT path, line_no FROM every WHERE source = 'rule'), t AS (SELECT DISTINCT path, line_no FROM every WHERE source = 'taint') SELECT {CORE}, source, CASE WHEN r.path IS NULL THEN confidence ELSE 'confirmed' END AS confidence FROM every LEFT JOIN r USING (path, line_no) WHERE source = 'taint' UNION ALL SELECT {CORE}, source, confidence FROM every ANTI JOIN t USING (path, line_no) WHERE source = 'rule' UNION ALL SELECT {CORE}, source, confidence FROM every WHERE source NOT IN ('taint', 'rule')")
 def merge_taint_over_rule(spark, d):
-    return core(O.merge_taint_over_rule(every(spark, d)), "source", "confidence")
+    return core(O.merge_taint_over_rule(every(spark, d, **MERGED_OF)), "source", "confidence")
 
 
-@query(f"WITH {UNION} SELECT {CORE}, source FROM every e WHERE NOT (source = 'dataflow' AND EXISTS (SELECT 1 FROM every r WHERE r.source <> 'dataflow' AND r.path = e.path AND r.line_no = e.line_no AND r.cwe = e.cwe))")
+@query(f"WITH {MERGED}, o AS (SELECT DISTINCT path, line_no, cwe FROM every WHERE source <> 'dataflow') SELECT {CORE}, source FROM every WHERE source <> 'dataflow' UNION ALL SELECT {CORE}, source FROM every ANTI JOIN o USING (path, line_no, cwe) WHERE source = 'dataflow'")
 def merge_dataflow(spark, d):
-    return core(O.merge_dataflow(every(spark, d)), "source")
+    return core(O.merge_dataflow(every(spark, d, **MERGED_OF)), "source")
 
 
-@query(f"WITH {UNION} SELECT {CORE}, source FROM every e WHERE NOT (source IN ('secret-scanner', 'entropy') AND EXISTS (SELECT 1 FROM every r WHERE r.source NOT IN ('secret-scanner', 'entropy') AND r.category = 'secrets' AND r.path = e.path AND r.line_no = e.line_no))")
+@query(f"WITH {MERGED}, o AS (SELECT DISTINCT path, line_no FROM every WHERE source NOT IN ('secret-scanner', 'entropy') AND category = 'secrets') SELECT {CORE}, source FROM every WHERE source NOT IN ('secret-scanner', 'entropy') UNION ALL SELECT {CORE}, source FROM every ANTI JOIN o USING (path, line_no) WHERE source IN ('secret-scanner', 'entropy')")
 def merge_secrets(spark, d):
-    return core(O.merge_secrets(every(spark, d)), "source")
+    return core(O.merge_secrets(every(spark, d, **MERGED_OF)), "source")
 
 
 @query(f"WITH {UNION} SELECT {CORE}, source, CASE WHEN (SELECT count(DISTINCT source) FROM every r WHERE r.path = e.path AND r.line_no = e.line_no AND r.cwe = e.cwe) >= 2 THEN 'confirmed' ELSE confidence END AS confidence FROM every e")
@@ -357,18 +364,9 @@ def dedupe_findings(spark, d):
     return core(O.dedupe(every(spark, d)), "source", "rule_ids")
 
 
-@query(f"WITH {UNION} SELECT CAST(row_number() OVER (ORDER BY {RANK}, path, line_no, seq, rule_id) AS BIGINT) AS place, path, line_no, rule_id FROM every ORDER BY place LIMIT 200")
-def sort_findings(spark, d):
-    """The first 200, as the SQL has them; `sort_findings_all` has all."""
-    from pyspark.sql import Window
-
-    top = O.sort_findings(every(spark, d)).limit(200)
-    place = F.row_number().over(Window.orderBy(dims.rank("severity"), "path", "line_no", "seq", "rule_id"))
-    return top.select(place.cast("long").alias("place"), "path", "line_no", "rule_id")
-
-
 @query(f"WITH {UNION} SELECT CAST(row_number() OVER (ORDER BY {RANK}, path, line_no, seq, rule_id) AS BIGINT) AS place, path, line_no, rule_id FROM every")
-def sort_findings_all(spark, d):
+def sort_findings(spark, d):
+    """All findings with their place in the order."""
     return O.placed(every(spark, d)).select("place", "path", "line_no", "rule_id")
 
 
@@ -400,15 +398,13 @@ def suppress_inline(spark, d):
 
 @query(f"WITH {FOUND}, {_MARKS} SELECT count(*) AS suppressed FROM found f WHERE EXISTS (SELECT 1 FROM marks m WHERE m.path = f.path AND m.line_no = f.line_no AND (m.rule_id IS NULL OR m.rule_id = f.rule_id))")
 def suppressed_count(spark, d):
-    own, marks = found(spark, d), O.suppressions(lines(spark, d))
-    kept = O.suppress_inline(own, marks)
-    return own.agg(F.count("*").alias("a")).crossJoin(kept.agg(F.count("*").alias("b"))).select((F.col("a") - F.col("b")).alias("suppressed"))
+    return O.suppressed_inline(found(spark, d), O.suppressions(lines(spark, d))).agg(F.count("*").alias("suppressed"))
 
 
-@query(f"WITH {FOUND} SELECT {CORE} FROM found WHERE {FINGERPRINT} NOT IN (SELECT {FINGERPRINT} FROM found WHERE line_no % 3 = 0)")
+@query(f"WITH {findings_sql(**MERGED_OF)}, f AS MATERIALIZED (SELECT *, {FINGERPRINT} AS fingerprint FROM found), b AS (SELECT DISTINCT fingerprint FROM f WHERE line_no % 3 = 0) SELECT {CORE} FROM f ANTI JOIN b USING (fingerprint)")
 def suppress_baseline(spark, d):
-    own = found(spark, d)
-    return core(O.suppress_baseline(own, O.with_fingerprint(own.where("line_no % 3 = 0"))))
+    own = found(spark, d, **MERGED_OF)
+    return core(O.suppress_baseline(own, O.baseline(own.where("line_no % 3 = 0"))))
 
 
 @query(f"WITH {FOUND} SELECT {CORE} FROM found WHERE rule_id <> 'CFG-SSL-001'")
@@ -417,9 +413,9 @@ def suppress_rule(spark, d):
     return core(found(spark, d).join(F.broadcast(rules), "rule_id", "left_anti"))
 
 
-@query(f"WITH {FOUND} SELECT CAST(1 AS INT) AS version, string_agg(DISTINCT {FINGERPRINT}, ',' ORDER BY {FINGERPRINT}) AS fingerprints, count(DISTINCT {FINGERPRINT}) AS count FROM found")
+@query(f"WITH {FOUND} SELECT DISTINCT {FINGERPRINT} AS fingerprint FROM found")
 def baseline_create(spark, d):
-    return O.baseline(found(spark, d)).select("version", F.array_join("fingerprints", ",").alias("fingerprints"), "count")
+    return O.baseline(found(spark, d))
 
 
 @query(f"WITH {FOUND} SELECT CAST(coalesce(max(CASE WHEN {RANK} <= 1 THEN 1 ELSE 0 END), 0) AS BIGINT) AS exit_code FROM found")

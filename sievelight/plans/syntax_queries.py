@@ -26,13 +26,13 @@ def query(sql: str | None = None):
     return put
 
 
-def stated(columns: str, rows: list[tuple]) -> str:
+def stated(columns: str, rows: list[tuple], of: tuple[str, ...] = C.MODULES) -> str:
     """SQL of rows (template, values): each for every event of its template; {n} in a text is the event's number."""
     names = columns.split()
     value = lambda v: q(v) if isinstance(v, str) else f"CAST({v} AS BIGINT)"
     body = ", ".join(f"({k}, " + ", ".join(map(value, r)) + ")" for k, *r in rows)
     shown = ", ".join(f"replace(t.{c}, '{{n}}', CAST(event_id AS VARCHAR)) AS {c}" if isinstance(rows[0][i + 1], str) else f"t.{c} AS {c}" for i, c in enumerate(names))
-    return f"SELECT 'm' || event_id || '.py' AS path, {shown} FROM events JOIN (VALUES {body}) t(kind, {', '.join(names)}) ON event_id % {len(C.MODULES)} = t.kind"
+    return f"SELECT 'm' || event_id || '.py' AS path, {shown} FROM events JOIN (VALUES {body}) t(kind, {', '.join(names)}) ON event_id % {len(of)} = t.kind"
 
 
 def facts(spark, d) -> DataFrame:
@@ -107,12 +107,6 @@ def sink_calls(spark, d):
     return calls.join(F.broadcast(sinks_), "sink").select("path", "scope", "name", F.col("a").alias("n_args"))
 
 
-@query(stated("scope src dst", [(4, "half_{n}", 0, 1), (4, "half_{n}", 1, 2), (4, "half_{n}", 1, 3), (4, "half_{n}", 2, 3)]))
-def cfg_edges(spark, d):
-    own = C.modules(spark, d).where("kind = 4")
-    return S.facts(own).where("kind = 'cfg'").select("path", "scope", F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
 #: template, scope, node, next node: the edges of all templates. Nodes count a body's statements from 0, nested ones in their order; a return or raise has no next.
 _EDGES = [
     (1, "branchy_{n}", 0, 1), (1, "branchy_{n}", 0, 6), (1, "branchy_{n}", 1, 2), (1, "branchy_{n}", 1, 8), (1, "branchy_{n}", 2, 1), (1, "branchy_{n}", 2, 3), (1, "branchy_{n}", 3, 1), (1, "branchy_{n}", 3, 4),
@@ -123,16 +117,17 @@ _EDGES = [
 
 
 @query(stated("scope src dst", _EDGES))
-def cfg_edges_all(spark, d):
-    """The edges of all modules; `cfg_edges` has those of one template, as its SQL does."""
+def cfg_edges(spark, d):
+    """The edges of the control-flow graphs of all modules."""
     return facts(spark, d).where("kind = 'cfg'").select("path", "scope", F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
-@query("WITH RECURSIVE e AS (SELECT p_partkey AS src, p_partkey * 7 % 500 + 1 AS dst FROM part), r(node) AS (SELECT CAST(p_partkey AS BIGINT) FROM part WHERE p_partkey < 4 UNION SELECT CAST(e.dst AS BIGINT) FROM r JOIN e ON e.src = r.node) SELECT node FROM r")
+@query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT path || ':' || scope AS f, src, dst FROM ({stated('scope src dst', _EDGES)})), r(f, node) AS (SELECT DISTINCT f, CAST(0 AS BIGINT) FROM e UNION SELECT r.f, e.dst FROM r JOIN e ON e.f = r.f AND e.src = r.node) SELECT f || ':' || node AS node FROM r")
 def dataflow_fixpoint(spark, d):
-    k = F.col("p_partkey")
-    part = spark.read.parquet(f"{d}/part.parquet").select("p_partkey")
-    return fixpoint.closure(part.select(k.alias("src"), (k * 7 % 500 + 1).alias("dst")), part.where("p_partkey < 4").select(k.alias("node")))
+    """The nodes that execution can reach from each function's first one, over the control-flow graphs of all modules."""
+    name = lambda c: F.concat_ws(":", "path", "scope", F.col(c).cast("string"))
+    own = facts(spark, d).where("kind = 'cfg'").select(name("a").alias("src"), name("b").alias("dst"), F.concat_ws(":", "path", "scope", F.lit("0")).alias("first"))
+    return fixpoint.closure(own.select("src", "dst"), own.select(F.col("first").alias("node")))
 
 
 @query(stated("line_no sink cwe", [(2, 6, "os.system", "CWE-78"), (5, 6, "eval", "CWE-95")]))
@@ -155,7 +150,55 @@ def refactor_by_category(spark, d):
     return refactor.changes(C.modules(spark, d), 2).groupBy("rule", "category").agg(F.count("*").alias("n"))
 
 
-@query()
+#: template, rule, line, before, after, category of the change in each template of `corpus.REWRITES` that has one
+_REWRITES = [
+    (0, 'eq-none', 2, 'x == None', 'x is None', 'idiom'),
+    (1, 'neq-none', 2, 'x != None', 'x is not None', 'idiom'),
+    (2, 'double-not', 2, 'not not x', 'bool(x)', 'idiom'),
+    (3, 'not-in', 2, 'not x in y', 'x not in y', 'idiom'),
+    (4, 'not-is', 2, 'not x is y', 'x is not y', 'idiom'),
+    (5, 'not-eq', 2, 'not x == 1', 'x != 1', 'idiom'),
+    (6, 'not-neq', 2, 'not x != 1', 'x == 1', 'idiom'),
+    (7, 'eq-true', 2, 'x == True', 'x', 'idiom'),
+    (8, 'eq-false', 2, 'x == False', 'not x', 'idiom'),
+    (9, 'len-gt0', 2, 'len(x) > 0', 'bool(x)', 'idiom'),
+    (10, 'len-eq0', 2, 'len(x) == 0', 'not x', 'idiom'),
+    (11, 'type-eq', 2, 'type(x) == str', 'isinstance(x, str)', 'idiom'),
+    (12, 'dict-keys-membership', 2, 'k in d.keys()', 'k in d', 'idiom'),
+    (13, 'genexpr-in-aggregate', 2, 'sum([i * i for i in x])', 'sum((i * i for i in x))', 'idiom'),
+    (14, 'merge-if', 2, 'if x:\n    if y:\n        go()', 'if x and y:\n    go()', 'structure'),
+    (15, 'if-return-bool', 2, 'if x > 1:\n    return True\nelse:\n    return False', 'return x > 1', 'idiom'),
+    (16, 'range-len-enumerate', 2, 'for i in range(len(x)):\n    go(i, x[i])', 'for i, x_item in enumerate(x):\n    go(i, x_item)', 'idiom'),
+    (17, 'aug-assign', 2, 'x = x + 1', 'x += 1', 'idiom'),
+    (18, 'dead-code', 3, 'go(x)', 'pass', 'cleanup'),
+    (19, 'extract-condition', 2, 'if x and y and (x > 1) and (y > 1):\n    go()', 'condition_1 = x and y and (x > 1) and (y > 1); if condition_1:\n    go()', 'structure'),
+    (20, 'guard-clause', 3, 'if x:\n    go(1)\n    go(2)\n    go(y)', 'if not x:\n    return', 'structure'),
+    (21, 'named-constant', 2, '404', 'HTTP_NOT_FOUND', 'naming'),
+]
+
+
+@query(stated("rule line before after category", _REWRITES, C.REWRITES))
+def refactor_changes(spark, d):
+    """Every rewrite, and files that none touches."""
+    return refactor.changes(C.rewrites(spark, d), 3)
+
+
+#: template, header of the function, its stub's first word, parameters, whether it returns something
+_STUBS = [
+    (0, "def plain_{n}(a, b):\n", "Plain", ("a", "b"), True), (1, "def branchy_{n}(a, b, c, d, e, f):\n", "Branchy", ("a", "b", "c", "d", "e", "f"), True), (2, "def read_{n}():\n", "Read", (), False), (3, "def clean_{n}():\n", "Clean", (), False),
+    (4, "def half_{n}(flag):\n", "Half", ("flag",), False), (5, "def helper_{n}(p):\n", "Helper", ("p",), True), (5, "def use_{n}():\n", "Use", (), False), (8, "def loop_{n}(items):\n", "Loop", ("items",), True),
+]
+
+
+def _stubbed() -> list[tuple[int, str]]:
+    texts = list(C.MODULES)
+    for k, header, word, params, returns in _STUBS:
+        body = [f"{word} {{n}}.", *(["", "Args:", *(f"    {x}:" for x in params)] if params else []), *(["", "Returns:", "    the result."] if returns else [])]
+        texts[k] = texts[k].replace(header, header + '    """' + "\n".join([body[0], *(("    " + x).rstrip() for x in body[1:])]) + '\n    """\n')
+    return list(enumerate(texts))
+
+
+@query(stated("text", _stubbed()))
 def docstring_stubs(spark, d):
     return refactor.documented(C.modules(spark, d))
 

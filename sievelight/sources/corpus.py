@@ -153,3 +153,43 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.col("template"), F.lit("{n}"), F.col("event_id").cast("string"))
     suffix = F.element_at(F.array(*[F.lit(s) for s, _ in CALLS]), (F.col("_kind") + 1).cast("int"))
     return e.select(F.concat(F.lit("c"), F.col("event_id").cast("string"), F.lit("."), suffix).alias("path"), text.alias("text")).select("path", detect_language("path").alias("language"), "text")
+
+
+#: Python files for the rewrites, one for each event: the first for each rewrite in turn, the others for what none must touch.
+REWRITES = (
+    "def a_{n}(x):\n    return x == None\n",
+    "def a_{n}(x):\n    return x != None\n",
+    "def a_{n}(x):\n    return not not x\n",
+    "def a_{n}(x, y):\n    return not x in y\n",
+    "def a_{n}(x, y):\n    return not x is y\n",
+    "def a_{n}(x):\n    return not x == 1\n",
+    "def a_{n}(x):\n    return not x != 1\n",
+    "def a_{n}(x):\n    if x == True:\n        go()\n",
+    "def a_{n}(x):\n    if x == False:\n        go()\n",
+    "def a_{n}(x):\n    return len(x) > 0\n",
+    "def a_{n}(x):\n    return len(x) == 0\n",
+    "def a_{n}(x):\n    return type(x) == str\n",
+    "def a_{n}(k, d):\n    return k in d.keys()\n",
+    "def a_{n}(x):\n    return sum([i * i for i in x])\n",
+    "def a_{n}(x, y):\n    if x:\n        if y:\n            go()\n",
+    "def a_{n}(x):\n    if x > 1:\n        return True\n    else:\n        return False\n",
+    "def a_{n}(x):\n    for i in range(len(x)):\n        go(i, x[i])\n",
+    "def a_{n}(x):\n    x = x + 1\n    return x\n",
+    "def a_{n}(x):\n    return x\n    go(x)\n",
+    "def a_{n}(x, y):\n    if x and y and x > 1 and y > 1:\n        go()\n",
+    "def a_{n}(x):\n    y = x\n    if x:\n        go(1)\n        go(2)\n        go(y)\n",
+    "def a_{n}(x):\n    return x == 404\n",
+    "def b_{n}():\n    return\n    yield 1\n",
+    "def b_{n}(x):\n    for i in range(len(x)):\n        x.append(x[i])\n",
+    "def b_{n}(x):\n    match x:\n        case 404:\n            return 1\n        case _:\n            return 2\n",
+    "def b_{n}(x):\n    x = x + [1]\n    return x\n",
+    "def b_{n}(x):\n    return x is None and x not in [] and bool(x)\n",
+    "def b_{n}(:\n",
+)
+
+
+def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, language, text of a Python file for each event."""
+    e = _with_template(_events(spark, sf_dir), F.col("event_id") % len(REWRITES), REWRITES)
+    text = F.replace(F.col("template"), F.lit("{n}"), F.col("event_id").cast("string"))
+    return e.select(F.concat(F.lit("m"), F.col("event_id").cast("string"), F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("text"))

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -14,19 +13,29 @@ from ..functions import text as T
 CONFIG_NAME = ".sievelightrc"
 
 
-def keep_path(path: str = "path"):
-    """Whether a scan reads the path: a known suffix or build file, in no skipped folder."""
+def keep_path(path: str = "path", below: Column | str = ""):
+    """Whether a scan reads the path: a known suffix or build file, in no skipped folder below `below`, which is the path's beginning."""
     known = T.suffix(path).isin(*dims.SUFFIXES) | F.lower(T.file_name(path)).isin(*dims.BUILD_FILES)
-    return known & ~F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, dims.SKIPPED_DIRS)))
+    inner = F.substring(F.col(path), F.length(F.lit(below) if isinstance(below, str) else below) + 1, F.length(path))
+    return known & ~F.arrays_overlap(F.split(inner, "/"), F.array(*map(F.lit, dims.SKIPPED_DIRS)))
+
+
+def clean_text(content: Column | str) -> Column:
+    """Bytes as text; those that aren't UTF-8 are left out."""
+    return F.replace(F.make_valid_utf8((F.col(content) if isinstance(content, str) else content).cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
 def read_files(spark: SparkSession, target: str, recursive: bool = True) -> DataFrame:
-    """path, language, text of the source files below `target`, or of the file itself, whatever its suffix. Bytes that aren't UTF-8 are left out."""
+    """path, language, text of the source files below `target`, or of the file itself, whatever its suffix. Skipped folders count below the
+    target only. Bytes that aren't UTF-8 are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(target)
-    if not PurePosixPath(target).suffix:
-        raw = raw.where(keep_path())
-    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
-    return raw.select("path", T.detect_language("path").alias("language"), text.alias("text"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    if not (status and len(status) == 1 and status[0].isFile()):
+        # Paths come with their file system's name, as the one that the file system gives for the target.
+        below = status[0].getPath().toString() if status and len(status) == 1 else ""
+        raw = raw.where(keep_path("path", below))
+    return raw.select("path", T.detect_language("path").alias("language"), clean_text("content").alias("text"))
 
 
 def to_lines(files: DataFrame) -> DataFrame:
@@ -53,9 +62,12 @@ def merge_config(cli: dict, config: dict | str | None) -> dict:
 
 def read_baseline(spark: SparkSession, path: str) -> DataFrame:
     """fingerprint; a baseline that isn't there or can't be read is empty."""
-    raw = spark.read.option("ignoreMissingFiles", True).text(path, wholetext=True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "fingerprint string")
+    raw = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", "version int, fingerprints array<string>, count long")
-    return raw.select(F.explode(parsed.fingerprints).alias("fingerprint")).distinct()
+    return raw.select(F.explode(parsed.fingerprints).alias("fingerprint")).where("fingerprint is not null").distinct()
 
 
 def parse_ignore(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import json
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
@@ -29,9 +32,9 @@ def json_rows(found: DataFrame) -> DataFrame:
 
 
 def sarif_rules(found: DataFrame) -> DataFrame:
-    """A rule object for each rule id, from its first finding."""
-    first = F.row_number().over(Window.partitionBy("rule_id").orderBy("path", "line_no", "col"))
-    own = found.withColumn("_n", first).where("_n = 1")
+    """A rule object for each rule id, from its first finding; partial aggregates leave one row a rule and task to shuffle."""
+    first = F.min(F.struct("path", "line_no", "col", "title", "severity")).alias("x")
+    own = found.groupBy("rule_id").agg(first).select("rule_id", "x.title", "x.severity")
     return own.select("rule_id", T.pascal_case("title").alias("name"), dims.mapped("severity", {k: v[2] for k, v in dims.SEVERITIES.items()}, "note").alias("level"), dims.mapped("severity", {k: v[3] for k, v in dims.SEVERITIES.items()}, "0.0").alias("security_severity"))
 
 
@@ -45,14 +48,32 @@ def sarif_results(found: DataFrame) -> DataFrame:
     return found.select("rule_id", "path", "line_no", F.to_json(body).alias("result"))
 
 
-def sarif_document(found: DataFrame, ended: str) -> str:
-    """The whole document as text. It holds all results, so it is for reports that fit the driver; larger ones stay rows."""
-    import json
+def _enveloped(head: str, rows: Iterator[str], tail: str) -> Iterator[str]:
+    """A document in parts, so that the driver holds one partition's rows at a time."""
+    yield head
+    for i, x in enumerate(rows):
+        yield ("," if i else "") + x
+    yield tail
 
+
+def sarif_parts(found: DataFrame, ended: str) -> Iterator[str]:
+    """The SARIF document in parts to write one after another: rules, of the catalog's number, then results as they come."""
     rules = [{"id": r.rule_id, "name": r.name, "defaultConfiguration": {"level": r.level}, "properties": {"security-severity": r.security_severity}} for r in sarif_rules(found).orderBy("rule_id").toLocalIterator()]
-    results = [json.loads(r.result) for r in sarif_results(found).orderBy("path", "line_no", "rule_id").toLocalIterator()]
-    run = {"tool": {"driver": {"name": "sievelight", "rules": rules}}, "results": results, "invocations": [{"executionSuccessful": True, "endTimeUtc": ended}]}
-    return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [run]})
+    tool = json.dumps({"driver": {"name": "sievelight", "rules": rules}})
+    run = json.dumps([{"executionSuccessful": True, "endTimeUtc": ended}])
+    head = f'{{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{{"tool": {tool}, "invocations": {run}, "results": ['
+    return _enveloped(head, (r.result for r in sarif_results(found).orderBy("path", "line_no", "rule_id").toLocalIterator()), "]}]}")
+
+
+def sarif_document(found: DataFrame, ended: str) -> str:
+    """The whole document as one text, for reports that fit the driver."""
+    return "".join(sarif_parts(found, ended))
+
+
+def baseline_parts(fingerprints: DataFrame) -> Iterator[str]:
+    """A baseline (fingerprint) as one JSON document in parts: version, count, and the sorted fingerprints."""
+    own = fingerprints.select("fingerprint").distinct()
+    return _enveloped(f'{{"version": 1, "count": {own.count()}, "fingerprints": [', (json.dumps(r.fingerprint) for r in own.orderBy("fingerprint").toLocalIterator()), "]}")
 
 
 def rule_help(catalog: DataFrame) -> DataFrame:

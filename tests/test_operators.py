@@ -39,6 +39,20 @@ def test_taint_between_functions():
     assert [r[3] for r in S.file_facts(text) if r[0] == "taint"] == [5]
 
 
+def test_flow_of_taint(spark):
+    text = "def a(p):\n    return 'x' + p\ndef b():\n    k = request.args.get('k')\n    q = a(k)\n    os.system(q)\n    eval(input())\n"
+    own = S.taint_findings(S.facts(spark.createDataFrame([("a.py", "python", text)], "path string, language string, text string"))).orderBy("line_no").collect()
+    assert [(r.line_no, r.source_var, r.sink, r.flow) for r in own] == [(6, "request.args.get", "os.system", "request.args.get -> k -> p -> a() -> q -> os.system()"), (7, "input", "eval", "input -> eval()")]
+
+
+def test_equal_names_in_two_classes(spark):
+    text = "class A:\n    def get(self, x):\n        v = input()\n        return v\nclass B:\n    def get(self, y):\n        v = 'ok'\n        eval(v)\n        return lookup(y)\n"
+    facts = S.facts(spark.createDataFrame([("a.py", "python", text)], "path string, language string, text string")).cache()
+    assert S.taint_findings(facts).count() == 0
+    assert sorted((r.function, r.params, r.calls) for r in S.describe_functions(facts).collect()) == [("get", "x", "input"), ("get", "y", "eval,lookup")]
+    assert sorted((r.function, r.line, r.lines) for r in S.complexity(facts).collect()) == [("get", 2, 3), ("get", 6, 4)]
+
+
 def test_closure_with_cycle(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (None, 6)], "src int, dst int")
     assert sorted(r[0] for r in fixpoint.closure(edges, spark.createDataFrame([(1,)], "node int")).collect()) == [1, 2, 3]
@@ -128,6 +142,28 @@ def test_read_files(spark, tmp_path):
     assert [(r.path.rsplit("/", 1)[1], r.language, r.text) for r in own] == [("a.py", "python", "eval(x)\nAB\n")]
 
 
+def test_read_files_below_a_skipped_name(spark, tmp_path):
+    """What is skipped counts below the target; a dot in a folder's name doesn't make it a file."""
+    top = tmp_path / "build" / "proj.v1"
+    for name in ("a.py", "notes.txt", "dist/b.py", "sub/pom.xml"):
+        (top / name).parent.mkdir(parents=True, exist_ok=True)
+        (top / name).write_text("eval(x)")
+    names = lambda df: sorted(r.path.rsplit("proj.v1/", 1)[1] for r in df.collect())
+    assert names(files.read_files(spark, str(top))) == ["a.py", "sub/pom.xml"]
+    assert names(files.read_files(spark, str(top), recursive=False)) == ["a.py"]
+    assert names(files.read_files(spark, str(top / "notes.txt"))) == ["notes.txt"]
+
+
+def test_baseline_round_trip(spark, tmp_path):
+    found = scan(spark, "eval(a)\neval(b)\neval(a)")
+    assert files.read_baseline(spark, str(tmp_path / "none.json")).count() == 0
+    (tmp_path / "bad.json").write_text("not json")
+    assert files.read_baseline(spark, str(tmp_path / "bad.json")).count() == 0
+    (tmp_path / "b.json").write_text("".join(sinks.baseline_parts(O.baseline(found.where("line_no < 2")))))
+    known = files.read_baseline(spark, str(tmp_path / "b.json"))
+    assert known.count() == 1 and [r.line_no for r in O.suppress_baseline(found, known).collect()] == [2]
+
+
 def test_sarif(spark):
     import json
 

@@ -1,4 +1,4 @@
-"""Queries on whole tables, beside those that their SQL holds to a part."""
+"""Queries on whole tables: edges of every template, places of all findings."""
 
 from sievelight.operators import findings as O
 from sievelight.operators.syntax import facts
@@ -18,7 +18,7 @@ BODIES = [
 
 
 def test_edges_of_every_template(spark):
-    found = catalog.QUERIES["cfg_edges_all"](spark, SF)
+    found = catalog.QUERIES["cfg_edges"](spark, SF)
     templates = {int(r.path[1:-3]) % len(C.MODULES) for r in found.select("path").distinct().collect()}
     assert templates == {1, 2, 3, 4, 5, 7, 8}  # plain_ has one statement, broken_ doesn't parse
 
@@ -32,7 +32,7 @@ def test_edges_of_a_fixture(spark):
 
 def test_places_of_all_findings(spark):
     """Every finding has its place, over many ranges, with ties and a place for each of equal rows."""
-    found = catalog.QUERIES["sort_findings_all"](spark, SF).collect()
+    found = catalog.QUERIES["sort_findings"](spark, SF).collect()
     assert len(found) > 200 and sorted(r.place for r in found) == list(range(1, len(found) + 1))
     severity = ["low", "critical", "info", "high", "medium"]
     rows = [(f"f{i % 7}", i % 50, f"R{i % 3}", severity[i % 5], i % 4) for i in range(1000)] * 2
