@@ -1,14 +1,15 @@
-"""Licence scans: templates found in paragraphs, confirmed by a trained classifier.
-
-A paragraph is a run of lines that hold a word, whatever marks of comments stand before it. A template is found in it where the
-share of the template's word triples in one place is at least `Settings.cover`, for one of at most eight words all of them but
-one; line ends and words in between don't matter. What is found counts only if the classifier gives that place to the template's
-family. The classifier's features are hashed n-grams of one to three words, kept sparse. A softmax regression over licence families
-and an unknown class is trained on the driver, by stochastic gradient descent, on paragraphs made by rule from the templates (cut, and
-set among other words) and on others that share words with them. Held-out paragraphs calibrate its temperature and the
-least score of a family, so that the unknown class takes what is unsure.
-
-Paragraphs without any of `cues` are passed over: those follow from what confirms a template, so no template can be found there.
+"""Licence scans: a trained classifier of paragraphs names licence families, and a comparison with their templates confirms them.
+
+1. A paragraph is a run of lines that hold a word, whatever marks of comments stand before it. Every paragraph of every text is
+   classified, in windows of two times `Settings.half` words that overlap by half; no word or pattern decides beforehand.
+2. The classifier is a logistic regression over sparse hashed n-grams of one to three words, one for each family, trained on the
+   driver by stochastic gradient descent on paragraphs made by rule from wordings of licences, alone, cut, and set among other
+   words, and on texts that share words with them. Each family's score is calibrated (scale and shift) on wordings that training
+   doesn't see; a window that no family's score reaches `Settings.least` in is of the unknown class. A text's n-grams are looked up by their whole
+   hash, so words that training doesn't know weigh nothing.
+3. What is classified is compared with the templates of the families found there: a template confirms where the share of its word
+   triples in one place is at least `Settings.cover`, for one of at most eight words all of them but one, for one of at most four
+   words all. Line ends and words in between don't matter. Of places that overlap, the best covered one stays.
 
 Defined cases: null and empty texts have no findings; whole texts are read; equal rows give equal rows; a null id stays null; extra
 columns are ignored; an empty table gives an empty table.
@@ -16,10 +17,9 @@ columns are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import itertools
 import math
 import random
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,9 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import by_rows, text_sizes, texts_of
+from .neardup import mix, powers
 
 #: Wordings of public licences and notices, in lower case without punctuation.
-TEMPLATES: dict[str, tuple[str, ...]] = {
+WORDINGS: dict[str, tuple[str, ...]] = {
     "MIT": (
         "released under the mit license",
         "licensed under the mit license",
@@ -111,8 +112,44 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "confidential and proprietary unauthorized copying of this file is strictly prohibited",
     ),
 }
-#: Words that complete templates hold. What the scan passes over follows from `cues`, not from these.
-CUES = ("licens", "licenc", "copyright", "rights reserved", "public domain", "permission", "redistribut", "proprietary", "free software", "endorse or promote", "gpl")
+#: Short names of licences. `short_forms` makes notices of them.
+NAMES: dict[str, tuple[str, ...]] = {
+    "MIT": ("mit", "expat"),
+    "Apache-2.0": ("apache 2.0", "apache 2", "apache license 2.0", "apache license version 2.0", "apache software license"),
+    "GPL": ("gpl", "gplv2", "gplv3", "gpl v2", "gpl v3", "gpl 2.0", "gpl 3.0", "gpl version 2", "gpl version 3", "gnu gpl", "gnu gplv3", "gnu gpl v3", "gnu general public license"),
+    "LGPL": ("lgpl", "lgplv2.1", "lgplv3", "lgpl 2.1", "lgpl 3.0", "lgpl v3", "gnu lgpl", "gnu lesser general public license"),
+    "AGPL": ("agpl", "agplv3", "agpl 3.0", "agpl v3", "gnu agpl", "gnu agplv3", "gnu affero general public license"),
+    "BSD": ("bsd", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd", "simplified bsd", "new bsd"),
+    "ISC": ("isc",),
+    "MPL-2.0": ("mpl", "mpl 2.0", "mplv2.0", "mozilla public license 2.0", "mozilla public license version 2.0"),
+    "CC-BY": ("cc by 4.0", "cc by 3.0", "creative commons attribution 4.0", "creative commons attribution 3.0"),
+    "CC-BY-SA": ("cc by sa 4.0", "cc by sa 3.0", "creative commons attribution sharealike 4.0", "creative commons attribution share alike 4.0"),
+    "CC-BY-NC": ("cc by nc 4.0", "cc by nc sa 4.0", "cc by nc nd 4.0", "creative commons attribution noncommercial 4.0", "creative commons attribution non commercial 4.0"),
+    "CC-BY-ND": ("cc by nd 4.0", "creative commons attribution noderivatives 4.0"),
+    "public-domain": ("cc0", "cc0 1.0", "cc0 1.0 universal", "unlicense"),
+}
+#: Wordings that only calibration sees.
+HELD: dict[str, tuple[str, ...]] = {
+    "MIT": ("This project is provided under the terms of the MIT licence, see the file for details.", "The code in this folder is open source (MIT License).", "license = \"MIT\"", "Permission is granted free of charge to any person who obtains a copy of this software and associated documentation files"),
+    "Apache-2.0": ("The source is made available under the Apache License, Version 2.0; see NOTICE.", "License: Apache-2.0", "You may not use these files except in compliance with the License, which is the Apache License 2.0"),
+    "GPL": ("It comes under the GNU General Public License, version 3 or any later one.", "License: GPLv3", "SPDX-License-Identifier: GPL-2.0-only", "you can redistribute it under the terms of the GNU General Public License"),
+    "LGPL": ("The library may be used under the GNU Lesser General Public License, version 3.", "License: LGPLv3", "SPDX-License-Identifier: LGPL-3.0-only"),
+    "AGPL": ("The server is under the GNU Affero General Public License, version 3.", "License: AGPLv3", "SPDX-License-Identifier: AGPL-3.0-only"),
+    "BSD": ("This is free software under the 3-clause BSD license.", "License: BSD", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution in source and binary forms, with or without modification, is permitted provided that these conditions are met"),
+    "ISC": ("Distributed under the ISC license.", "License: ISC", "Permission to use, copy, modify, and distribute this software with or without fee is granted"),
+    "MPL-2.0": ("The files are under the Mozilla Public License, version 2.0.", "License: MPL-2.0", "This Source Code is subject to the terms of the Mozilla Public License"),
+    "CC-BY": ("Content under Creative Commons Attribution 4.0.", "This data set is available under CC BY 4.0.", "License: CC-BY-4.0"),
+    "CC-BY-SA": ("Text under Creative Commons Attribution-ShareAlike 4.0.", "The corpus is available under CC BY-SA 4.0.", "License: CC-BY-SA-4.0"),
+    "CC-BY-NC": ("Pictures under Creative Commons Attribution-NonCommercial 4.0.", "The corpus is available under CC BY-NC 4.0.", "License: CC-BY-NC-4.0"),
+    "CC-BY-ND": ("Music under Creative Commons Attribution-NoDerivatives 4.0.", "The recording is available under CC BY-ND 4.0.", "License: CC-BY-ND-4.0"),
+    "public-domain": ("The author released this into the public domain.", "CC0 1.0 Universal", "License: CC0-1.0"),
+    "proprietary": ("Copyright 2019 Example Inc. All rights reserved.", "Confidential. Unauthorized copying of these pages is strictly prohibited.", "No part of this book may be reproduced without written permission of the publisher."),
+}
+HELD_OTHERS = (
+    "the students license their photos to the paper", "a permission slip for the trip is due on friday", "his rights were read to him by the officer", "mit einer Lizenz der Stadt darf er fahren", "the general had no public opinion on it",
+    "the bsd daemon is a well known drawing", "version 2.0 of the report was reserved for members", "the creative team gave commons rooms to all", "an isc meeting was held in the library", "software under test must not be changed",
+    "she is a licensed driver under the age of thirty", "the domain of the function is the public set", "copyright was the topic of the lecture", "the apache tribe lived on the plains", "license: to be decided later by the board",
+)
 #: Sentences that share words with licences but grant nothing, and words to set around.
 OTHERS = (
     "he lost his driver license on the way to the office", "the license plate was covered with mud", "they applied for a fishing license in spring", "all rights and duties of the tenant",
@@ -123,107 +160,249 @@ OTHERS = (
 )
 FILLER = "the of and to in that was for with as on at by from they were had his her which one all would there their what about out up time some could other than then only new its over also back after use two how our work first well even want because any these give day most".split()
 
+
+FUNCTION_WORDS = "this a an is it you he she we they not no may be are or any can do if so see".split()
 UNKNOWN = "unknown"
-_WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+_Q = np.uint64(0xD1342543DE82EF95)
+_CLASS = np.array([1 if chr(i).isalnum() else 0 for i in range(128)] + [0] * 128, bool)
+_DIGIT = np.array([48 <= i < 58 for i in range(256)])
+_LOWER = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
+#: One spelling, and the words after which a sign of assignment belongs to the word.
+SPELLED = {"licence": "license", "licences": "licenses", "licenced": "licensed", "licencing": "licensing", "sublicence": "sublicense"}
+ASSIGNED = ("license", "licence", "licenses", "licences", "identifier")
+
+
+def short_forms(family: str) -> list[str]:
+    """Notices that consist of a name: fields of package files, SPDX lines, `under ...`."""
+    out = []
+    for n in NAMES.get(family, ()):
+        out += [f"license: {n}", f"identifier: {n}", f"under the {n} license", f"licensed under {n}"]
+        out += [f"{n} license"] if "license" not in n else [f"under the {n}"]
+        out += [f"under {n}", f"under the {n}"] if any(c.isdigit() for c in n) and " " in n else []
+    return out + (["cc0 1.0 universal"] if family == "public-domain" else [])
+
+
+#: All templates of each family: wordings first, then the short forms.
+TEMPLATES = {f: (*w, *short_forms(f)) for f, w in WORDINGS.items()}
 
 
 @dataclass(frozen=True)
 class Settings:
-    bits: int = 15
-    window: int = 60
-    made: int = 120  # paragraphs for each family
-    epochs: int = 12
-    rate: float = 0.5
+    half: int = 24  # a window has two halves
+    made: int = 260  # paragraphs for each family
+    epochs: int = 8
+    rate: float = 0.3
     seed: int = 4
-    lost: float = 0.02  # part of the held-out families' paragraphs that may fall to the unknown class
+    least: float = 0.5
     cover: float = 0.6
+    window: int = 60  # words that a template's place may span
+
+
+# Words and n-grams ------------------------------------------------------------------------------------------------------------
 
 
-def words_of(paragraph: str) -> list[str]:
-    return [w.lower() for w in _WORD.findall(paragraph)]
+@dataclass
+class Words:
+    """The words of several texts: where they lie in the joined bytes, their hashes, and the paragraph and text of each."""
+
+    data: bytes
+    start: np.ndarray
+    end: np.ndarray
+    hashes: np.ndarray
+    paragraph: np.ndarray
+    firsts: np.ndarray  # where each text begins in the bytes
+
+    def text(self, i: int) -> str:
+        w = self.data[self.start[i] : self.end[i]].decode()
+        return SPELLED.get(w, w) + (":" if w in ASSIGNED and _assigned(self.data, int(self.end[i])) else "")
+
+
+def _assigned(data: bytes, at: int) -> bool:
+    """Whether a colon or an equals sign follows, after a closing quote and blanks."""
+    rest = data[at : at + 8].lstrip(b"\"' \t")
+    return rest[:1] in (b":", b"=") and b"\n" not in data[at : at + 8 - len(rest)]
+
+
+def _hash_of(words: list[str]) -> np.ndarray:
+    return read([" ".join(words)], plain=True).hashes
+
+
+def read(texts: list[str], plain: bool = False) -> Words:
+    """Words are runs of ASCII letters and digits, with a dot before a digit, in lower case; a paragraph ends where two line feeds stand between words."""
+    raw = [t.encode("utf-8", "replace").translate(_LOWER) for t in texts]
+    data = b"\n\n" + b"\n\n".join(raw) + b"\n\n"
+    b = np.frombuffer(data, np.uint8)
+    inner = _CLASS[b]
+    inner[1:-1] |= (b[1:-1] == 46) & inner[:-2] & _DIGIT[b[2:]]
+    start = np.flatnonzero(inner[1:] & ~inner[:-1]) + 1
+    end = np.flatnonzero(~inner[1:] & inner[:-1]) + 1
+    up, down = powers(len(b))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * up[: len(b)])])
+    h = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _Q)
+    if not plain:
+        for i in np.flatnonzero(np.isin(h, _ASSIGNED_HASHES)):
+            if _assigned(data, int(end[i])):
+                h[i] = _COLON[int(h[i])]
+        for i in np.flatnonzero(np.isin(h, _SPELLED_HASHES)):
+            h[i] = _SPELL[int(h[i])]
+    lines = np.concatenate([[0], np.cumsum(b == 10)])
+    new = lines[start[1:]] - lines[end[:-1]] >= 2 if len(start) else np.zeros(0, bool)
+    firsts = np.cumsum([2] + [len(x) + 2 for x in raw])[:-1]
+    return Words(data, start, end, h, np.concatenate([[0], np.cumsum(new)])[: len(start)], firsts)
+
+
+_SPELL = {int(_hash_of([a])[0]): _hash_of([b])[0] for a, b in SPELLED.items()}
+_COLON = {int(_hash_of([w])[0]): mix(_hash_of([SPELLED.get(w, w)]) ^ np.uint64(58))[0] for w in ASSIGNED}
+_SPELLED_HASHES, _ASSIGNED_HASHES = (np.array(list(x), np.uint64) for x in (_SPELL, _COLON))
+
+
+def ngrams(w: Words) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the n-grams of one to three words that begin at each word, and whether they lie within its paragraph."""
+    h, p = w.hashes, w.paragraph
+    out = [(h, np.ones(len(h), bool))]
+    run = h
+    for n in (1, 2):
+        run = mix(run[: len(h) - n] * _Q + h[n:]) if len(h) > n else np.zeros(0, np.uint64)
+        whole, ok = np.zeros(len(h), np.uint64), np.zeros(len(h), bool)
+        whole[: len(run)], ok[: len(run)] = run, p[n:] == p[: len(run)]
+        out.append((whole, ok))
+    return out
 
 
-def ngrams(words: list[str], bits: int) -> np.ndarray:
-    """Distinct hashed n-grams of one to three words."""
-    joined = [" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)]
-    return np.unique(np.array([zlib.crc32(x.encode()) & (1 << bits) - 1 for x in joined], np.int64))
+# The classifier -----------------------------------------------------------------------------------------------------------------
 
 
 @dataclass
 class Model:
     families: list[str]
-    weights: np.ndarray  # buckets x families
+    known: np.ndarray  # sorted hashes of the n-grams that training met
+    weights: np.ndarray  # n-grams x families, and a last row of zeros for those it didn't
     bias: np.ndarray
-    heat: float
-    least: float
+    scale: np.ndarray
+    shift: np.ndarray
     s: Settings
-
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        """The family and its calibrated score; the unknown class where none reaches the least score."""
-        z = (self.weights[ngrams(words, self.s.bits)].sum(0) + self.bias) * self.heat
-        p = np.exp(z - z.max())
-        p /= p.sum()
+    bits: int = 20
+
+    def __post_init__(self) -> None:
+        # A table by leading bits spares the search; of known n-grams that share a place the search finds the others.
+        self.slot = np.full(1 << self.bits, len(self.known), np.int32)
+        at = (self.known >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.slot[at] = np.arange(len(self.known))
+        self.shared = np.bincount(at, minlength=1 << self.bits) > 1
+
+    def rows(self, h: np.ndarray, ok: np.ndarray) -> np.ndarray:
+        at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        row = self.slot[at]
+        last = len(self.known)
+        again = np.flatnonzero(self.shared[at])
+        row[again] = np.minimum(np.searchsorted(self.known, h[again]), last - 1)
+        return np.where(ok & (row < last) & (self.known[np.minimum(row, last - 1)] == h), row, last)
+
+    def summed(self, w: Words, starts: np.ndarray) -> np.ndarray:
+        """The sums of the weights of the n-grams that begin in each group of words; `starts` are the groups' first words."""
+        out = np.zeros((len(starts), len(self.families)))
+        rows = [self.rows(h, ok) for h, ok in ngrams(w)]
+        hit = np.flatnonzero(np.any([r < len(self.known) for r in rows], axis=0))  # most words weigh nothing
+        group = np.searchsorted(starts, hit, "right") - 1
+        for a in range(0, len(hit), 1 << 16):
+            part = hit[a : a + (1 << 16)]
+            np.add.at(out, group[a : a + (1 << 16)], sum(self.weights[r[part]] for r in rows))
+        return out
+
+    def scores(self, sums: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip((sums + self.bias) * self.scale + self.shift, -60, 60)))
+
+    def predict(self, text: str) -> tuple[str, float]:
+        """The likeliest family of a short text and its score; the unknown class with what is left where none reaches the least score."""
+        w = read([text])
+        p = self.scores(self.summed(w, np.zeros(1, np.int64)))[0] if len(w.start) else np.zeros(len(self.families))
         k = int(p.argmax())
-        return (self.families[k], float(p[k])) if self.families[k] != UNKNOWN and p[k] >= self.least else (UNKNOWN, float(p[k]))
-
-
-def paragraphs(s: Settings) -> list[tuple[list[str], str]]:
-    """The labelled paragraphs, made by rule."""
-    rng = random.Random(s.seed)
-    out = []
-    around = lambda n: rng.choices(FILLER, k=rng.randint(0, n))
-    for family, templates in TEMPLATES.items():
-        for i in range(s.made):
-            w = words_of(templates[i % len(templates)])
+        return (self.families[k], float(p[k])) if p[k] >= self.s.least else (UNKNOWN, float(1 - p[k]))
+
+
+def _surrounded(texts: dict[str, tuple[str, ...]], others: tuple[str, ...], made: int, s: Settings, seed: int) -> list[tuple[str, set[str]]]:
+    """Paragraphs made by rule, at most a window long, and their families."""
+    rng = random.Random(seed)
+    word = lambda: rng.choice(FILLER) if rng.random() < 0.6 else "".join(rng.choices("abdeghiklmnoprstu", k=rng.randint(2, 9)))
+    around = lambda n: " ".join(word() for _ in range(rng.choice([0, 0, rng.randint(0, n)])))
+    out: list[tuple[str, set[str]]] = []
+    for family, own in texts.items():
+        for i in range(made):
+            w = own[i % len(own)].split()
             if len(w) > 12 and rng.random() < 0.5:
-                a = rng.randint(0, len(w) // 4)
-                w = w[a : len(w) - rng.randint(0, len(w) // 4)]
-            out.append((around(6) + w + around(6), family))
-    for i in range(s.made * 6):
-        w = words_of(rng.choice(OTHERS)) if i % 2 else []
+                a = rng.randint(0, len(w) // 3)
+                w = w[a : max(a + 8, len(w) - rng.randint(0, len(w) // 3))]
+            more = set()
+            for _ in range(rng.choice([0, 0, 1, 2]) if len(w) < 14 else 0):  # several licences in one place
+                other = rng.choice(list(texts))
+                if short := [t for t in texts[other] if len(t.split()) < 12]:
+                    w = [*w, *([word()] * rng.randint(0, 1)), *rng.choice(short).split()]
+                    more.add(other)
+            out.append((f"{around(16)} {' '.join(w)} {around(16)}", {family} | more))
+    for i in range(made * 8):
+        w = rng.choice(others).split() if i % 2 else []
         if i % 5 == 0:  # words of licences out of order
-            w = w + rng.sample(words_of(rng.choice(rng.choice(list(TEMPLATES.values())))), 2)
-        out.append((around(10) + w + around(10), UNKNOWN))
+            w = w + rng.sample((rng.choice(rng.choice(list(texts.values()))) + " of and").split(), 3)
+        if i % 7 == 0:
+            w = [rng.choice(["license:", "license", "licensed under", "under the"]), word(), word(), *w]
+        if i % 7 == 3:  # a name of a licence without a notice
+            w = [*w, word(), rng.choice(rng.choice(list(NAMES.values()))), word()]
+        out.append((f"{around(20)} {' '.join(w)} {around(20)}", set()))
     rng.shuffle(out)
-    return [x for x in out if x[0]]
+    return out
 
 
 def train(s: Settings = Settings()) -> Model:
-    data = paragraphs(s)
-    families = [*TEMPLATES, UNKNOWN]
-    x = [ngrams(w, s.bits) for w, _ in data]
-    y = np.array([families.index(f) for _, f in data])
-    cut = len(x) * 4 // 5
-    weights, bias = np.zeros((1 << s.bits, len(families))), np.zeros(len(families))
+    families = list(TEMPLATES)
+    data = _surrounded(TEMPLATES, OTHERS, s.made, s, s.seed)
+    grams = []
+    for text, _ in data:
+        parts = [h[ok] for h, ok in ngrams(read([text]))]
+        grams.append(np.unique(np.concatenate(parts)))
+    known, met = np.unique(np.concatenate(grams), return_counts=True)
+    plain = np.concatenate([h[ok] for h, ok in ngrams(read([" ".join(p) for p in itertools.product([*FILLER, *FUNCTION_WORDS], repeat=2)]))])
+    known = known[(met > 1) & ~np.isin(known, plain)]  # what stands in one paragraph alone is chance, and words that stand everywhere say nothing
+    x = [np.searchsorted(known, g[np.isin(g, known)]) for g in grams]
+    y = np.array([[f in own for f in families] for _, own in data], float)
+    weights, bias = np.zeros((len(known) + 1, len(families))), np.full(len(families), -2.0)
     rng = np.random.default_rng(s.seed)
     for epoch in range(s.epochs):
-        rate = s.rate / (1 + epoch)
-        for i in rng.permutation(cut):
-            z = weights[x[i]].sum(0) + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            weights[x[i]] -= rate * (p / np.sqrt(len(x[i])) + 1e-4 * weights[x[i]])
-            bias -= 0.1 * rate * p
-    z = np.array([weights[r].sum(0) + bias for r in x[cut:]])
-    held = y[cut:]
-
-    def probabilities(h: float) -> np.ndarray:
-        e = np.exp(h * (z - z.max(1, keepdims=True)))
-        return e / e.sum(1, keepdims=True)
-
-    heat = float(min(np.geomspace(0.05, 5, 41), key=lambda h: -np.log(probabilities(h)[np.arange(len(held)), held] + 1e-12).mean()))
-    p = probabilities(heat)
-    own = held < len(families) - 1
-    least = float(min(0.5, np.quantile(p[own, held[own]], s.lost)))
-    return Model(families, weights.astype(np.float32), bias, heat, least, s)
+        rate = s.rate / (1 + epoch / 2)
+        for i in rng.permutation(len(x)):
+            if len(x[i]):
+                g = 1 / (1 + np.exp(-(weights[x[i]].sum(0) + bias))) - y[i]
+                weights[x[i]] -= rate * (g / np.sqrt(len(x[i])) + 1e-3 * weights[x[i]])
+                bias -= 0.05 * rate * g
+    ones = np.ones(len(families))
+    model = Model(families, known, weights.astype(np.float32), bias, ones, 0 * ones, s)
+    held = _surrounded(HELD, HELD_OTHERS, 60, s, s.seed + 1)
+    z = np.concatenate([model.summed(read([t]), np.zeros(1, np.int64)) for t, _ in held]) + bias
+    y = np.array([[f in own for f in families] for _, own in held], float)
+    for k in range(len(families)):
+        best = min(((a, b) for a in np.geomspace(0.3, 3, 11) for b in np.linspace(-3, 3, 25)), key=lambda ab: _loss(z[:, k] * ab[0] + ab[1], y[:, k]))
+        model.scale[k], model.shift[k] = best
+    return model
+
+
+def _loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0, -z, z)).mean())
+
+
+# Templates ------------------------------------------------------------------------------------------------------------------------
+
+
+def words_of(text: str) -> list[str]:
+    w = read([text])
+    return [w.text(i) for i in range(len(w.start))]
 
 
 def triples(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    """The runs of three words; a template of two words is one run of two."""
+    n = min(3, len(words))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-#: Family and triples of each template, with its number in the family; the templates of each triple.
+#: Triples of each template by family and number in the family; the templates of each triple.
 _TEMPLATES = [(f, i, triples(words_of(t))) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)]
 _HOLDERS: dict[tuple[str, ...], list[int]] = {}
 for _k, (_, _, _own) in enumerate(_TEMPLATES):
@@ -234,26 +413,11 @@ for _k, (_, _, _own) in enumerate(_TEMPLATES):
 def needed(own: set[tuple[str, ...]], cover: float) -> int:
     """How many of a template's triples confirm it."""
     n = len(own)
-    return n - 1 if 1 < n <= 6 else n if n == 1 else math.ceil(cover * n - 1e-9)
+    return n if n <= 2 else n - 1 if n <= 6 else math.ceil(cover * n - 1e-9)
 
 
-def cues(cover: float) -> tuple[str, ...]:
-    """Words of which every confirmed text holds one: fewer triples of each template go without than confirm it."""
-    out: list[str] = []
-    common = {*FILLER, *"this is you it a an or be may not no any are".split()}
-    for _, _, own in _TEMPLATES:
-        most = needed(own, cover) - 1
-        while len(bare := [t for t in own if not any(c in w for w in t for c in out)]) > most:
-            words = sorted({w for t in bare for w in t})
-            out.append(min(words, key=lambda w: (w in common or len(w) < 2, -sum(w in t for t in bare), -len(w), w)))
-    return tuple(out)
-
-
-CUES_OF = {Settings.cover: cues(Settings.cover)}
-
-
-def covered(words: list[str], s: Settings) -> list[tuple[int, int, int, int]]:
-    """(first word, word after the last, template, covered triples) of each place where a template is covered enough.
+def covered(words: list[str], s: Settings, families: set[str] | None = None) -> list[tuple[int, int, int, int]]:
+    """(first word, word after the last, template, covered triples) of each place where a template, of these families, is covered enough.
 
     Triples of a template belong to one place as long as none repeats, they are at most half a window apart, and fit a window.
     """
@@ -263,70 +427,80 @@ def covered(words: list[str], s: Settings) -> list[tuple[int, int, int, int]]:
     def close(k: int) -> None:
         first, last, seen = open_.pop(k)
         if len(seen) >= needed(_TEMPLATES[k][2], s.cover):
-            found.append((first, last + 3, k, len(seen)))
-
-    for at, t in enumerate(zip(words, words[1:], words[2:], strict=False)):
-        for k in _HOLDERS.get(t, ()):
-            if k in open_ and (t in open_[k][2] or at - open_[k][1] > s.window // 2 or at + 3 - open_[k][0] > s.window):
-                close(k)
-            if k in open_:
-                open_[k][1] = at
-                open_[k][2].add(t)
-            else:
-                open_[k] = [at, at, {t}]
+            found.append((first, last, k, len(seen)))
+
+    for at in range(len(words)):
+        for n in (2, 3):
+            t = tuple(words[at : at + n])
+            for k in _HOLDERS.get(t, ()) if len(t) == n else ():
+                if families is not None and _TEMPLATES[k][0] not in families:
+                    continue
+                if k in open_ and (t in open_[k][2] or at + n - open_[k][1] > s.window // 2 or at + n - open_[k][0] > s.window):
+                    close(k)
+                if k in open_:
+                    open_[k][1] = at + n
+                    open_[k][2].add(t)
+                else:
+                    open_[k] = [at, at + n, {t}]
     for k in list(open_):
         close(k)
     return found
 
 
-def confirmed(words: list[str], model: Model) -> list[tuple[int, int, int, float, float]]:
-    """(first word, word after the last, template, covered share, score) of the places that the classifier gives to their template's family.
-
-    Of places that overlap the one with the greatest product of covered triples and share stays.
-    """
-    said = []
-    for a, b, k, n in covered(words, model.s):
-        family, score = model.predict(words[a:b])
-        if family == _TEMPLATES[k][0]:
-            said.append((a, b, k, n / len(_TEMPLATES[k][2]), score, n))
-    kept: list[tuple[int, int, int, float, float]] = []
-    for a, b, k, share, score, _ in sorted(said, key=lambda x: (-x[3] * x[5], x[1] - x[0], x[0], x[2])):
+def _best(places: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of places that overlap the one with the greatest product of covered triples and share, then the longest."""
+    kept: list[tuple[int, int, int, int]] = []
+    for a, b, k, n in sorted(set(places), key=lambda x: (-x[3] * x[3] / len(_TEMPLATES[x[2]][2]), x[0] - x[1], x[0], x[2])):
         if all(b <= y[0] or a >= y[1] for y in kept):
-            kept.append((a, b, k, share, score))
+            kept.append((a, b, k, n))
     return sorted(kept)
 
 
-def parts(text: str) -> Iterator[tuple[int, str]]:
-    """(start, text) of the paragraphs: runs of lines that hold a word."""
-    at, first = 0, -1
-    for line in text.split("\n"):
-        if _WORD.search(line):
-            first = at if first < 0 else first
-        elif first >= 0:
-            yield first, text[first : at - 1]
-            first = -1
-        at += len(line) + 1
-    if first >= 0:
-        yield first, text[first:]
+def scan_all(texts: list[str], model: Model) -> list[list[tuple[int, int, str, float, int, float]]]:
+    """For each text (start, length, family, score, template, cover) of each place under a licence, from the template's first word in it to its last."""
+    out: list[list] = [[] for _ in texts]
+    w, s = read(texts), model.s
+    if not len(w.start):
+        return out
+    # Halves of windows: runs of words of one paragraph.
+    first = np.flatnonzero(np.concatenate([[True], w.paragraph[1:] != w.paragraph[:-1]]))
+    place = np.arange(len(w.start)) - first[w.paragraph]
+    halves = np.flatnonzero(place % s.half == 0)
+    ends = np.append(halves[1:], len(w.start))
+    para = w.paragraph[halves]
+    sums = model.summed(w, halves)
+    whole = sums.copy()
+    joined = np.flatnonzero(para[1:] == para[:-1])
+    whole[joined] += sums[joined + 1]
+    p = model.scores(whole)
+    near: dict[int, dict[int, set[str]]] = {}
+    for i, k in zip(*np.nonzero(p >= s.least), strict=True):
+        for j in range(i - 2, i + 4):
+            if 0 <= j < len(halves) and para[j] == para[i]:
+                near.setdefault(int(para[i]), {}).setdefault(j, set()).add(model.families[k])
+    text_of = np.searchsorted(w.firsts, w.start[halves], "right") - 1
+    for _, some in sorted(near.items()):
+        places: list[tuple[int, int, int, int]] = []
+        order = sorted(some)
+        runs = np.split(order, np.flatnonzero(np.diff(order) > 1) + 1)
+        for run in runs:
+            a, b = int(halves[run[0]]), int(ends[run[-1]])
+            words = [w.text(i) for i in range(a, b)]
+            said = set().union(*(some[int(j)] for j in run))
+            places += [(a + i, a + j, k, n) for i, j, k, n in covered(words, s, said)]
+        doc = int(text_of[order[0]])
+        for a, b, k, n in _best(places):
+            family, template, own = _TEMPLATES[k]
+            i, j = int(w.start[a]), int(w.end[b - 1])
+            own_words = Words(w.data, w.start[a:b], w.end[a:b], w.hashes[a:b], w.paragraph[a:b], w.firsts)
+            score = model.scores(model.summed(own_words, np.zeros(1, np.int64)))[0][model.families.index(family)]
+            head = len(w.data[w.firsts[doc] : i].decode())
+            out[doc].append((head, len(w.data[i:j].decode()), family, round(float(score), 6), template, round(n / len(own), 6)))
+    return [sorted(x) for x in out]
 
 
 def scan(text: str, model: Model) -> list[tuple[int, int, str, float, int, float]]:
-    """(start, length, family, score, template, cover) of each place under a licence, from the template's first word in it to its last."""
-    some = CUES_OF.get(model.s.cover) or CUES_OF.setdefault(model.s.cover, cues(model.s.cover))
-    low = text.lower()
-    if not any(c in low for c in some):
-        return []
-    out = []
-    for at, part in parts(text):
-        low = part.lower()
-        if not any(c in low for c in some):
-            continue
-        spans = [(m.start(), m.end()) for m in _WORD.finditer(part)]
-        words = [part[i:j].lower() for i, j in spans]
-        for a, b, k, share, score in confirmed(words, model):
-            family, template, _ = _TEMPLATES[k]
-            out.append((at + spans[a][0], spans[b - 1][1] - spans[a][0], family, round(score, 6), template, round(share, 6)))
-    return out
+    return scan_all([text], model)[0]
 
 
 ROWS = "doc_id long, start long, length long, family string, score double, template long, cover double"
@@ -335,8 +509,8 @@ ROWS = "doc_id long, start long, length long, family string, score double, templ
 def _found(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}
     names, types = zip(*[x.split() for x in ROWS.split(", ")], strict=True)
-    for b in by_rows(batches, text_sizes(), 4 << 20):
-        rows = [(d, *r) for d, t in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True) for r in scan(t, model)]
+    for b in by_rows(batches, text_sizes(), 2 << 20):
+        rows = [(d, *r) for d, found in zip(b.column("doc_id").to_pylist(), scan_all(texts_of(b), model), strict=True) for r in found]
         columns = list(zip(*rows, strict=True)) or [()] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 

@@ -332,7 +332,6 @@ def test_licence_templates():
     model = licenses.train()
     for family, templates in licenses.TEMPLATES.items():
         for t in templates:
-            assert any(c in t for c in licenses.CUES), t
             text = f"{sentence(1, 40)}\n{t.capitalize()}.\n{sentence(2, 30)}"
             found = licenses.scan(text, model)
             assert [x[2] for x in found] == [family], t
