@@ -1,9 +1,9 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, all in DataFrame functions.
 
-1. `CANDIDATE` finds tokens that may be secrets: known key formats, values assigned to secret-like names, and long
-   tokens with digits. Splitting a text at it gives what stands before and after each of them.
-2. Features: length, shares and transitions of character classes, entropy, the part covered by dictionary words, path
-   marks, neighbouring words, assignment, and known formats.
+1. `CANDIDATE` finds tokens that may be secrets: known key formats, passwords in URLs, values assigned to secret-like names, and long
+   tokens with digits or with three changes to capitals. One pass over a text puts marks around them; all else reads the parts between the marks.
+2. Features: length, shares and changes of character classes, the share of letter pairs that words have, entropy, the part covered by
+   dictionary words, path marks, neighbouring words, words of placeholders, assignment, and known formats.
 3. A random forest, trained on the driver with numpy on `labelled()` findings (a bounded table made by rule, its features by
    the same DataFrame functions), becomes one expression of nested conditions. So the scan has no Python. What has a
    known format in full is a secret whatever the forest votes.
@@ -18,6 +18,7 @@ gives an empty table.
 from __future__ import annotations
 
 import random
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,6 +34,9 @@ FORMATS = (
     ("slack-token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     ("stripe-key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
     ("google-key", r"AIza[A-Za-z0-9_-]{35}"),
+    ("npm-token", r"npm_[A-Za-z0-9]{36}"),
+    ("pypi-token", r"pypi-[A-Za-z0-9_-]{50,}"),
+    ("sendgrid-key", r"SG\.[A-Za-z0-9_-]{22}\.[A-Za-z0-9_-]{43}"),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     ("private-key", r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)?"),
 )
@@ -49,27 +53,45 @@ WORDS = (
     "this that with from have will your which their would there other these first could where after before great because through should"
 )
 
+#: Words that stand in for a value, or that fetch it from elsewhere.
+PLACEHOLDERS = "your yours my the enter please example sample placeholder changeme change dummy fake none null todo xxx xxxx env environ getenv config settings get set read load required optional missing invalid disabled enabled"
+
+
+def _either(words: list[str]) -> str:
+    """A pattern for any of the words, with common beginnings written once."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    if "" in heads and len(heads) == 1:
+        return ""
+    parts = [(f"[{h}]" if h == "-" else h) + _either(t) for h, t in heads.items() if h]
+    return "(?:" + "|".join(parts) + ")" + ("?" if "" in heads else "") if len(parts) > 1 or "" in heads else parts[0]
+
+
 _END = r"(?![A-Za-z0-9_+/-])"
-_NAMED = r"(?:" + SECRET_WORDS.replace(" ", "|") + r")"
-#: What stands between a name and its value. Java bounds what it looks back over: 40 blanks on each side of the sign.
-_SIGN = rf"(?i:{_NAMED})[\"']?\s{{0,40}}[:=]\s{{0,40}}"
+_BEGIN = r"(?<![A-Za-z0-9_+/-])"
+#: A name and the sign of its value. What its first letter may be, and that no token but a URL's or a key's frame is shorter than 16, spares most of the work.
+_NAMED = rf"(?=[{''.join(sorted({c for w in SECRET_WORDS.split() for c in w[0] + w[0].upper()}))}])(?i:{_either(SECRET_WORDS.split())})[\"']?\s{{0,40}}+(?:[:=]|is(?=\s)):?\s{{0,40}}+"
+#: Groups 1, 2, 4 and 6 stand before a candidate, 3, 5, 7 and 8 are candidates. A named value in quotes goes up to the closing one, else up to a
+#: blank, a quote that ends something, or the next field of a query.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/-])(?:"
-    + "|".join(p for _, p in FORMATS)
-    + r")"
-    + _END
-    + r"|(?<![A-Za-z0-9_+/-])" + URL + "(?=@)"
-    # Named values: in quotes up to the closing one, else up to a blank, a quote that ends something, or the next field of a query.
-    + "".join(rf"|(?<={x})(?<=[:=]\s{{0,40}}{x})(?<={_SIGN}{x})(?![^{x}\\\n]{{0,7}}{x})(?:[^{x}\\\n]++|\\[^\n])++(?={x})" for x in "\"'")
-    + rf"|(?<=[\s\"':=])(?![\s\"'=:])(?<=[:=]\s{{0,40}}[\"']?)(?<={_SIGN}[\"']?)(?:[^\s\"'&]|[\"'](?=[A-Za-z0-9])|&(?![A-Za-z_]+=)){{8,}}"
-    + r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}={0,2}"
+    rf"({_NAMED})(?:"
+    + "|".join(rf"({x})(?![^{x}\\\n]{{0,7}}{x})((?:[^{x}\\\n]++|\\[^\n])++)(?={x})" for x in "\"'")
+    + r"|([\"']?)(?![\s\"'=:])((?:[^\s\"'&]|[\"'](?=[A-Za-z0-9])|&(?![A-Za-z_]+=)){8,}+))"
+    + rf"|{_BEGIN}(?=[A-Za-z0-9_+/.-]{{16}}|-----B|[A-Za-z][A-Za-z0-9+.-]{{1,20}}+:)((?:" + "|".join(p for _, p in FORMATS) + rf"){_END}|{URL}(?=@)"
+    + r"|(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+={0,2}|(?=(?:[a-z_+/-]*+[A-Z]++){3})[A-Za-z_+/-]{20,}+={0,2})"
 )
+#: Marks around candidates: a sign that no text should hold, and one more; in texts that hold it another one follows it.
+_SIGN, _KEPT, _MARK = "\ufdd0", "\ufdd0\ufdd1", "\ufdd0\ufdd2"
+BLOCK = 256  # lengths are summed up by blocks, so that places of many candidates are not a square of work
 MASK = "[SECRET]"
+#: Letter pairs that the dictionary's words have twice or more.
+PAIRS = tuple(sorted(p for p, n in Counter(w[i : i + 2] for w in set(WORDS.split()) for i in range(len(w) - 1)).items() if n > 1))
 
 
 @dataclass(frozen=True)
 class Settings:
-    labelled: int = 1600
+    labelled: int = 2400
     trees: int = 15
     depth: int = 6
     seed: int = 3
@@ -87,6 +109,7 @@ def _features(token: Column, left: Column, right: Column) -> dict[str, Column]:
     for _, p in FORMATS:
         known = F.when(token.rlike(f"^(?:{p})$"), 1.0).otherwise(known)
     known = F.when(token.rlike(f"^{URL}$") & right.startswith("@"), 1.0).otherwise(known)
+    word = lambda words: F.regexp_count(F.lower(token), F.lit(r"(?<![a-z])(?:" + words.replace(" ", "|") + r")(?![a-z])")).cast("double")
     return {
         "length": n.cast("double"),
         "digits": share("[0-9]"),
@@ -94,29 +117,42 @@ def _features(token: Column, left: Column, right: Column) -> dict[str, Column]:
         "lowers": share("[a-z]"),
         "hex": share("[0-9a-f]"),
         "changes": share("[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])"),
+        "pairs": F.regexp_count(F.lower(token), F.lit(f"(?=(?:{'|'.join(PAIRS)}))[a-z]")) / F.greatest(F.regexp_count(token, F.lit("[A-Za-z](?=[A-Za-z])")), F.lit(1)),
         "entropy": F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p)),
-        "covered": share("(?i)" + "|".join(sorted(set(WORDS.split()), key=lambda w: (-len(w), w)))) * 5,
+        "covered": 1 - F.length(F.regexp_replace(token, F.lit("(?i)" + "|".join(sorted(set(WORDS.split()), key=lambda w: (-len(w), w)))), F.lit(""))) / n,
         "path": F.regexp_count(token, F.lit("/")).cast("double") + F.when(left.rlike(r"[/.\\]$|https?:\S*$"), 2.0).otherwise(0.0) + F.when(right.rlike(r"^\.[a-z]{2,4}\b|^/"), 1.0).otherwise(0.0),
+        "calls": F.regexp_count(token, F.lit(r"[(\[{<$]")).cast("double"),
+        "placeholders": word(PLACEHOLDERS),
         "secret_words": has(SECRET_WORDS),
         "plain_words": has(PLAIN_WORDS),
-        "assigned": F.when(left.rlike(r"[:=]\s{0,40}[\"']?$"), 1.0).otherwise(0.0),
+        "assigned": F.when(left.rlike(r"(?:[:=]|\bis)\s{0,40}[\"']?$"), 1.0).otherwise(0.0),
         "format": known,
     }
 
 
-FEATURES = ("length", "digits", "uppers", "lowers", "hex", "changes", "entropy", "covered", "path", "secret_words", "plain_words", "assigned", "format")
+FEATURES = ("length", "digits", "uppers", "lowers", "hex", "changes", "pairs", "entropy", "covered", "path", "calls", "placeholders", "secret_words", "plain_words", "assigned", "format")
+
+
+def _parts(text: Column) -> Column:
+    """A text in parts, every second one a candidate: the one pass of the pattern."""
+    marked = F.regexp_replace(F.replace(text, F.lit(_SIGN), F.lit(_KEPT)), F.lit(CANDIDATE), F.lit(f"$1$2$4$6{_MARK}$3$5$7$8{_MARK}"))
+    return F.transform(F.split(marked, _MARK, -1), lambda x: F.replace(x, F.lit(_KEPT), F.lit(_SIGN)))
+
+
+def _zipped(parts: Column) -> Column:
+    """(token, left, right) of each candidate."""
+    rest, tokens = F.filter(parts, lambda _, i: i % 2 == 0), F.filter(parts, lambda _, i: i % 2 == 1)
+    zipped = F.arrays_zip(tokens.alias("token"), rest.alias("left"), F.slice(rest, F.lit(2), F.lit(1 << 30)).alias("right"))
+    return F.filter(zipped, lambda x: x["token"].isNotNull())
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+def _near(x: Column) -> dict[str, Column]:
+    return _features(x["token"], F.right(x["left"], F.lit(64)), F.left(x["right"], F.lit(16)))
 
 
-def _scored(text: Column, score) -> Column:
-    """Array of (token, score) of a text's candidates in order; they are found once and each one's features computed once."""
-    tokens, parts = _tokens(text), F.split(text, CANDIDATE, -1)
-    some = F.arrays_zip(tokens.alias("token"), parts.alias("left"), F.slice(parts, F.lit(2), F.lit(1 << 30)).alias("right"))
-    some = F.filter(some, lambda x: x["token"].isNotNull())
-    made = F.transform(some, lambda x: F.struct(x["token"].alias("token"), *[v.cast("double").alias(k) for k, v in _features(x["token"], F.right(x["left"], F.lit(64)), F.left(x["right"], F.lit(16))).items()]))
+def _scored(parts: Column, score) -> Column:
+    """Array of (token, score) of the candidates in order, each one's features computed once."""
+    made = F.transform(_zipped(parts), lambda x: F.struct(x["token"].alias("token"), *[v.cast("double").alias(k) for k, v in _near(x).items()]))
     return F.transform(made, lambda x: F.struct(x["token"].alias("token"), score(x).alias("score")))
 
 
@@ -125,16 +161,21 @@ def _scored(text: Column, score) -> Column:
 
 def labelled(n: int, seed: int) -> list[tuple[str, bool]]:
     """n findings as (text with one candidate, whether it is a secret), made by rule from the published formats and from
-    the look of harmless tokens: hashes beside plain words, paths, numbers, names, identifiers."""
+    the look of harmless tokens: hashes beside plain words, paths, numbers, names, identifiers, calls, placeholders."""
     rng = random.Random(seed)
     words = WORDS.split()
     pick = lambda signs, k: "".join(rng.choices(signs, k=k))
     low, up, num, hexa = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
     alnum = low + up + num
-    talk = lambda k: " ".join(rng.choices(words, k=k))
+    vowels, others = "aeiou", "bcdfghklmnprstvw"
+    spoken = lambda: "".join(rng.choice(others) + rng.choice(vowels) for _ in range(rng.randint(2, 4)))  # a word that no dictionary has
+    any_word = lambda: rng.choice(words) if rng.random() < 0.6 else spoken()
+    talk = lambda k: " ".join(any_word() for _ in range(k))
     name = lambda: rng.choice([w for w in SECRET_WORDS.split() if w not in ("bearer", "authorization")])
+    locked = lambda: rng.choice(["password", "passwd", "pwd", "passphrase", "secret"])
     plain = lambda: rng.choice(PLAIN_WORDS.split())
     glue = lambda: rng.choice(["=", " = ", ": ", ":", '="', ' = "', ": '"])
+    hinted = lambda: rng.choice("your my the enter example change dummy please".split())
     yes = [
         lambda: "AKIA" + pick(up + num, 16),
         lambda: "ghp_" + pick(alnum, 36),
@@ -143,22 +184,31 @@ def labelled(n: int, seed: int) -> list[tuple[str, bool]]:
         lambda: "AIza" + pick(alnum, 35),
         lambda: name() + glue() + pick(hexa, rng.choice([16, 18, 20, 24, 32, 40, 64])),
         lambda: name() + glue() + pick(alnum, rng.randint(10, 48)),
-        lambda: name() + glue() + pick(alnum + "!#$%&*", rng.randint(8, 20)),
+        lambda: name() + glue() + pick(alnum + "!#$%*", rng.randint(8, 20)),
         lambda: "authorization: bearer " + pick(alnum, rng.randint(20, 60)),
         lambda: pick(alnum + "+/", rng.randint(36, 48)) + "=",
+        lambda: pick(alnum, rng.randint(32, 44)),
+        lambda: locked() + rng.choice(["=", ": ", " is "]) + "-".join(any_word() for _ in range(rng.randint(3, 5))),
+        lambda: locked() + rng.choice(["=", ": ", " is "]) + any_word() + pick(num, rng.randint(1, 4)) + rng.choice(["", "!", any_word(), any_word() + pick(num, 2)]),
+        lambda: locked() + glue() + spoken().title() + pick(num, rng.randint(2, 4)) + rng.choice("!?#*"),
     ]
     no = [
         lambda: plain() + glue() + pick(hexa, rng.choice([16, 20, 32, 40, 64])),
         lambda: plain() + " " + pick(hexa, rng.choice([32, 40, 64])),
+        lambda: plain() + rng.choice([" ", "=", ": "]) + rng.choice(["sha1-", "sha256-", "sha384-", "sha512-"]) + pick(alnum + "+/", rng.randint(27, 60)),
+        lambda: name() + rng.choice(["=", " = ", ": "]) + rng.choice(["os.environ[", "getenv(", "config.get("]) + "'" + any_word().upper() + "_" + name().upper(),
         lambda: talk(1) + " " + pick(num, rng.randint(16, 24)),
-        lambda: "/".join(rng.choices(words, k=4)) + "/" + rng.choice(words) + str(rng.randint(1, 99)),
-        lambda: "https://www.example.com/" + rng.choice(words) + "-" + rng.choice(words) + "-" + pick(num, 6),
-        lambda: "-".join(rng.choices(words, k=3)) + "-" + pick(num, rng.randint(1, 4)),
-        lambda: "_".join(rng.choices(words, k=3)) + pick(num, rng.randint(1, 3)),
-        lambda: "".join(w.title() for w in rng.choices(words, k=3)) + pick(num, rng.randint(1, 2)),
+        lambda: "/".join(any_word() for _ in range(4)) + "/" + any_word() + str(rng.randint(1, 99)),
+        lambda: "https://www.example.com/" + any_word() + "-" + any_word() + "-" + pick(num, 6),
+        lambda: "-".join(any_word() for _ in range(rng.randint(3, 6))) + "-" + pick(num, rng.randint(1, 4)),
+        lambda: "_".join(any_word() for _ in range(rng.randint(3, 6))) + pick(num, rng.randint(1, 3)),
+        lambda: "".join(any_word().title() for _ in range(rng.randint(3, 6))) + rng.choice(["", pick(num, rng.randint(1, 2))]),
+        lambda: any_word() + "".join(any_word().title() for _ in range(rng.randint(3, 5))),
         lambda: f"{pick(hexa, 8)}-{pick(hexa, 4)}-4{pick(hexa, 3)}-a{pick(hexa, 3)}-{pick(hexa, 12)}",
-        lambda: name() + glue() + rng.choice(["your_", "my_", "the_"]) + "_".join(rng.choices(words, k=2)),
-        lambda: name() + glue() + rng.choice(words) + rng.choice(words),
+        lambda: name() + glue() + hinted() + rng.choice("_-") + rng.choice("_-").join([any_word(), rng.choice(SECRET_WORDS.split())]),
+        lambda: name() + glue() + any_word() + any_word(),
+        lambda: name() + rng.choice([" is ", ": "]) + rng.choice("required optional missing invalid disabled rejected generated expired".split()),
+        lambda: name() + glue() + rng.choice(["os.environ[", "config.get(", "settings.", "read_file(", "${", "<", "getenv("]) + any_word() + "_" + any_word() + rng.choice(["", ")", "]", "}", ">"]),
         lambda: "2024-0" + pick("123456789", 1) + "-1" + pick(num, 1) + "T10-2" + pick(num, 1) + "-00-build",
     ]
     out = []
@@ -220,18 +270,17 @@ def fit(spark: SparkSession, s: Settings = Settings()) -> list:
     """Trains on labelled findings; their features come from the same functions as the scan's."""
     rows = labelled(s.labelled, s.seed)
     df = spark.createDataFrame(pa.table({"text": [t for t, _ in rows], "y": [float(y) for _, y in rows]}))
-    tokens, parts = _tokens(F.col("text")), F.split("text", CANDIDATE, -1)
-    made = df.select(tokens.alias("tokens"), parts.alias("parts"), "y").where("size(tokens) > 0")
-    made = made.select(*[v.cast("double").alias(k) for k, v in _features(F.get("tokens", F.lit(0)), F.right(F.get("parts", F.lit(0)), F.lit(64)), F.left(F.get("parts", F.lit(1)), F.lit(16))).items()], "y")
+    made = df.select(_parts(F.col("text")).alias("parts"), "y").select(F.get(_zipped(F.col("parts")), F.lit(0)).alias("x"), "y").where("x is not null")
+    made = made.select(*[v.cast("double").alias(k) for k, v in _near(F.col("x")).items()], "y")
     data = np.array([tuple(r) for r in made.collect()])
     return grow(data[:, :-1], data[:, -1], s)
 
 
-def scanned(docs: DataFrame, s: Settings = Settings(), forest: list | None = None) -> Column:
-    """Array of (token, score) of the column `text`, which must not be null."""
-    forest = forest or fit(docs.sparkSession, s)
+def scanned(spark: SparkSession, s: Settings = Settings(), forest: list | None = None) -> Column:
+    """Array of (token, score) from the column `parts`."""
+    forest = forest or fit(spark, s)
     vote_ = lambda x: expression(forest, [x[k] for k in FEATURES])
-    return _scored(F.col("text"), lambda x: F.when(x["format"] == 1, F.greatest(vote_(x), F.lit(s.least))).otherwise(vote_(x)))
+    return _scored(F.col("parts"), lambda x: F.when(x["format"] == 1, F.greatest(vote_(x), F.lit(s.least))).otherwise(vote_(x)))
 
 
 def _kind(token: Column) -> Column:
@@ -243,26 +292,37 @@ def _kind(token: Column) -> Column:
 
 def find(docs: DataFrame, s: Settings = Settings(), forest: list | None = None) -> DataFrame:
     """A row for each secret: doc_id, its place in the text (code points from 0), length, kind, score, and the token with its middle masked."""
-    some = docs.select("doc_id", "text").where(F.size(_tokens(F.col("text"))) > 0)  # one pass; the rest is for the few that have candidates
-    found = some.select("doc_id", "text", scanned(some, s, forest).alias("found"))
-    found = found.select("doc_id", "found", F.transform(F.split("text", CANDIDATE, -1), lambda p: F.length(p)).alias("gaps"))
-    rows = found.select("doc_id", "found", "gaps", F.posexplode_outer("found").alias("i", "one")).where(F.col("one.score") >= s.least)
+    # Each column is made once from the one before; an outer explode lets no filter on what it reads be derived, which would run the pattern again.
+    own = docs.select("doc_id", _parts(F.col("text")).alias("parts"))
+    own = own.select("doc_id", "parts", F.transform("parts", lambda p: F.length(p)).alias("lengths"), scanned(docs.sparkSession, s, forest).alias("found"))
     add = lambda a, x: a + x
-    before = F.aggregate(F.slice("gaps", F.lit(1), F.col("i") + 1), F.lit(0), add)
-    before += F.aggregate(F.transform(F.slice("found", F.lit(1), F.col("i")), lambda x: F.length(x["token"])), F.lit(0), add)
+    total = lambda lengths: F.aggregate(lengths, F.lit(0), add)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size("lengths") / BLOCK).cast("int")), lambda b: total(F.slice("lengths", b * BLOCK + 1, F.lit(BLOCK))))
+    own = own.select("doc_id", "lengths", "found", F.when(F.size("lengths") > 1, blocks).alias("blocks"))
+
+    def placed(x: Column, i: Column) -> Column:
+        at = 2 * i + 1  # the candidate's place among the parts
+        block = F.floor(at / BLOCK).cast("int")
+        before = total(F.slice("blocks", F.lit(1), block)) + total(F.slice("lengths", block * BLOCK + 1, at - block * BLOCK))
+        return F.struct(x["token"].alias("token"), x["score"].alias("score"), before.alias("start"))
+
+    secrets = F.filter(F.transform("found", placed), lambda x: x["score"] >= s.least)
+    rows = own.select("doc_id", F.explode_outer(secrets).alias("one")).where("one is not null")
     token = F.col("one.token")
     return rows.select(
-        "doc_id", before.cast("long").alias("start"), F.length(token).cast("long").alias("length"), _kind(token).alias("kind"), F.round("one.score", 6).alias("score"),
+        "doc_id", F.col("one.start").cast("long").alias("start"), F.length(token).cast("long").alias("length"), _kind(token).alias("kind"), F.round("one.score", 6).alias("score"),
         F.concat(F.left(token, F.lit(4)), F.lit("***"), F.right(token, F.lit(2))).alias("redacted"), F.sha2(token, 256).alias("secret_sha256"),
     )
 
 
 def redact(docs: DataFrame, s: Settings = Settings(), forest: list | None = None) -> DataFrame:
     """The documents with a mask for each secret, and n_chars, where there is such a column, as it then is."""
-    found = scanned(docs, s, forest)
-    put = F.transform(
-        F.arrays_zip(F.split("text", CANDIDATE, -1).alias("part"), found.alias("found")),
-        lambda x: F.concat(x["part"], F.coalesce(F.when(x["found"]["score"] >= s.least, F.lit(MASK)).otherwise(x["found"]["token"]), F.lit(""))),
-    )
-    out = docs.withColumn("text", F.when(F.size(_tokens(F.col("text"))) > 0, F.array_join(put, "")).otherwise(F.col("text")))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    names = docs.columns
+    own = docs.select("*", _parts(F.col("text")).alias("_parts"))
+    parts = own.select("*", F.col("_parts").alias("parts")) if "parts" not in names else own.withColumnRenamed("parts", "_own_parts").withColumn("parts", F.col("_parts"))
+    found = parts.withColumn("_found", scanned(docs.sparkSession, s, forest))
+    masked = F.transform("_parts", lambda p, i: F.when((i % 2 == 1) & (F.get(F.col("_found"), F.floor(i / 2).cast("int"))["score"] >= s.least), F.lit(MASK)).otherwise(p))
+    out = found.withColumn("text", F.array_join(masked, ""))
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
+    out = out.drop("parts").withColumnRenamed("_own_parts", "parts") if "parts" in names else out
+    return out.select(names)
