@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
-    if not (d := spark.conf.get("spark.checkpoint.dir", None)):
-        spark.conf.set("spark.checkpoint.dir", d := tempfile.mkdtemp(prefix="sievelight-"))
-    return d
+    """The folder that driver and executors share; one of the machine's own only in local mode, where both are one process."""
+    if d := spark.conf.get("spark.checkpoint.dir", None):
+        return d
+    master = spark.sparkContext.master
+    if not master.startswith("local") or "cluster" in master:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="sievelight-")
 
 
 class Scratch:
@@ -39,10 +42,13 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
+        """Removes tables; a name may be a pattern."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-            path.getFileSystem(conf).delete(path, True)
+            fs = path.getFileSystem(conf)
+            for found in fs.globStatus(path) or []:
+                fs.delete(found.getPath(), True)
 
 
 def by_rows(

@@ -115,12 +115,13 @@ def mix(docs: DataFrame, s: Settings = Settings(), keep: Scratch | None = None)
     counts = scratch.keep(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "counts")
     shares = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), s)
     shares = scratch.keep(shares.withColumn("_source", known).drop("source"), "shares")
-    rows = counts.where("size > 0").withColumn("_source", known).join(shares, "_source").select(F.col("_source").alias("source"), "size", "n", "source_size", "target")
+    # Histograms grow with the data, and so may sources: joins by hash, never by broadcast.
+    rows = counts.where("size > 0").withColumn("_source", known).join(shares.hint("shuffle_hash"), "_source").select(F.col("_source").alias("source"), "size", "n", "source_size", "target")
     fitted = rows.groupBy("source").applyInArrow(_fitted, "source string, size long, whole long, more long")
     fitted = scratch.keep(fitted.withColumnRenamed("source", "_source").withColumnRenamed("size", "_size"), "fitted")
     order = F.xxhash64(F.lit(s.seed), "doc_id")
     ranked = numbered(sized.withColumn("_source", known).withColumn("_size", F.col("size")), ["_source", "_size"], order, [F.col("doc_id")], "_rank")
-    out = ranked.join(fitted, ["_source", "_size"], "left").join(shares, "_source")
+    out = ranked.join(fitted.hint("merge"), ["_source", "_size"], "left").join(shares.hint("merge"), "_source")
     times = F.coalesce(F.col("whole") + (F.col("_rank") < F.col("more")).cast("long"), F.lit(0))
     return out.withColumn("times", times).drop("_source", "_size", "_rank", "whole", "more")
 

@@ -7,12 +7,14 @@
    below the step; large sets need two or three steps for all slots.
 3. `bands` bands of `rows` slots each give buckets. At a similarity of 0.85 a pair misses all 24 bands of
    5 slots with a probability below 1e-6.
-4. In a bucket, signatures (8 bits a slot) estimate similarities. A first round verifies a spanning forest of the
-   most alike. In a second, the rows that may have links out of the components found so far meet again in their
-   buckets with their full sets, and the links that join components leave. So neither round gives out
-   more pairs than rows, whatever the size of a group of copies. A bucket of more than `block` classes is cut exactly:
-   by set size (links differ by a bounded ratio, and a class goes to its own size and the next lower one),
-   then into blocks, each pair of blocks a group of its own. No bucket is capped.
+4. In a bucket, signatures (8 bits a slot) estimate similarities. A bucket of more than `block` classes is first cut
+   by set size (links differ by a bounded ratio, and a class goes to its own size and the next lower one). A first round verifies a spanning forest of the
+   most alike, each row of a larger bucket meeting one random block of it, another one in each band: so a group of copies grows together
+   in work that is linear in it. In a second round, buckets in which several components are left meet again: rows outside of the
+   bucket's largest component meet all of it, block by block, and one another; the largest component's rows don't meet among themselves. The rows that
+   may have links out of their component bring their full sets, and the links that join components leave. If rows outside of the
+   largest component fill more than `bands` blocks, the bucket is cut by every other band's key too, as most of it is not alike; a
+   pair of it that shares no second band is missed (at a similarity of 0.85 with a probability below 2e-5). No bucket is capped.
 5. Links are confirmed on full sets, in integers: 100 * intersection >= percent * union.
 6. Components: union-find within each partition shrinks the links to forests, then rounds of
    large-star and small-star steps join them until nothing changes; each round is a written table.
@@ -298,7 +300,7 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     now = scratch.keep(links.mapInArrow(_forests, "a long, b long").distinct(), f"{name}0")
     tell = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     seen, k = tell(now), 0
-    while seen[0]:
+    while seen[0]:  # every round is a written table; it ends when nothing changes
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("c")).select("a", F.least("a", "c").alias("c"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("c").alias("b")).distinct()
@@ -314,6 +316,29 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now
 
 
+def mixed_buckets(marked: DataFrame, s: Settings, most: int | None) -> DataFrame:
+    """Buckets (key, size) with several components: their largest one `top`, the numbers of blocks of it and of the others, and `wide`,
+    whether the others fill more than `most` blocks."""
+    each = marked.groupBy("key", "size", "comp").agg(F.count("*").alias("c"))
+    stat = each.groupBy("key", "size").agg(F.sum("c").alias("n"), F.max(F.struct("c", (-F.col("comp")).alias("least"))).alias("x"), F.count("*").alias("comps")).where("comps > 1")
+    whole = F.col("n") <= s.block
+    inner = F.when(whole, 1).otherwise(F.ceil(F.col("x.c") / s.block)).cast("int")
+    outer = F.when(whole, 1).otherwise(F.ceil((F.col("n") - F.col("x.c")) / s.block)).cast("int")
+    return stat.select("key", "size", (-F.col("x.least")).alias("top"), inner.alias("inner"), outer.alias("outer"), (outer > most if most else F.lit(False)).alias("wide"))
+
+
+def meetings(rows: DataFrame, s: Settings) -> DataFrame:
+    """Each row in the groups in which it meets others: rows of the largest component are dealt to `inner` blocks, the others to `outer` ones;
+    every block of others meets every block of the largest component and every block of others. A single block of others needs no group of its own."""
+    block = lambda n: F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
+    rows = rows.withColumn("_in", block(F.col("inner"))).withColumn("_out", block(F.col("outer")))
+    ours = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: F.struct(F.col("_in").alias("one"), j.cast("int").alias("two")))
+    others = F.transform(F.sequence(F.lit(0), F.col("inner") - 1), lambda i: F.struct(i.cast("int").alias("one"), F.col("_out").alias("two")))
+    among = F.transform(F.sequence(F.lit(0), F.col("outer") - 1), lambda j: F.struct((F.col("inner") + F.least(j, F.col("_out"))).cast("int").alias("one"), F.greatest(j, F.col("_out")).cast("int").alias("two")))
+    met = F.when(F.col("comp") == F.col("top"), ours).when(F.col("outer") == 1, others).otherwise(F.concat(others, among))
+    return rows.select("key", "size", F.explode(met).alias("_met"), "id", "comp", "sign").select("key", "size", "_met.one", "_met.two", "id", "comp", "sign")
+
+
 def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     spark = docs.sparkSession
@@ -331,32 +356,36 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     split = F.when(F.col("n") <= s.block, F.array(F.lit(-1))).otherwise(F.array(size, size - 1))
     rows = scratch.keep(rows.select("key", F.explode(split).alias("size"), "id", "sign"), "rows")
     count = rows.groupBy("key", "size").agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / s.block).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    rows = rows.join(count, ["key", "size"]).select("key", "size", "id", "sign", mine.alias("mine"), other)
-    rows = scratch.keep(rows.select("key", "size", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"), "id", "sign"), "blocks")
-    scratch.drop("rows")
+    mine = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / s.block)).cast("int")
+    blocks = rows.join(count, ["key", "size"]).select("key", "size", mine.alias("one"), F.lit(0).alias("two"), "id", "sign")
 
-    ids = rows.select("id").distinct()
+    ids = blocks.select("id").distinct()
     texts = docs.join(ids.hint("shuffle_hash"), docs.doc_id == ids.id).select("id", "text").distinct()
     sets = scratch.keep(texts.mapInArrow(lambda it: _sets(it, s), "id long, members binary"), "sets")
 
     def grouped(df: DataFrame) -> DataFrame:
         return df.repartition(*GROUP).sortWithinPartitions(*GROUP)
 
-    pairs = grouped(rows.select(*GROUP, "id", "sign")).mapInArrow(lambda it: _candidates(it, s), "a long, b long").distinct()
+    pairs = grouped(blocks).mapInArrow(lambda it: _candidates(it, s), "a long, b long").distinct()
     pairs = pairs.join(sets.withColumnsRenamed({"id": "a", "members": "ours"}), "a").join(sets.withColumnsRenamed({"id": "b", "members": "theirs"}), "b")
     sure = pairs.select("a", "b", "ours", "theirs").mapInArrow(lambda it: _confirm(it, s.percent), "a long, b long")
     found = components(sure, scratch, "one")
 
     known = found.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    marked = rows.join(known, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root")
-    mixed = marked.groupBy(*GROUP).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").drop("x", "y")
-    marked = grouped(marked.join(mixed, GROUP).select(*GROUP, "id", "comp", "sign"))
+    marked = scratch.keep(rows.join(known, "id", "left").withColumn("comp", F.coalesce("root", "id")).drop("root"), "marked")
+    scratch.drop("rows")
+    stats = scratch.keep(mixed_buckets(marked, s, s.bands), "stats")
+    meeting = marked.join(stats.where("not wide"), ["key", "size"]).transform(lambda df: meetings(df, s))
+    if not stats.where("wide").isEmpty():
+        keys = classes.select("id", F.explode("keys").alias("key2"))
+        cut = marked.join(stats.where("wide").select("key", "size"), ["key", "size"]).join(keys, "id").where("key != key2")
+        cut = scratch.keep(cut.select(F.xxhash64("key", "key2").alias("key"), "size", "id", "comp", "sign"), "cut")
+        meeting = meeting.unionByName(cut.join(mixed_buckets(cut, s, None), ["key", "size"]).transform(lambda df: meetings(df, s)))
+    marked = grouped(meeting)
     doubtful = marked.mapInArrow(lambda it: _open(it, s), "key long, size int, one int, two int, id long, comp long")
     doubtful = grouped(doubtful.join(sets, "id").select(*GROUP, "id", "comp", "members"))
     final = components(doubtful.mapInArrow(lambda it: _linked(it, s), "a long, b long").union(found), scratch, "two")
+    scratch.drop("sets", "marked", "stats", "cut", "one*")
 
     named = classes.select("digest", "id").join(final.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left")
     named = named.select("digest", F.coalesce("root", "id").alias("found"))
