@@ -1,12 +1,16 @@
 """PII: format-preserving pseudonyms of validated values, by a keyed Feistel network.
 
 Patterns find candidates; each kind has its own validation (card numbers by Luhn's sum, IBANs modulo 97, octets up
-to 255, calendar dates, telephone and social security numbers by their numbering plans, mail addresses by their shape). A
+to 255, IPv6 addresses by the standard library, calendar dates in digits or with a month's name, telephone and social security numbers by their numbering plans, mail
+addresses by their shape; ten digits in one run are a telephone number only after a word that says so). A
 valid value's free symbols (digits, or letters and digits, each with its own radix) are permuted: two halves take turns to be
 shifted by a keyed hash of the other, so the map is one to one, and the same key maps equal values to equal
 pseudonyms in every document, however they are separated or cased. Where not every string of the format is valid, the permutation
 is applied until the value is (cycle walking); check digits are computed anew. `restore` inverts it with the key.
 
+The key is a secret of the job: `spark.sievelight.pii.key`, or `Settings.key`. Without either, one is drawn at random for the session, so values stay
+linked within that session and nobody can restore them.
+
 Defined cases: null and empty texts stay as they are; numbers that fail their validation stay; whole texts are read;
 equal rows give equal rows; a null id stays null; `pseudonymise` keeps extra columns; an empty table gives an empty table.
 """
@@ -17,25 +21,41 @@ import calendar
 import datetime as dt
 import functools
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import by_rows, text_sizes, texts_of
 
-KINDS = ("email", "iban", "card", "phone", "ipv4", "date", "ssn")
+KINDS = ("email", "iban", "card", "phone", "ipv4", "ipv6", "date", "ssn")
 
 
 @dataclass(frozen=True)
 class Settings:
-    key: bytes = b"replace this key in production"
+    key: bytes
     rounds: int = 8
 
 
+KEY = "spark.sievelight.pii.key"
+
+
+@functools.cache
+def _drawn(application: str) -> bytes:
+    return secrets.token_bytes(32)
+
+
+def settings(spark: SparkSession) -> Settings:
+    """With the session's key, or one drawn at random where it has none."""
+    key = spark.conf.get(KEY, None)
+    return Settings(key.encode() if key else _drawn(spark.sparkContext.applicationId))
+
+
 def _noise(key: bytes, kind: str, i: int, shape: tuple[int, ...], half: int) -> int:
     data = f"{kind}|{i}|{shape}|{half}".encode()
     return int.from_bytes(hashlib.blake2b(data, key=key[:64], digest_size=24).digest(), "big")
@@ -119,17 +139,23 @@ def _iban(value: str, s: Settings, back: bool) -> str | None:
 
 def _phone(value: str, s: Settings, back: bool) -> str | None:
     d = _digits(value)
+    plan = re.fullmatch(r"\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}", value)
     if d.startswith("1") and len(d) == 11:
         head, own = "1", d[1:]
-    elif len(d) == 10 and not value.startswith("+"):
+    elif plan:
         head, own = "", d
     elif value.startswith("+") and 8 <= len(d) <= 15:
         return _put(value, d[:2] + walked(d[2:], "phone" + d[:2], s, lambda x: True, back))
+    elif value.startswith("0") and 9 <= len(d) <= 12 and d[1] != "0":
+        # A national number keeps its zero and the digit after it, which says what kind of number it is.
+        return _put(value, d[:2] + walked(d[2:], "phone0", s, lambda x: True, back))
     else:
         return None
-    # Area codes begin with 2 to 9; numbers with another one are permuted among themselves.
-    good = (own[0] in "01").__eq__
-    return _put(value, head + walked(own, "phone1", s, lambda x: good(x[0] in "01"), back))
+    # Area codes begin with 2 to 9; numbers with another one are permuted among themselves. Digits between blanks count only with both codes right.
+    low, strict = own[0] in "01", bool(plan) and value[3] in " 0123456789"
+    if strict and (low or own[3] in "01"):
+        return None
+    return _put(value, head + walked(own, "phone1", s, lambda x: (x[0] in "01") == low and not (strict and x[3] in "01"), back))
 
 
 def _ipv4(value: str, s: Settings, back: bool) -> str | None:
@@ -139,9 +165,30 @@ def _ipv4(value: str, s: Settings, back: bool) -> str | None:
     return ".".join(map(str, permuted(octets, (256,) * 4, "ipv4", s, back)))
 
 
+def _ipv6(value: str, s: Settings, back: bool) -> str | None:
+    """The last 80 bits, behind the network's prefix, of an address in its full or its canonical form, which it keeps."""
+    try:
+        whole = ipaddress.IPv6Address(value)
+    except ValueError:
+        return None
+    if value not in (str(whole), whole.exploded) or not any(c.isdigit() for c in value) or not any(whole.packed[6:]) or len(value) < 6:
+        return None
+    new = ipaddress.IPv6Address(whole.packed[:6] + bytes(permuted(tuple(whole.packed[6:]), (256,) * 10, "ipv6", s, back)))
+    return new.exploded if value == whole.exploded else str(new)
+
+
 _FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
+def _walked_day(day: dt.date, s: Settings, back: bool, good: Callable[[dt.date], bool]) -> dt.date:
+    """The day's pseudonym among the days for which `good` holds."""
+    x = day.toordinal() - _FIRST
+    while True:
+        x = sum(a * b for a, b in zip(permuted((x // 512, x % 512), (256, 512), "date", s, back), (512, 1), strict=True))
+        if x <= _LAST - _FIRST and good(new := dt.date.fromordinal(x + _FIRST)):
+            return new
+
+
 def _date(value: str, s: Settings, back: bool) -> str | None:
     parts = [int(x) for x in re.split(r"\D", value)]
     year_first = len(re.split(r"\D", value)[0]) == 4
@@ -149,17 +196,49 @@ def _date(value: str, s: Settings, back: bool) -> str | None:
     y, m, d = parts if year_first else (parts[2], *(parts[1::-1] if day_first else parts[:2]))
     if not (1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
         return None
-    x = dt.date(y, m, d).toordinal() - _FIRST
-    while True:
-        # One name for each way of writing; a day that could be a month keeps the order readable.
-        x = sum(a * b for a, b in zip(permuted((x // 512, x % 512), (256, 512), "date", s, back), (512, 1), strict=True))
-        if x <= _LAST - _FIRST:
-            new = dt.date.fromordinal(x + _FIRST)
-            if year_first or "." in value or (new.day > 12) == (d > 12):
-                break
+    # A day that could be a month keeps the order readable; days and months of one digit stay so, as they have no zero to lose.
+    short = [len(x) == 1 for x in re.split(r"\D", value)]
+    free = year_first or "." in value
+    alike = lambda new: (free or (new.day > 12) == (d > 12)) and (not any(short) or ((new.day < 10) == (d < 10) and (new.month < 10) == (m < 10)))
+    new = _walked_day(dt.date(y, m, d), s, back, alike)
     mark = re.search(r"\D", value)[0]
     own = (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
-    return mark.join(own if year_first else ((own[2], own[1]) if day_first else own[1:]) + (own[0],))
+    out = own if year_first else ((own[2], own[1]) if day_first else own[1:]) + (own[0],)
+    return mark.join(x[1:] if one else x for x, one in zip(out, short, strict=True))
+
+
+#: Names of months, by language.
+MONTHS = {
+    "en": "January February March April May June July August September October November December",
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember",
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre",
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre",
+    "en short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec",
+}
+_MONTHS = {k: [x.lower() for x in v.split()] for k, v in MONTHS.items()}
+
+
+def _written(value: str, s: Settings, back: bool) -> str | None:
+    """A date with a month's name. Its pseudonym has a name of the same language and a day of as many digits, so that both stay what they are."""
+    name = re.search(r"[^\W\d_]{3,}", value)[0]
+    held = [k for k, v in _MONTHS.items() if name.lower() in v]
+    if not held:
+        return None
+    months = _MONTHS[held[0]]
+    # A name that two languages have is one of the first; other months that begin it, too, would change which.
+    mine = lambda m: next(k for k, v in _MONTHS.items() if months[m - 1] in v) == held[0]
+    m = months.index(name.lower()) + 1
+    d, y = (int(x) for x in re.findall(r"\d+", value))
+    if not (1900 <= y <= 2099 and 1 <= d <= calendar.monthrange(y, m)[1]) or not mine(m):
+        return None
+    two = len(re.search(r"\d+", value)[0]) == 2
+    new = _walked_day(dt.date(y, m, d), s, back, lambda x: mine(x.month) and (x.day >= 10) == (d >= 10))
+    month = months[new.month - 1]
+    month = month.upper() if name.isupper() else month.title() if name[0].isupper() else month
+    out = value.replace(name, "\0", 1)
+    out = re.sub(r"\d{4}", f"{new.year:04d}", out)
+    out = re.sub(r"(?<!\d)\d{1,2}(?!\d)", f"{new.day:02d}" if two else str(new.day), out, count=1)
+    return out.replace("\0", month)
 
 
 def _ssn(value: str, s: Settings, back: bool) -> str | None:
@@ -168,16 +247,22 @@ def _ssn(value: str, s: Settings, back: bool) -> str | None:
     return _put(value, walked(d, "ssn", s, good, back)) if good(d) else None
 
 
-RULES = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "ipv4": _ipv4, "date": _date, "ssn": _ssn}
+RULES = {"email": _email, "iban": _iban, "card": _card, "phone": _phone, "said": _phone, "ipv4": _ipv4, "ipv6": _ipv6, "date": _date, "written": _written, "ssn": _ssn}
+#: Patterns that are one kind's with another look.
+COUNTED = {"said": "phone", "written": "date"}
+_NAMES = "|".join(sorted({x for v in MONTHS.values() for x in v.split()}, key=lambda x: (-len(x), x)))
 
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
     r"|(?<![\w.])(?P<ipv4>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"
-    r"|(?<![\w/.-])(?P<date>(?:19|20)\d\d-\d\d-\d\d|\d\d/\d\d/(?:19|20)\d\d|\d\d\.\d\d\.(?:19|20)\d\d)(?![\w/-]|\.\d)"
+    r"|(?<![\w/.-])(?P<date>(?:19|20)\d\d-\d\d-\d\d|\d\d?/\d\d?/(?:19|20)\d\d|\d\d?\.\d\d?\.(?:19|20)\d\d)(?![\w/-]|\.\d)"
+    r"|(?<![\w.:])(?P<ipv6>(?:[0-9A-Fa-f]{1,4}:){1,7}(?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?|[0-9A-Fa-f]{1,4}))(?![\w:])"
+    rf"|(?<![\w.-])(?P<written>\d\d?(?:\.| de|st|nd|rd|th)? (?i:{_NAMES}) (?:de )?(?:19|20)\d\d|(?i:{_NAMES}) \d\d?,? (?:19|20)\d\d)(?![\w-])"
     r"|(?<![\w.-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
     r"|(?<![\w.-])(?P<card>\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])"
-    r"|(?<![\w.-])(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w-])"
+    r"|(?<![\w.-])(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?P<by>[ .-])\d{3}(?P=by)\d{4}|0\d{2,4}[ /-]\d{3,4} ?\d{3,5})(?![\w-])"
+    r"|(?i:tel|phone|call|mobile|cell|fax|telefon|teléfono|téléphone|handy|móvil)[a-z]*[.:]? {0,3}(?P<said>\d{10}|0\d{10})(?![\w-])"
 )
 #: A text without any of these has nothing to find.
 _SOME = re.compile(r"\d|@")
@@ -188,13 +273,14 @@ def _mapped(kind: str, value: str, s: Settings, back: bool) -> str | None:
     return RULES[kind](value, s, back)
 
 
-def replace(text: str, s: Settings = Settings(), back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
+def replace(text: str, s: Settings, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, length) of each in the original text."""
     if not _SOME.search(text):
         return text, []
     parts, found, at, look = [], [], 0, 0
     while m := PATTERN.search(text, look):
-        kind, value, start = m.lastgroup, m[0], m.start()
+        kind = m.lastgroup
+        value, start = m[kind], m.start(kind)
         new = _mapped(kind, value, s, back)
         if new is None and kind == "phone" and (short := re.match(r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)", value)):
             value = short[0]
@@ -205,12 +291,12 @@ def replace(text: str, s: Settings = Settings(), back: bool = False) -> tuple[st
                 look += 1  # no match begins within a word or a number
             continue
         parts += [text[at:start], new]
-        found.append((kind, start, len(value)))
+        found.append((COUNTED.get(kind, kind), start, len(value)))
         at = look = start + len(value)
     return "".join([*parts, text[at:]]), found
 
 
-def restore(text: str, s: Settings = Settings()) -> str:
+def restore(text: str, s: Settings) -> str:
     return replace(text, s, True)[0]
 
 
@@ -224,14 +310,15 @@ def _applied(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays(list(made.values()), names=list(made))
 
 
-def pseudonymise(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def pseudonymise(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """The documents with pseudonyms in `text`, and the numbers of values by kind as n_email and so on (replacing such columns)."""
+    s = s or settings(docs.sparkSession)
     docs = docs.drop(*[f"n_{k}" for k in KINDS])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(lambda it: _applied(it, s), fields + "".join(f", n_{k} long" for k in KINDS))
 
 
-def pseudonymised(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def pseudonymised(docs: DataFrame, s: Settings | None = None) -> DataFrame:
     """doc_id, text, n_replaced and the counts by kind of each document."""
     out = pseudonymise(docs.select("doc_id", "text"), s)
     return out.withColumn("n_replaced", sum((F.col(f"n_{k}") for k in KINDS), F.lit(0).cast("long")))
