@@ -4,7 +4,9 @@ A document's ids, with an end id, are cut into full sequences and a rest. Length
 `Settings.unit` tokens, rounded up, so the histogram has at most `size / unit` classes however large the corpus
 is; it alone reaches the driver. There column generation solves the linear program over patterns (how many
 pieces of each class one sequence takes): the simplex method gives each class a price, and a knapsack dynamic
-program finds the pattern worth most, until no pattern is worth more than a sequence (within `Settings.gap`).
+program finds the pattern worth most. What the sequences cost over the dearest pattern's worth is a lower bound of any solution's cost; it
+ends when the solution is within `Settings.gap` of the best bound seen. After `Settings.rounds` patterns it ends as well, with a
+warning that gives the gap reached: every piece still has its place then, only padding is more.
 The patterns' counts are rounded down; what that leaves, less than a sequence for each class, is filled by
 subset sums from the largest piece on. Every piece gets its rank among those of its class (`common.numbered`, which
 deals hot classes over many tasks), and its class and rank name its sequence.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import json
+import warnings
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -143,18 +146,33 @@ def inverted(a: np.ndarray) -> np.ndarray:
     return x[:, n:]
 
 
-def patterns(widths: np.ndarray, demand: np.ndarray, size: int, gap: float, rounds: int) -> list[tuple[float, np.ndarray]]:
+def patterns(widths: np.ndarray, demand: np.ndarray, size: int, gap: float, rounds: int, hold: float = 0.9) -> list[tuple[float, np.ndarray]]:
     """(uses, counts by width) of a basic solution of the linear program, by column generation.
 
-    widths rise and none exceeds size. It ends when a pattern's worth is at most 1 + gap: the solution then
-    has at most that part more sequences than the best one.
+    widths rise and none exceeds size. The solution has at most `gap` more sequences than the best one, as a part of them, unless `rounds` end before.
     """
     base = np.diag(size // widths)
     inverse = np.diag(1.0 / np.diag(base))
     uses = (inverse * demand).sum(1)
-    for k in range(rounds):
-        worth, column = best_pattern(inverse.sum(0), widths, size)
-        if worth <= 1 + gap:
+    bound, best, pivots = 0.0, None, 0
+    for k in range(rounds + 1):
+        prices = inverse.sum(0)
+        # Prices swing from round to round; those that gave the best bound hold them back, which takes a quarter of the rounds.
+        tried = prices if best is None else hold * best + (1 - hold) * prices
+        worth, column = best_pattern(tried, widths, size)
+        for again in (True, False):
+            # A pattern's worth scales the prices down to ones that no pattern exceeds: what the demand then costs bounds every solution.
+            if (below := float(demand @ tried) / max(worth, 1e-12)) > bound:
+                bound, best = below, tried / worth
+            if again and prices @ column <= 1 + 1e-9 and uses.sum() > (1 + gap) * bound:
+                tried = prices  # the held prices found nothing for the solution at hand
+                worth, column = best_pattern(tried, widths, size)
+            else:
+                break
+        if uses.sum() <= (1 + gap) * bound or prices @ column <= 1 + 1e-9:
+            break
+        if k == rounds:
+            warnings.warn(f"column generation ended after {rounds} rounds, {uses.sum() / bound - 1:.2%} above the lower bound", stacklevel=2)
             break
         way = (inverse * column).sum(1)
         ratio = np.where(way > 1e-9, uses / np.where(way > 1e-9, way, 1), np.inf)
@@ -165,7 +183,8 @@ def patterns(widths: np.ndarray, demand: np.ndarray, size: int, gap: float, roun
         inverse -= np.outer(way, row)
         inverse[out] = row
         base[:, out] = column
-        if k % 400 == 399:  # rounding errors don't add up
+        pivots += 1
+        if pivots % 400 == 0:  # rounding errors don't add up
             inverse = inverted(base)
             uses = np.maximum((inverse * demand).sum(1), 0)
     return [(float(x), base[:, i].copy()) for i, x in enumerate(uses)]

@@ -45,6 +45,36 @@ def test_patterns_meet_the_demand():
     assert sum(x for x, _ in found) <= (widths * demand).sum() / 20 * 1.05
 
 
+def test_patterns_come_near_the_best():
+    """Against all patterns of small problems: the linear program over every pattern, solved by trying all bases."""
+    import itertools
+    import warnings
+
+    rng = random.Random(2)
+    for _ in range(30):
+        size = rng.randint(6, 12)
+        widths = np.array(sorted(rng.sample(range(2, size), min(3, size - 2))))
+        demand = np.array([float(rng.randint(1, 30)) for _ in widths])
+        every = [c for c in itertools.product(*[range(size // w + 1) for w in widths]) if any(c) and sum(a * w for a, w in zip(c, widths, strict=True)) <= size]
+        best = np.inf
+        for basis in itertools.combinations(every, len(widths)):
+            m = np.array(basis, float).T
+            if abs(np.linalg.det(m)) > 1e-9 and (x := np.linalg.solve(m, demand)).min() >= -1e-9:
+                best = min(best, x.sum())
+        with warnings.catch_warnings():
+            warnings.simplefilter("error")
+            got = packing.patterns(widths, demand, size, 5e-4, 4000)
+        assert best - 1e-6 <= sum(u for u, _ in got) <= best * (1 + 5e-4) + 1e-6
+        assert np.allclose(sum(u * c for u, c in got), demand)
+
+
+def test_rounds_that_end_early_are_told():
+    widths, demand = np.arange(2, 40), np.arange(2, 40).astype(float)
+    with pytest.warns(UserWarning, match="above the lower bound"):
+        got = packing.patterns(widths, demand, 97, 1e-6, 3)
+    assert np.allclose(sum(u * c for u, c in got), demand)
+
+
 def test_inverse():
     a = np.random.default_rng(1).normal(size=(7, 7))
     assert np.allclose(packing.inverted(a) @ a, np.eye(7))
