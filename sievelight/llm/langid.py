@@ -108,7 +108,7 @@ def subwords(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     joined = b"".join(raw) + b"    "
     b = np.frombuffer(joined, np.uint8)
     # Runs with a digit or an @ in them (keys, numbers, addresses) are no words.
-    run = np.cumsum(~_RUN[b])
+    run = np.cumsum(~_RUN[b], dtype=np.int32)
     marked = np.bincount(run, weights=_MARK[b]) > 0
     b = np.where(marked[run], 32, np.frombuffer(joined.translate(_BLANK), np.uint8)).astype(np.uint32)
     n = len(b) - 4
@@ -279,7 +279,7 @@ def fit(docs: DataFrame, s: Settings = Settings()) -> Model:
 
 
 def _apply(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
-    for b in by_rows(batches, text_sizes(), 2 << 20):
+    for b in by_rows(batches, text_sizes(), 1 << 19):  # a text takes some sixty times its bytes while it is read
         lang, score = model.predict(texts_of(b))
         yield pa.RecordBatch.from_arrays(
             [*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(np.array([x != UND for x in lang], bool) & (score >= model.threshold))],
