@@ -64,6 +64,7 @@ def by_rows(
             total += n
         if b.num_rows > start:
             yield b.slice(start)
+        pa.default_memory_pool().release_unused()  # workers stay: what the pool keeps is lost to the next stage
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:

@@ -66,7 +66,7 @@ _powers: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers of an odd number and of its inverse modulo 2**64, n of each at least."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         _powers[:] = [np.cumprod(np.array([1] + [b] * (size - 1), np.uint64)) for b in (_P, pow(_P, -1, 1 << 64))]
     return _powers[0], _powers[1]
 
@@ -142,7 +142,7 @@ BASE = "doc_id long, n_shingles long, digest binary, keys array<long>, sign bina
 
 def _signed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
     m = s.bands * s.rows
-    for b in by_rows(batches, text_sizes(), 1 << 20):
+    for b in by_rows(batches, text_sizes(), 1 << 19):
         sets = shingle_sets(texts_of(b), s.words)
         own = [i for i, x in enumerate(sets) if len(x)]
         digest, keys, sign = [None] * len(sets), [None] * len(sets), [None] * len(sets)
@@ -158,7 +158,7 @@ def _signed(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 
 
 def _sets(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordBatch]:
-    for b in by_rows(batches, text_sizes(), 1 << 20):
+    for b in by_rows(batches, text_sizes(), 1 << 19):
         sets = shingle_sets(texts_of(b), s.words)
         yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["id", "members"])
 
@@ -235,21 +235,42 @@ def _open(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.RecordB
         yield batch.select(names).filter(pa.array((same >= s.doubtful).any(1)))
 
 
-def exact_links(sets: list[np.ndarray], comp: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links between the sets that join all components that any of their links joins; the sets hold sorted 64-bit hashes."""
+def _bits(sets: list[np.ndarray]) -> np.ndarray:
+    """The sets as rows of bits over the members that two of them have at least; what one has alone is in no intersection."""
     size = np.array([len(x) for x in sets])
-    every, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    rank = np.cumsum(seen > 1) - 1  # what one set has alone is in no intersection
+    _, at, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.cumsum(seen > 1) - 1
     own, row = seen[at] > 1, np.repeat(np.arange(len(sets)), size)
     width = -(-(int(rank[-1]) + 1) // 64) if len(rank) else 0
     bits = np.zeros((len(sets), max(width, 1)), np.uint64)
     place = rank[at[own]]
     np.bitwise_or.at(bits, (row[own], place // 64), np.uint64(1) << (place % 64).astype(np.uint64))
-    comp, out = comp.copy(), []
+    return bits
+
+
+def exact_links(sets: list[np.ndarray], comp: np.ndarray, percent: int, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Links between the sets that join all components that any of their links joins; the sets hold sorted 64-bit hashes.
+
+    Members are compared by ranges of their hashes, each of about `most` members, so that long texts take no more memory than short ones.
+    """
+    size = np.array([len(x) for x in sets])
+    edges = [int(x) for x in np.linspace(0, 1 << 64, -(-int(size.sum()) // most) + 1)[1:-1]]
+    cuts = np.array([[0, *np.searchsorted(x, np.array(edges, np.uint64)), len(x)] for x in sets])
+    fits = lambda i: (comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
+    comp, out, ahead = comp.copy(), [], None
+    if edges:
+        ahead = np.zeros((len(sets), len(sets)), np.int32)
+        for k in range(len(edges) + 1):
+            bits = _bits([x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)])
+            for i in range(len(sets) - 1):
+                near = i + 1 + np.flatnonzero(fits(i))
+                ahead[i, near] += np.bitwise_count(bits[near] & bits[i]).sum(1, dtype=np.int32)
+    else:
+        bits = _bits(sets)
     for i in range(len(sets) - 1):
-        near = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :])))
+        near = i + 1 + np.flatnonzero(fits(i))
         if len(near):
-            both = np.bitwise_count(bits[near] & bits[i]).sum(1, dtype=np.int64)
+            both = np.bitwise_count(bits[near] & bits[i]).sum(1, dtype=np.int64) if ahead is None else ahead[i, near].astype(np.int64)
             for k in near[100 * both >= percent * (size[i] + size[near] - both)]:
                 if comp[k] != comp[i]:
                     out.append((i, int(k)))
@@ -265,7 +286,7 @@ def _linked(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[pa.Recor
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for b in by_rows(batches, lambda b: [len(x) + len(y) for x, y in zip(b.column("ours").to_pylist(), b.column("theirs").to_pylist(), strict=True)], 16 << 20):
+    for b in by_rows(batches, lambda b: [len(x) + len(y) for x, y in zip(b.column("ours").to_pylist(), b.column("theirs").to_pylist(), strict=True)], 4 << 20):
         good = []
         for x, y in zip(b.column("ours").to_pylist(), b.column("theirs").to_pylist(), strict=True):
             n = (len(x) + len(y)) // 8

@@ -184,10 +184,11 @@ def test_superminhash_estimates_similarity():
     assert sorted(x >> np.uint64(32) for x in one) == list(range(64))  # one element fills each slot by a step of its own
 
 
-def test_exact_links_join_what_any_link_joins():
+@pytest.mark.parametrize("most", [1 << 20, 200, 7])
+def test_exact_links_join_what_any_link_joins(most):
     rng = random.Random(2)
     base = [rng.randrange(1 << 60) for _ in range(60)]
-    sets = [np.unique(np.array([x if rng.random() > 0.08 else rng.randrange(1 << 60) for x in base], np.uint64)) for _ in range(25)]
+    sets = [np.unique(np.array([x if rng.random() > 0.08 else rng.randrange(1 << 64) for x in base], np.uint64)) for _ in range(25)]
     up = list(range(25))
     for i in range(25):
         for k in range(i):
@@ -196,7 +197,7 @@ def test_exact_links_join_what_any_link_joins():
                 a, b = up[i], up[k]
                 up = [min(a, b) if x in (a, b) else x for x in up]
     got = list(range(25))
-    for i, k in neardup.exact_links(sets, np.arange(25), 85):
+    for i, k in neardup.exact_links(sets, np.arange(25), 85, most):
         a, b = got[i], got[k]
         got = [min(a, b) if x in (a, b) else x for x in got]
     assert got == up
