@@ -254,7 +254,8 @@ def exact_links(sets: list[np.ndarray], comp: np.ndarray, percent: int, most: in
     Members are compared by ranges of their hashes, each of about `most` members, so that long texts take no more memory than short ones.
     """
     size = np.array([len(x) for x in sets])
-    edges = [int(x) for x in np.linspace(0, 1 << 64, -(-int(size.sum()) // most) + 1)[1:-1]]
+    parts = -(-int(size.sum()) // most)
+    edges = [k * (1 << 64) // parts for k in range(1, parts)]
     cuts = np.array([[0, *np.searchsorted(x, np.array(edges, np.uint64)), len(x)] for x in sets])
     fits = lambda i: (comp[i + 1 :] != comp[i]) & (100 * np.minimum(size[i], size[i + 1 :]) >= percent * np.maximum(size[i], size[i + 1 :]))
     comp, out, ahead = comp.copy(), [], None
