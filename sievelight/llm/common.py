@@ -92,3 +92,26 @@ def numbered(df: DataFrame, keys: list[str], order: Column, ties: list[Column],
     inner = F.row_number().over(Window.partitionBy(*keys, part).orderBy(by, *ties)) - 1
     ranked = dealt.withColumn(name, inner).join(counts, [*keys, part])
     return ranked.withColumn(name, F.col(name) + F.col(before)).drop(before, part, by)
+
+
+def firsts(groups: DataFrame, part: Column, order: list[Column], count: str, name: str) -> DataFrame:
+    """`name`: the rows before each group in the order (`part`, *order), where a group stands for `count` rows.
+
+    `part` deals the order into ranges, whose number the caller bounds: their counts are summed up in one task and joined to all.
+    """
+    dealt = groups.withColumn("_part", part)
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy("_part").agg(F.sum(count).alias("_all"))
+    sums = sums.select("_part", F.coalesce(F.sum("_all").over(before(Window.orderBy("_part"))), F.lit(0)).alias("_before"))
+    inner = F.coalesce(F.sum(count).over(before(Window.partitionBy("_part").orderBy(*order))), F.lit(0))
+    return dealt.withColumn("_inner", inner).join(F.broadcast(sums), "_part").withColumn(name, F.col("_before") + F.col("_inner")).drop("_part", "_before", "_inner")
+
+
+def copies(groups: DataFrame, count: str, name: str, chunk: int) -> DataFrame:
+    """A row for each of a group's `count` rows, numbered from 0 by `name`; a group of more than `chunk` rows is dealt to several tasks."""
+    upto = lambda low, high: F.explode(F.sequence(low, high - 1))
+    none, n = F.lit(0).cast("long"), F.col(count)
+    few = groups.where(n <= chunk).withColumn(name, upto(none, n))
+    many = groups.where(n > chunk).withColumn("_chunk", upto(none, F.ceil(n / chunk)))
+    many = many.repartition(F.xxhash64("_chunk", *groups.columns)).withColumn(name, upto(F.col("_chunk") * chunk, F.least(n, (F.col("_chunk") + 1) * chunk)))
+    return few.unionByName(many.drop("_chunk"))

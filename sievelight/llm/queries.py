@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, extract, langid, licenses, mixing, neardup, ogg, packing, pii, secrets
+from . import chunks, extract, langid, licenses, mixing, neardup, ogg, packing, phrases, pii, resample, secrets, shards
 from .common import table
 
 
@@ -48,9 +48,22 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.assigned(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_license_scan, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_chunk_fingerprints, op8_language_id, op9_html_extraction, op10_pii_pseudonyms)
+    for f in (op1_packing, op2_license_scan, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_chunk_fingerprints, op8_language_id, op9_html_extraction, op10_pii_pseudonyms,
+              op11_importance_resampling, op12_phrase_collocations, op13_feistel_shards)
 }
 
 #: Links by counting shared shingles of different sets, and what they reach. The others are trained, seeded or packed: no SQL gives their rows.
