@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunks, extract, langid, licenses, mixing, neardup, ogg, packing, phrases, pii, resample, secrets, shards
+from . import chunks, extract, langid, licenses, mixing, neardup, ogg, oracles, packing, phrases, pii, resample, secrets, shards
 from .common import table
 
 
@@ -62,22 +62,7 @@ def op13_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_license_scan, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_chunk_fingerprints, op8_language_id, op9_html_extraction, op10_pii_pseudonyms,
-              op11_importance_resampling, op12_phrase_collocations, op13_feistel_shards)
+    for f in (op1_packing, op2_license_scan, op3_ogg_media, op4_minhash_near_dedup, op5_source_mixing, op6_secret_scan, op7_chunk_fingerprints, op8_language_id, op9_html_extraction, op10_pii_pseudonyms, op11_importance_resampling, op12_phrase_collocations, op13_feistel_shards)
 }
 
-#: Links by counting shared shingles of different sets, and what they reach. The others are trained, seeded or packed: no SQL gives their rows.
-_NEAR = r"""
-WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-sets AS MATERIALIZED (SELECT doc_id, CASE WHEN coalesce(len(w), 0) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s FROM words),
-classes AS MATERIALIZED (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
-rows AS MATERIALIZED (SELECT id, n, unnest(s) AS x FROM classes),
-links AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM rows a JOIN rows b ON a.x = b.x AND a.id <> b.id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
-  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-reached(id, other) AS (SELECT id, id FROM classes UNION SELECT r.id, l.b FROM reached r JOIN links l ON l.a = r.other),
-named AS (SELECT s, min(other) AS found FROM classes JOIN reached USING (id) GROUP BY s)
-SELECT doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(found, doc_id) AS component_id, doc_id = coalesce(found, doc_id) AS kept FROM sets LEFT JOIN named ON named.s = sets.s
-"""
-
-ORACLES: dict[str, str] = {"op4_minhash_near_dedup": _NEAR}
+ORACLES: dict[str, str] = {"op4_minhash_near_dedup": oracles.NEAR, "op11_importance_resampling": oracles.RESAMPLE, "op12_phrase_collocations": oracles.PHRASES, "op13_feistel_shards": oracles.SHARDS}
