@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -39,24 +39,25 @@ class Settings:
     salts: int = 64
 
 
-def runs(words: Column, max_n: int) -> Column:
-    """All runs of 1 to `max_n` words of an array, as texts."""
-    out, last = [words], words
-    for n in range(2, max_n + 1):
-        size = F.greatest(F.size(words) - (n - 1), F.lit(0))
-        last = F.zip_with(F.slice(last, F.lit(1), size), F.slice(words, F.lit(n), size), lambda a, b: F.concat(a, F.lit(" "), b))
-        out.append(last)
-    return F.concat(*out)
+def grams(pieces: DataFrame, max_n: int) -> DataFrame:
+    """lang, phrase: a row for each run of 1 to `max_n` words of each piece. Each word is set beside those that follow it in its piece, null
+    past the end, and makes a row with 0, 1, ... of these; no lambda runs, so that all stays in generated code."""
+    words = pieces.select("lang", F.trim(F.col("piece"), F.lit(" \t")).alias("piece")).where("piece != ''").select("lang", F.split("piece", "[\\x20\\x09]+").alias("words"))
+    names = [f"w{n}" for n in range(max_n)]
+    beside = F.arrays_zip(*[F.slice("words", F.lit(n + 1), F.size("words")).alias(name) for n, name in enumerate(names)])
+    at = words.select("lang", F.inline(beside).alias(*names))
+    run = lambda n: F.concat(names[0], *[x for name in names[1:n] for x in (F.lit(" "), F.col(name))])
+    return at.select("lang", F.explode(F.array(*[run(n + 1) for n in range(max_n)])).alias("phrase")).where("phrase is not null")
 
 
 def counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """lang, phrase, words (in it), f: all single words, and the phrases that occur `least` times."""
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     pieces = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(F.split(text, STOPS)).alias("piece"))
-    words = pieces.select("lang", F.filter(F.split("piece", "[\\x20\\x09]+"), lambda w: w != "").alias("words"))
-    rows = words.select("lang", F.explode(runs(F.col("words"), s.max_n)).alias("phrase"))
     n = F.length(F.col("phrase")) - F.length(F.replace(F.col("phrase"), F.lit(" "), F.lit(""))) + 1
-    return rows.groupBy("lang", "phrase").agg(F.count("*").alias("f")).select("lang", "phrase", n.cast("int").alias("words"), "f").where((F.col("words") == 1) | (F.col("f") >= s.least))
+    # A count that outgrows a task's memory is sorted by its key's first bytes: those of a phrase differ, a language's don't.
+    counted = grams(pieces, s.max_n).groupBy("phrase", "lang").agg(F.count("*").alias("f"))
+    return counted.select("lang", "phrase", n.cast("int").alias("words"), "f").where((F.col("words") == 1) | (F.col("f") >= s.least))
 
 
 def scored(found: DataFrame, s: Settings = Settings()) -> DataFrame:
