@@ -40,14 +40,14 @@ class Settings:
 
 
 def grams(pieces: DataFrame, max_n: int) -> DataFrame:
-    """lang, phrase: a row for each run of 1 to `max_n` words of each piece. Each word is set beside those that follow it in its piece, null
+    """key: the phrase, a tab and the language, for each run of 1 to `max_n` words of each piece; words hold no tab. Each word is set beside those that follow it in its piece, null
     past the end, and makes a row with 0, 1, ... of these; no lambda runs, so that all stays in generated code."""
     words = pieces.select("lang", F.trim(F.col("piece"), F.lit(" \t")).alias("piece")).where("piece != ''").select("lang", F.split("piece", "[\\x20\\x09]+").alias("words"))
     names = [f"w{n}" for n in range(max_n)]
     beside = F.arrays_zip(*[F.slice("words", F.lit(n + 1), F.size("words")).alias(name) for n, name in enumerate(names)])
     at = words.select("lang", F.inline(beside).alias(*names))
     run = lambda n: F.concat(names[0], *[x for name in names[1:n] for x in (F.lit(" "), F.col(name))])
-    return at.select("lang", F.explode(F.array(*[run(n + 1) for n in range(max_n)])).alias("phrase")).where("phrase is not null")
+    return at.select(F.explode(F.array(*[F.concat(run(n + 1), F.lit("\t"), "lang") for n in range(max_n)])).alias("key")).where("key is not null")
 
 
 def counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -55,8 +55,11 @@ def counts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     text = F.translate(F.coalesce(F.col("text"), F.lit("")), UPPER, LOWER)
     pieces = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.explode(F.split(text, STOPS)).alias("piece"))
     n = F.length(F.col("phrase")) - F.length(F.replace(F.col("phrase"), F.lit(" "), F.lit(""))) + 1
-    # A count that outgrows a task's memory is sorted by its key's first bytes: those of a phrase differ, a language's don't.
-    counted = grams(pieces, s.max_n).groupBy("phrase", "lang").agg(F.count("*").alias("f"))
+    # One key is a shorter row than two; a count that outgrows a task's memory is sorted by its key's first bytes, in which languages don't differ.
+    counted = grams(pieces, s.max_n).groupBy("key").agg(F.count("*").alias("f"))
+    phrase = F.substring_index("key", "\t", 1)
+    lang = F.substring(F.col("key"), F.length(phrase) + 2, F.length("key"))
+    counted = counted.select(lang.alias("lang"), phrase.alias("phrase"), "f")
     return counted.select("lang", "phrase", n.cast("int").alias("words"), "f").where((F.col("words") == 1) | (F.col("f") >= s.least))
 
 
