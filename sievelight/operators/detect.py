@@ -1,12 +1,12 @@
 """Detectors over lines: the rule scan, secrets, anti-patterns, and the filters around them.
 
-A scan of lines never leaves the JVM. The rules of a scan become one array of conditions for each chunk of at most `CHUNK`
-rules, each testing language and needed text before its pattern; what remains is exploded and gets its rule's
-attributes from a broadcast table of the catalog's size.
+A scan of lines never leaves the JVM. One pass finds which of all rules' needed texts a line holds (`literals`), which leaves few rules
+of the line's language to try; these are exploded, get pattern and attributes from a broadcast table of the catalog's size, and are tested.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .catalog import Catalog, Rule
+from .literals import candidates
 
-CHUNK = 40
 #: A line that writes down a rule instead of doing what the rule looks for: compiled or matched patterns, ids of rules and
 #: weaknesses, tables of rules, patterns or signatures, and lines that begin with a raw string.
 DEFINITION = r"""(?i)^\s*r["']|(re\.compile|rlike|regexp_[a-z_]+)\(|rule_?id\s*[=:]|cwe-[0-9]|(^|[^0-9a-z])(rules?|patterns?|signatures?)\s*(:[^=]*)?=([^=]|$)"""
@@ -42,13 +42,12 @@ def is_test_path(path: Column) -> Column:
     return path.rlike(TEST_PATH)
 
 
-def _hit(rule: Rule, text: Column, low: Column, language: Column) -> Column:
-    cond = text.rlike("(?i)" + rule.pattern)
-    if rule.unless:
-        cond &= ~text.rlike("(?i)" + rule.unless)
-    if rule.need:
-        cond = low.contains(rule.need) & cond
-    return cond if "*" in rule.languages else language.isin(*rule.languages) & cond
+def tried(rows: DataFrame, rules: list[tuple[int, Rule]], *columns: str, pattern: Callable[[Rule], str] = lambda r: r.pattern) -> DataFrame:
+    """`columns` and rule_seq: a row for each rule that may match the row's `text` in its `language`.
+
+    An outer explode, as of a plain one the optimizer derives a filter, which would look up all texts twice."""
+    may = candidates(F.col("text"), F.col("language"), [(i, r.languages, r.need, pattern(r)) for i, r in rules])
+    return rows.select(*columns, F.explode_outer(may).alias("rule_seq")).where("rule_seq is not null")
 
 
 def rule_scan(lines: DataFrame, catalog: Catalog | None = None, depth: int = 2, filters: bool = True, rules: list[tuple[int, Rule]] | None = None, **of) -> DataFrame:
@@ -60,12 +59,13 @@ def rule_scan(lines: DataFrame, catalog: Catalog | None = None, depth: int = 2,
     lines = lines.select("path", "language", "line_no", T.long_line_guard("text").alias("text")).where(F.trim("text") != "")
     if filters:
         lines = lines.where(~is_comment(F.col("text")) & ~is_definition(F.col("text")))
-    text, low, language = F.col("text"), F.lower("text"), F.col("language")
-    hits = [F.array_compact(F.array(*[F.when(_hit(r, text, low, language), F.lit(i)) for i, r in rules[k : k + CHUNK]])) for k in range(0, len(rules), CHUNK)]
-    # An outer explode: of a plain one the optimizer derives a filter, which would match all patterns twice.
-    found = lines.select("path", "line_no", "text", F.explode_outer(F.concat(*hits)).alias("rule_seq")).where("rule_seq is not null")
-    dim = catalog.table(lines.sparkSession).select("rule_seq", "rule_id", "severity", "cwe", "owasp", "category", "title", "confidence", "pattern")
-    found = found.join(F.broadcast(dim), "rule_seq")
+    found = tried(lines, rules, "path", "line_no", "text")
+    cols = ["rule_seq", "rule_id", "severity", "cwe", "owasp", "category", "title", "confidence", "pattern"]
+    dim = catalog.table(lines.sparkSession).select(*cols, "need", F.when(F.col("unless") != "", F.concat(F.lit("(?i)"), "unless")).alias("_unless"))
+    found = found.join(F.broadcast(dim), "rule_seq").where(F.lower("text").contains(F.col("need")))
+    text = F.col("text")
+    # Cheap tests first: the needed text above, then the pattern, then what excludes a match.
+    found = found.where(F.rlike(text, F.concat(F.lit("(?i)"), "pattern"))).where(F.col("_unless").isNull() | ~F.rlike(text, F.col("_unless")))
     if filters:
         found = found.where(~is_safe_context(F.col("text"), F.col("category")))
         if depth < 3:

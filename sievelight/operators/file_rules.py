@@ -100,19 +100,12 @@ def file_scan(files: DataFrame, catalog: Catalog | None = None, depth: int = 2,
         return single
     guarded = F.array_join(F.transform(F.split("text", "\n", -1), lambda x: T.long_line_guard(x)), "\n")
     own = files.select("path", "language", guarded.alias("text"))
-    text, low, language = F.col("text"), F.lower("text"), F.col("language")
-
-    def hit(r: Rule) -> Column:
-        cond = text.rlike(across(r))
-        cond = low.contains(r.need) & cond if r.need else cond
-        return cond if "*" in r.languages else language.isin(*r.languages) & cond
-
-    hits = [F.array_compact(F.array(*[F.when(hit(r), F.lit(i)) for i, r in wide[k : k + D.CHUNK]])) for k in range(0, len(wide), D.CHUNK)]
-    found = own.select("path", "text", F.explode_outer(F.concat(*hits)).alias("rule_seq")).where("rule_seq is not null")
+    text = F.col("text")
+    found = D.tried(own, wide, "path", "text", pattern=across)
     spark = files.sparkSession
-    forms = spark.createDataFrame([(i, across(r), "(?i)" + r.pattern, "(?i)" + r.unless if r.unless else None, _stop(r)) for i, r in wide], "rule_seq int, _across string, _line string, _unless string, _stop string")
+    forms = spark.createDataFrame([(i, across(r), "(?i)" + r.pattern, "(?i)" + r.unless if r.unless else None, _stop(r), r.need) for i, r in wide], "rule_seq int, _across string, _line string, _unless string, _stop string, _need string")
     dim = catalog.table(spark).select("rule_seq", "rule_id", "severity", "cwe", "owasp", "category", "title", "confidence")
-    found = found.join(F.broadcast(forms), "rule_seq")
+    found = found.join(F.broadcast(forms), "rule_seq").where(F.lower(text).contains(F.col("_need"))).where(F.rlike(text, F.col("_across")))
     wanted = matches(text, F.col("_across"), lambda x: F.col("_unless").isNotNull() | F.trim(x, F.lit(" \t\r\n")).contains("\n"))
     found = found.withColumn("_m", F.explode_outer(wanted)).where("_m is not null")
     # A match may begin with the line feed before a word; its place is that of its first other character.
