@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from . import api
 from .functions import dims
 from .operators import refactor
@@ -43,25 +48,56 @@ def find_config(start: Path) -> str | None:
     return None
 
 
-def render(scan: api.Scan, kind: str, ended: str) -> list[str]:
+def text_report(scan: api.Scan) -> DataFrame:
+    """line: files and their findings in order, then, if asked for, what is no finding."""
+    own = sinks.text_lines(scan.findings).select(F.lit(0).alias("_kind"), "path", "seq", "line")
+    if scan.options.quality:
+        other = scan.report().where("kind <> 'finding'")
+        line = F.format_string("  [%s] %s:%d %s", "severity", "path", "line_no", "rule_id")
+        own = own.unionByName(other.select(F.lit(1).alias("_kind"), "path", F.col("line_no").cast("long").alias("seq"), line.alias("line")))
+    return own.orderBy("_kind", "path", "seq", "line").select("line")
+
+
+def rendered(scan: api.Scan, kind: str, ended: str) -> Iterator[str]:
+    """The report's lines one by one, for a terminal."""
     own = scan.findings
     if kind == "sarif":
-        return [sinks.sarif_document(_shown(scan), ended)]
-    if kind == "json":
-        return ["[" + ",".join(r.json for r in sinks.json_rows(own).orderBy("path").toLocalIterator()) + "]"]
-    if kind == "problem":
-        return [r.line for r in sinks.problem_lines(_shown(scan)).orderBy("line").toLocalIterator()]
-    if kind == "html":
-        return ["<table>", *(r.html for r in sinks.report_rows(own).toLocalIterator()), "</table>"]
-    lines = [r.line for r in sinks.text_lines(own).orderBy("path", "seq", "line").toLocalIterator()]
-    if scan.options.quality:
-        lines += [f"  [{r.severity}] {r.path}:{r.line_no} {r.rule_id}" for r in scan.report().where("kind <> 'finding'").orderBy("path", "line_no").toLocalIterator()]
-    return lines
+        yield sinks.sarif_document(_shown(scan), ended)
+        return
+    ordered = {
+        "json": lambda: sinks.json_rows(own).orderBy("path").select("json"),
+        "problem": lambda: sinks.problem_lines(_shown(scan)).orderBy("line"),
+        "html": lambda: sinks.report_rows(own).select("html"),
+        "text": lambda: text_report(scan),
+    }[kind]()
+    head, between, tail = {"json": ("[", ",", "]"), "html": ("<table>", "", "</table>")}.get(kind, ("", "", ""))
+    if head:
+        yield head
+    last = None
+    for row in ordered.toLocalIterator():
+        if last is not None:
+            yield last + between
+        last = row[0]
+    if last is not None:
+        yield last
+    if tail:
+        yield tail
+
+
+def written(scan: api.Scan, kind: str, ended: str, path: str, more: list[str]) -> None:
+    """The report as one file, by the tasks; `more` are lines after a text report."""
+    if kind == "sarif":
+        sinks.write_sarif(_shown(scan), path, ended)
+    elif kind == "json":
+        sinks.write_json(scan.findings, path)
+    elif kind == "html":
+        sinks.write_html(scan.findings, path)
+    else:
+        lines = text_report(scan) if kind == "text" else sinks.problem_lines(_shown(scan)).orderBy("line")
+        sinks.write_lines(lines, path, "".join(x + "\n" for x in more))
 
 
 def _shown(scan: api.Scan):
-    from pyspark.sql import functions as F
-
     titles = scan.options.catalog.table(scan.files.sparkSession).select("rule_id", "title")
     return scan.findings.join(F.broadcast(titles), "rule_id", "left").withColumn("title", F.coalesce("title", "rule_id")).withColumn("col", F.lit(0))
 
@@ -103,13 +139,14 @@ def main(argv: list[str] | None = None) -> int:
         if scan.files.isEmpty():
             print("no files", file=sys.stderr)
             return 2
-        out = render(scan, a.format, dt.datetime.now(dt.timezone.utc).isoformat())
+        ended, more = dt.datetime.now(dt.timezone.utc).isoformat(), []
         if a.compliance:
-            out += [f"{r.standard}: {r.percent}% ({r.passed} of {r.total})" for r in scan.compliance([a.compliance]).collect()]
+            more = [f"{r.standard}: {r.percent}% ({r.passed} of {r.total})" for r in scan.compliance([a.compliance]).collect()]
         if a.output:
-            Path(a.output).write_text("\n".join(out) + "\n")
-        elif not a.quiet:
-            print("\n".join(out))
+            written(scan, a.format, ended, str(Path(a.output).resolve()), more)
+        if not a.quiet:
+            for line in [*more] if a.output else chain(rendered(scan, a.format, ended), more):
+                print(line)
         if not a.watch:
             return scan.exit_code(o["fail_on"])
         _wait_for_change(target)

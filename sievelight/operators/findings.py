@@ -197,7 +197,7 @@ def suppress_globs(found: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def baseline(found: DataFrame) -> DataFrame:
-    """fingerprint: the distinct ones, a row each; `sinks.baseline_document` puts the envelope around them."""
+    """fingerprint: the distinct ones, a row each; `sinks.write_baseline` puts the envelope around them."""
     return with_fingerprint(found).select("fingerprint").distinct()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_queries, syntax_queries
+from . import file_queries, line_queries, syntax_queries  # noqa: F401 - file_queries registers its own
 
 QUERIES = line_queries.QUERIES | syntax_queries.QUERIES
 ORACLES = line_queries.ORACLES | syntax_queries.ORACLES

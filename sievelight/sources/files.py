@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as T
+from . import folder, stores
 
 CONFIG_NAME = ".sievelightrc"
 
@@ -25,16 +27,22 @@ def clean_text(content: Column | str) -> Column:
     return F.replace(F.make_valid_utf8((F.col(content) if isinstance(content, str) else content).cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
-def read_files(spark: SparkSession, target: str, recursive: bool = True) -> DataFrame:
+def read_files(spark: SparkSession, target: str, recursive: bool = True, ignore: tuple[str, ...] = (), max_bytes: int = folder.MAX_BYTES) -> DataFrame:
     """path, language, text of the source files below `target`, or of the file itself, whatever its suffix. Skipped folders count below the
-    target only. Bytes that aren't UTF-8 are left out."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(target)
-    path = spark._jvm.org.apache.hadoop.fs.Path(target)
-    status = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    if not (status and len(status) == 1 and status[0].isFile()):
-        # Paths come with their file system's name, as the one that the file system gives for the target.
-        below = status[0].getPath().toString() if status and len(status) == 1 else ""
-        raw = raw.where(keep_path("path", below))
+    target only; they and what the globs `ignore` name (of paths below the target) are neither listed nor read. Bytes that aren't UTF-8
+    are left out. A file above `max_bytes` has a null text."""
+    if stores.is_local(target) and not re.search(r"[*?{\[]", target):
+        spark.dataSource.register(folder.PrunedFolder)
+        options = {"ignore": json.dumps(list(ignore)), "recursive": str(recursive), "max_bytes": str(max_bytes)}
+        raw = spark.read.format("pruned_folder").options(**options).load(target)
+    else:
+        found = folder.listed(spark, target, folder.Rules(tuple(ignore), recursive))
+        small, large = [p for p, n in found if n <= max_bytes], [(p, n, None) for p, n in found if n > max_bytes]
+        raw = spark.createDataFrame(large, folder.SCHEMA)
+        if small:
+            # A name may hold what a glob would read otherwise.
+            names = [re.sub(r"([*?{}\[\]\\])", r"\\\1", p) for p in small]
+            raw = spark.read.format("binaryFile").load(names).select("path", F.col("length").alias("size"), "content").union(raw)
     return raw.select("path", T.detect_language("path").alias("language"), clean_text("content").alias("text"))
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
 from ..functions import text as T
+from .document import write_document
 
 
 def text_lines(found: DataFrame) -> DataFrame:
@@ -48,32 +48,49 @@ def sarif_results(found: DataFrame) -> DataFrame:
     return found.select("rule_id", "path", "line_no", F.to_json(body).alias("result"))
 
 
-def _enveloped(head: str, rows: Iterator[str], tail: str) -> Iterator[str]:
-    """A document in parts, so that the driver holds one partition's rows at a time."""
-    yield head
-    for i, x in enumerate(rows):
-        yield ("," if i else "") + x
-    yield tail
-
-
-def sarif_parts(found: DataFrame, ended: str) -> Iterator[str]:
-    """The SARIF document in parts to write one after another: rules, of the catalog's number, then results as they come."""
+def sarif_frame(found: DataFrame, ended: str) -> tuple[str, str]:
+    """What stands before and after the results: the rules, of the catalog's number, and the run."""
     rules = [{"id": r.rule_id, "name": r.name, "defaultConfiguration": {"level": r.level}, "properties": {"security-severity": r.security_severity}} for r in sarif_rules(found).orderBy("rule_id").toLocalIterator()]
     tool = json.dumps({"driver": {"name": "sievelight", "rules": rules}})
     run = json.dumps([{"executionSuccessful": True, "endTimeUtc": ended}])
-    head = f'{{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{{"tool": {tool}, "invocations": {run}, "results": ['
-    return _enveloped(head, (r.result for r in sarif_results(found).orderBy("path", "line_no", "rule_id").toLocalIterator()), "]}]}")
+    return f'{{"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{{"tool": {tool}, "invocations": {run}, "results": [\n', "\n]}]}\n"
+
+
+def _ordered_results(found: DataFrame) -> DataFrame:
+    return sarif_results(found).orderBy("path", "line_no", "rule_id", "result").select("result")
+
+
+def write_sarif(found: DataFrame, path: str, ended: str) -> None:
+    """The SARIF document as one file, a result a line, written by all tasks."""
+    head, tail = sarif_frame(found, ended)
+    write_document(_ordered_results(found), path, head, tail, ",\n")
 
 
 def sarif_document(found: DataFrame, ended: str) -> str:
     """The whole document as one text, for reports that fit the driver."""
-    return "".join(sarif_parts(found, ended))
+    head, tail = sarif_frame(found, ended)
+    return head + ",\n".join(r.result for r in _ordered_results(found).toLocalIterator()) + tail
+
+
+def write_baseline(fingerprints: DataFrame, path: str) -> None:
+    """A baseline (fingerprint) as one JSON document: version, count, and the sorted fingerprints."""
+    own = fingerprints.select("fingerprint").where("fingerprint is not null").distinct()
+    quoted = own.orderBy("fingerprint").select(F.to_json(F.struct("fingerprint")).alias("j")).select(F.expr("substring(j, 16, length(j) - 16)"))
+    write_document(quoted, path, f'{{"version": 1, "count": {own.count()}, "fingerprints": [\n', "\n]}\n", ",\n")
+
+
+def write_json(found: DataFrame, path: str) -> None:
+    """A JSON array of each file's findings, a file a line."""
+    write_document(json_rows(found).orderBy("path").select("json"), path, "[\n", "\n]\n", ",\n")
+
+
+def write_html(found: DataFrame, path: str) -> None:
+    write_document(report_rows(found).select("html"), path, "<table>\n", "\n</table>\n")
 
 
-def baseline_parts(fingerprints: DataFrame) -> Iterator[str]:
-    """A baseline (fingerprint) as one JSON document in parts: version, count, and the sorted fingerprints."""
-    own = fingerprints.select("fingerprint").distinct()
-    return _enveloped(f'{{"version": 1, "count": {own.count()}, "fingerprints": [', (json.dumps(r.fingerprint) for r in own.orderBy("fingerprint").toLocalIterator()), "]}")
+def write_lines(lines: DataFrame, path: str, tail: str = "") -> None:
+    """Lines in the frame's order as one text file."""
+    write_document(lines, path, "", "\n" + tail)
 
 
 def rule_help(catalog: DataFrame) -> DataFrame:

@@ -159,7 +159,7 @@ def test_baseline_round_trip(spark, tmp_path):
     assert files.read_baseline(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "bad.json").write_text("not json")
     assert files.read_baseline(spark, str(tmp_path / "bad.json")).count() == 0
-    (tmp_path / "b.json").write_text("".join(sinks.baseline_parts(O.baseline(found.where("line_no < 2")))))
+    sinks.write_baseline(O.baseline(found.where("line_no < 2")), str(tmp_path / "b.json"))
     known = files.read_baseline(spark, str(tmp_path / "b.json"))
     assert known.count() == 1 and [r.line_no for r in O.suppress_baseline(found, known).collect()] == [2]
 
