@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators.fixpoint import shared_dir
 from ..sources import files, sinks, stores
+from ..streaming import watch
+from ..streaming.newest import newest, started
 from .line_queries import FOUND, found, query
 
 
@@ -55,3 +57,22 @@ def document_sarif(spark, d) -> DataFrame:
     own = spark.read.text(path).where(F.col("value").startswith('{"ruleId"')).select(line.alias("r"))
     place = F.col("r.locations")[0]["physicalLocation"]
     return own.select(F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("title"), place["artifactLocation"]["uri"].alias("path"), place["region"]["startLine"].alias("line_no"))
+
+
+@query("SELECT 'u' || user_id AS path, max(event_id) AS version, true AS rising FROM events GROUP BY user_id")
+def watch_newest(spark, d) -> DataFrame:
+    """Versions of a file for each user, in three batches out of order, through the keyed state: the last that went out is the newest, and each was newer
+    than those before."""
+    root = f"{shared_dir(spark)}/newest-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"), F.lit("python").alias("language"), F.col("event_type").alias("text"), F.col("event_id").alias("version"), F.col("ts").cast("timestamp").alias("at"), (F.col("event_id") * 7 % 3).alias("batch"))
+    for batch in range(3):
+        rows.where(F.col("batch") == batch).drop("batch").write.mode("append").parquet(f"{root}/in")
+        # As many state stores as there are shuffle partitions when a stream first runs; a restart keeps that number.
+        stream = newest(watch.edits(spark, f"{root}/in")).select("path", "version")
+        write = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("overwrite").parquet(f"{root}/out/run={i}")
+        started(spark, stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/ck").trigger(availableNow=True)).awaitTermination()
+    out = spark.read.parquet(f"{root}/out")
+    one = out.groupBy("path").agg(F.max_by("version", "run").alias("version"), F.sort_array(F.collect_list(F.struct("run", "version"))).alias("all"))
+    rising = F.forall(F.sequence(F.lit(1), F.size("all") - 1), lambda k: (F.size("all") == 1) | (F.col("all")[k]["version"] > F.col("all")[k - 1]["version"]))
+    return one.select("path", "version", F.when(F.size("all") == 1, True).otherwise(rising).alias("rising"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.catalog import Catalog
 from ..operators.file_rules import file_scan
+from .newest import newest, started
 
 EDITS = "path string, language string, text string, version long, at timestamp"
 
@@ -34,7 +35,10 @@ def latest_only(batch: DataFrame) -> DataFrame:
     return batch.groupBy("path").agg(F.max(F.struct("version", "language", "text")).alias("x")).select("path", "x.language", "x.text", "x.version")
 
 
-def watch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, catalog: Catalog | None = None):
-    """Runs the scan on each batch's latest versions; `sink(findings, batch_id)` must be idempotent by batch."""
-    writer = stream.writeStream.foreachBatch(lambda df, i: sink(file_scan(latest_only(df), catalog), i)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
+def watch(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, catalog: Catalog | None = None, stale: bool = False):
+    """Runs the scan on what is newer than all batches before gave; `sink(findings, batch_id)` must be idempotent by batch.
+
+    With `stale` each batch is taken by itself: only its own older versions are dropped, and no state is kept."""
+    own = stream if stale else newest(stream)
+    writer = own.writeStream.outputMode("append" if stale else "update").foreachBatch(lambda df, i: sink(file_scan(latest_only(df), catalog), i)).option("checkpointLocation", checkpoint)
+    return started(stream.sparkSession, writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second"))
