@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .common import by_rows, text_sizes, texts_of
 
 #: HTML elements by role, and the words in names of elements that are not content.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg math object canvas".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom msub msup msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd".split())
+RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg object canvas annotation annotation-xml".split())
 BOXES = frozenset("article aside blockquote body button center details dialog div dl fieldset figure footer form header hgroup main menu nav ol search section select table ul".split())
 ASIDE_TAGS = frozenset("aside button dialog footer form header menu nav search select".split())
 ASIDE_WORDS = frozenset(
@@ -91,6 +91,7 @@ class _Reader:
     made: int = 0
     heading: bool = False
     linking: bool = False
+    unclosed: bool = False  # a link without its end, which ends with its block
 
     def flush(self) -> None:
         """Ends a block; a paragraph's or an item's own names hold for this one block."""
@@ -102,15 +103,16 @@ class _Reader:
                 box = replace(box, aside=box.aside or tag, named=box.named or named, hinted=box.hinted or hinted)
             self.blocks.append(Block(text, len(text.split()), len(html.unescape(" ".join(self.links)).split()), box, self.heading))
         self.parts, self.links, self.own = [], [], (False,) * 4
+        self.linking = self.linking and not self.unclosed
 
     def text(self, part: str) -> None:
         self.parts.append(part)
         if self.linking:
             self.links.append(part)
 
-    def open(self, name: str, more: str) -> None:
+    def open(self, name: str, more: str, unclosed: bool = False) -> None:
         if name == "a":
-            self.linking = True
+            self.linking, self.unclosed = True, unclosed
         if name == "br":
             self.parts.append(" ")
         if name in INLINE:
@@ -147,6 +149,10 @@ class _Reader:
                     break
 
 
+#: The next link's begin or end.
+_ANCHOR = re.compile(r"<(/?)a(?=[\s/>])", re.I)
+
+
 def blocks(page: str) -> list[Block]:
     """The page's text blocks in order."""
     r, at = _Reader(), 0
@@ -165,7 +171,7 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
         else:
-            r.open(name, m["more"] or "")
+            r.open(name, m["more"] or "", name == "a" and not ((after := _ANCHOR.search(page, at)) and after[1]))
     r.text(page[at:])
     r.flush()
     return r.blocks

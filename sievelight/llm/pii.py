@@ -5,7 +5,7 @@ to 255, IPv6 addresses by the standard library, calendar dates in digits or with
 addresses by their shape; ten digits in one run are a telephone number only after a word that says so). A
 valid value's free symbols (digits, or letters and digits, each with its own radix) are permuted: two halves take turns to be
 shifted by a keyed hash of the other, so the map is one to one, and the same key maps equal values to equal
-pseudonyms in every document, however they are separated or cased. Where not every string of the format is valid, the permutation
+pseudonyms in every document, however they are separated or cased. A date's pseudonym is the same date in every notation. Where not every string of the format is valid, the permutation
 is applied until the value is (cycle walking); check digits are computed anew. `restore` inverts it with the key.
 
 The key is a secret of the job: `spark.sievelight.pii.key`, or `Settings.key`. Without either, one is drawn at random for the session, so values stay
@@ -17,6 +17,7 @@ equal rows give equal rows; a null id stays null; `pseudonymise` keeps extra col
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import datetime as dt
 import functools
@@ -137,6 +138,10 @@ def _iban(value: str, s: Settings, back: bool) -> str | None:
     return "".join(c if c == " " else next(new) for c in value)
 
 
+#: The countries' telephone codes of two digits (E.164); 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
 def _phone(value: str, s: Settings, back: bool) -> str | None:
     d = _digits(value)
     plan = re.fullmatch(r"\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}", value)
@@ -145,7 +150,13 @@ def _phone(value: str, s: Settings, back: bool) -> str | None:
     elif plan:
         head, own = "", d
     elif value.startswith("+") and 8 <= len(d) <= 15:
-        return _put(value, d[:2] + walked(d[2:], "phone" + d[:2], s, lambda x: True, back))
+        # The country's code stays, as does a zero in brackets that callers from abroad leave out; so the number is the same with it and without it.
+        code = d[: 1 if d[0] == "7" else 2 if d[:2] in TWO_DIGIT_CODES else 3]
+        head = code + "0" * bool(re.match(rf"\+{code}[ .-]?\(0\)", value))
+        own = d[len(head) :]
+        if len(own) < 4:
+            return None
+        return _put(value, head + walked(own, "phone" + code, s, lambda x: (x[0] == "0") == (own[0] == "0"), back))
     elif value.startswith("0") and 9 <= len(d) <= 12 and d[1] != "0":
         # A national number keeps its zero and the digit after it, which says what kind of number it is.
         return _put(value, d[:2] + walked(d[2:], "phone0", s, lambda x: True, back))
@@ -177,34 +188,49 @@ def _ipv6(value: str, s: Settings, back: bool) -> str | None:
     return new.exploded if value == whole.exploded else str(new)
 
 
-_FIRST, _LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
+@functools.cache
+def _classes() -> dict[tuple, list[int]]:
+    """The days from 1900 to 2099 in classes that every notation keeps apart: days up to 9, 10 to 12 (which could be months) and above, months of one
+    and of two digits, and months whose names the same languages share. Within its class a date has one pseudonym in all notations."""
+    out: dict[tuple, list[int]] = {}
+    for n in range(dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal() + 1):
+        out.setdefault(_class(dt.date.fromordinal(n)), []).append(n)
+    return out
+
+
+@functools.cache
+def _shared(month: int) -> tuple[str, ...]:
+    """For each language the first one that has its name of the month."""
+    return tuple(next(k for k, v in _MONTHS.items() if names[month - 1] in v) for names in _MONTHS.values())
+
+
+def _class(day: dt.date) -> tuple:
+    return (day.day > 9) + (day.day > 12), day.month > 9, _shared(day.month)
 
 
-def _walked_day(day: dt.date, s: Settings, back: bool, good: Callable[[dt.date], bool]) -> dt.date:
-    """The day's pseudonym among the days for which `good` holds."""
-    x = day.toordinal() - _FIRST
+def _day(day: dt.date, s: Settings, back: bool) -> dt.date:
+    """The day's pseudonym: a place among the days of its class, permuted."""
+    days = _classes()[_class(day)]
+    x, radix = bisect.bisect_left(days, day.toordinal()), (-(-len(days) // 64), 64)
     while True:
-        x = sum(a * b for a, b in zip(permuted((x // 512, x % 512), (256, 512), "date", s, back), (512, 1), strict=True))
-        if x <= _LAST - _FIRST and good(new := dt.date.fromordinal(x + _FIRST)):
-            return new
+        high, low = permuted(divmod(x, 64), radix, f"date{_class(day)}", s, back)
+        x = high * 64 + low
+        if x < len(days):
+            return dt.date.fromordinal(days[x])
 
 
 def _date(value: str, s: Settings, back: bool) -> str | None:
-    parts = [int(x) for x in re.split(r"\D", value)]
-    year_first = len(re.split(r"\D", value)[0]) == 4
-    day_first = not year_first and (parts[0] > 12 or "." in value)
-    y, m, d = parts if year_first else (parts[2], *(parts[1::-1] if day_first else parts[:2]))
+    parts = re.split(r"\D", value)
+    numbers = [int(x) for x in parts]
+    year_first = len(parts[0]) == 4
+    day_first = not year_first and (numbers[0] > 12 or "." in value)
+    y, m, d = numbers if year_first else (numbers[2], *(numbers[1::-1] if day_first else numbers[:2]))
     if not (1900 <= y <= 2099 and 1 <= m <= 12 and 1 <= d <= calendar.monthrange(y, m)[1]):
         return None
-    # A day that could be a month keeps the order readable; days and months of one digit stay so, as they have no zero to lose.
-    short = [len(x) == 1 for x in re.split(r"\D", value)]
-    free = year_first or "." in value
-    alike = lambda new: (free or (new.day > 12) == (d > 12)) and (not any(short) or ((new.day < 10) == (d < 10) and (new.month < 10) == (m < 10)))
-    new = _walked_day(dt.date(y, m, d), s, back, alike)
-    mark = re.search(r"\D", value)[0]
-    own = (f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}")
-    out = own if year_first else ((own[2], own[1]) if day_first else own[1:]) + (own[0],)
-    return mark.join(x[1:] if one else x for x, one in zip(out, short, strict=True))
+    new = _day(dt.date(y, m, d), s, back)
+    out = (new.year, new.month, new.day) if year_first else ((new.day, new.month) if day_first else (new.month, new.day)) + (new.year,)
+    # A number of one digit stays one in its class, and so do zeros before it.
+    return re.search(r"\D", value)[0].join(f"{x:0{len(old)}d}" for x, old in zip(out, parts, strict=True))
 
 
 #: Names of months, by language.
@@ -219,20 +245,18 @@ _MONTHS = {k: [x.lower() for x in v.split()] for k, v in MONTHS.items()}
 
 
 def _written(value: str, s: Settings, back: bool) -> str | None:
-    """A date with a month's name. Its pseudonym has a name of the same language and a day of as many digits, so that both stay what they are."""
+    """A date with a month's name: its pseudonym, which has a name of the same language and a day of as many digits."""
     name = re.search(r"[^\W\d_]{3,}", value)[0]
     held = [k for k, v in _MONTHS.items() if name.lower() in v]
     if not held:
         return None
     months = _MONTHS[held[0]]
-    # A name that two languages have is one of the first; other months that begin it, too, would change which.
-    mine = lambda m: next(k for k, v in _MONTHS.items() if months[m - 1] in v) == held[0]
     m = months.index(name.lower()) + 1
     d, y = (int(x) for x in re.findall(r"\d+", value))
-    if not (1900 <= y <= 2099 and 1 <= d <= calendar.monthrange(y, m)[1]) or not mine(m):
+    if not (1900 <= y <= 2099 and 1 <= d <= calendar.monthrange(y, m)[1]):
         return None
     two = len(re.search(r"\d+", value)[0]) == 2
-    new = _walked_day(dt.date(y, m, d), s, back, lambda x: mine(x.month) and (x.day >= 10) == (d >= 10))
+    new = _day(dt.date(y, m, d), s, back)
     month = months[new.month - 1]
     month = month.upper() if name.isupper() else month.title() if name[0].isupper() else month
     out = value.replace(name, "\0", 1)
@@ -261,7 +285,7 @@ PATTERN = re.compile(
     rf"|(?<![\w.-])(?P<written>\d\d?(?:\.| de|st|nd|rd|th)? (?i:{_NAMES}) (?:de )?(?:19|20)\d\d|(?i:{_NAMES}) \d\d?,? (?:19|20)\d\d)(?![\w-])"
     r"|(?<![\w.-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w-])"
     r"|(?<![\w.-])(?P<card>\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?![\w-])"
-    r"|(?<![\w.-])(?P<phone>\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?P<by>[ .-])\d{3}(?P=by)\d{4}|0\d{2,4}[ /-]\d{3,4} ?\d{3,5})(?![\w-])"
+    r"|(?<![\w.-])(?P<phone>\+\d{1,3}[ .-]?(?:\(0\) ?\d{1,4}|\(?\d{1,4}\)?)(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}(?P<by>[ .-])\d{3}(?P=by)\d{4}|0\d{2,4}[ /-]\d{3,4} ?\d{3,5})(?![\w-])"
     r"|(?i:tel|phone|call|mobile|cell|fax|telefon|teléfono|téléphone|handy|móvil)[a-z]*[.:]? {0,3}(?P<said>\d{10}|0\d{10})(?![\w-])"
 )
 #: A text without any of these has nothing to find.

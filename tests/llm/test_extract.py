@@ -73,3 +73,19 @@ def test_other_pages_of_the_same_kind(tree):
     x, y = extract.labelled(150, seed=1234)
     got = [extract.kept(tree, row) for row in x]
     assert sum(g == bool(k) for g, k in zip(got, y, strict=True)) >= 0.99 * len(y)
+
+
+LONG = "The river rises in the hills and runs for many miles through meadows, woods and small towns before it meets the sea."
+
+
+@pytest.mark.parametrize("link", ['<a href="/x">a link that nobody ends', '<a href="/x">one <a href="/y">two</a>', '<a name="top">'])
+def test_an_unclosed_link_ends_with_its_block(link):
+    page = f"<html><body><article><p>{LONG} {link}</p><p>{LONG}</p><p>{LONG} Again.</p></article></body></html>"
+    own = extract.blocks(page)
+    assert [b.linked for b in own[1:]] == [0, 0] and own[0].linked <= 6
+    assert all(b.linked == b.words for b in extract.blocks('<div><a href="/x"><h3>A closed card</h3><p>spans its blocks</p></a></div>'))
+
+
+def test_formulas_are_text():
+    page = f"<article><p>{LONG} Here <math><semantics><mrow><mi>x</mi><mo>=</mo><mn>2</mn></mrow><annotation>x = 2</annotation></semantics></math> holds.</p></article>"
+    assert [b.text for b in extract.blocks(page)] == [f"{LONG} Here x=2 holds."]

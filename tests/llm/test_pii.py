@@ -66,3 +66,35 @@ def test_key(spark):
         assert texts()[1][1] == pii.replace("mail ann.lee@example.com", S)[0]
     finally:
         spark.conf.unset(pii.KEY)
+
+
+def test_a_date_is_one_date_in_every_notation():
+    """1000 dates in eight notations: equal dates get equal pseudonyms, different ones different ones, and all come back."""
+    import datetime as dt
+    import random
+
+    rng = random.Random(4)
+    months = {k: v.split() for k, v in pii.MONTHS.items()}
+    seen = {}
+    for n in rng.sample(range(dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()), 1000):
+        day = dt.date.fromordinal(n)
+        write = [
+            lambda x: f"{x:%Y-%m-%d}", lambda x: f"{x:%d.%m.%Y}", lambda x: f"{x.day}.{x.month}.{x.year}", lambda x: f"{x:%m/%d/%Y}", lambda x: f"{x.month}/{x.day}/{x.year}", lambda x: f"{x.day} {months['en'][x.month - 1]} {x.year}",
+            lambda x: f"{x.day}. {months['de'][x.month - 1]} {x.year}", lambda x: f"{months['en short'][x.month - 1]} {x.day}, {x.year}", lambda x: f"{x.day} {months['fr'][x.month - 1]} {x.year}", lambda x: f"{x.day} de {months['es'][x.month - 1]} de {x.year}",
+        ]
+        text = " then ".join(f"on {w(day)}" for w in write)
+        new, found = pii.replace(text, S)
+        assert [k for k, _, _ in found] == ["date"] * len(write) and pii.restore(new, S) == text
+        other = dt.date.fromisoformat(new[3:13])
+        assert new == " then ".join(f"on {w(other)}" for w in write)
+        seen[other] = day
+    assert len(seen) == 1000 and sum(a != b for a, b in seen.items()) > 990
+
+
+@pytest.mark.parametrize("one, other", [("+44 (0)20 7946 0958", "+44 20 7946 0958"), ("+49 (0)30 1234 5678", "+49-30-1234-5678"), ("+353 1 234 5678", "+353 (0)1 234 5678")])
+def test_a_trunk_zero_stays(one, other):
+    new = [pii.replace(f"at {x}", S)[0] for x in (one, other)]
+    digits = [re.sub(r"\D", "", x.replace("(0)", "")) for x in new]
+    code = re.match(r"\+\d+", one)[0]
+    assert digits[0] == digits[1] and all(x.startswith(f"at {code}") for x in new) and "(0)" in new[0] + new[1]
+    assert [pii.restore(x, S) for x in new] == [f"at {one}", f"at {other}"] and new[0] != f"at {one}"
