@@ -29,6 +29,8 @@ from .common import by_rows, text_sizes, texts_of
 #: HTML elements by role, and the words in names of elements that are not content.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr math semantics mrow mi mn mo ms mtext mspace mstyle mpadded mphantom msub msup msubsup mfrac msqrt mroot mover munder munderover mtable mtr mtd".split())
 RAW = frozenset("script style noscript template textarea title iframe noembed noframes xmp svg object canvas annotation annotation-xml".split())
+#: Of these, the ones that stand within a line.
+UNSEEN = frozenset("annotation annotation-xml".split())
 BOXES = frozenset("article aside blockquote body button center details dialog div dl fieldset figure footer form header hgroup main menu nav ol search section select table ul".split())
 ASIDE_TAGS = frozenset("aside button dialog footer form header menu nav search select".split())
 ASIDE_WORDS = frozenset(
@@ -166,7 +168,8 @@ def blocks(page: str) -> list[Block]:
         if m["end"]:
             r.close(name)
         elif name in RAW:
-            r.flush()
+            if name not in UNSEEN:
+                r.flush()
             if not (m["more"] or "").endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
