@@ -12,11 +12,13 @@
    most alike, each row of a larger bucket meeting one random block of it, another one in each band: so a group of copies grows together
    in work that is linear in it. In a second round, buckets in which several components are left meet again: rows outside of the
    bucket's largest component meet all of it, block by block, and one another; the largest component's rows don't meet among themselves. The rows that
-   may have links out of their component bring their full sets, and the links that join components leave. If rows outside of the
-   largest component fill more than `bands` blocks, the bucket is cut by every other band's key too, as most of it is not alike; a
-   pair of it that shares no second band is missed (at a similarity of 0.85 with a probability below 2e-5). No bucket is capped.
-5. Links are confirmed on full sets, in integers: 100 * intersection >= percent * union.
-6. Components: union-find within each partition shrinks the links to forests, then rounds of
+   may have links out of their component bring their full sets, and the links that join components leave. No bucket is capped.
+5. Where rows outside of the largest component fill more than `bands` blocks, most of the bucket is not alike, and blocks would be quadratic in it. The rows
+   of all such buckets meet by their rarest members instead (`by_rare_members`), which loses no link: sets that differ in at most 15 % of
+   their members share one of the 15 % and one that are rarest in each. Pages of one template share their template's members, which are
+   the most frequent ones and so bring no two of them together. The groups of one member then meet as buckets do.
+6. Links are confirmed on full sets, in integers: 100 * intersection >= percent * union.
+7. Components: union-find within each partition shrinks the links to forests, then rounds of
    large-star and small-star steps join them until nothing changes; each round is a written table.
 
 Defined cases: null or empty texts and texts of white space have an empty set and are linked with nothing; rows of
@@ -32,7 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, by_rows, text_sizes, texts_of
@@ -338,6 +340,45 @@ def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return now
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each member of each set, with the set's size."""
+    for b in by_rows(batches, text_sizes("members"), 1 << 21):
+        sets = b.column("members").to_pylist()
+        size = np.array([len(x) // 8 for x in sets])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(b.column("id").to_numpy(), size)), pa.array(np.repeat(size, size).astype(np.int64)), pa.array(np.frombuffer(b"".join(sets), np.int64))],
+            names=["id", "n_shingles", "member"],
+        )
+
+
+def size_number(n: Column, s: Settings) -> Column:
+    """A link's sets differ in size by less than this logarithm's base, so their numbers by one at most."""
+    return F.floor(F.log(n) / F.log(F.lit(100.0 / (s.percent - 0.1)))).cast("int")
+
+
+def sizes_met(n_rows: Column, n_shingles: Column, s: Settings) -> Column:
+    """The sizes under which a class stands in a bucket: -1 in a bucket of one block, else its own and the next lower one."""
+    size = size_number(n_shingles, s)
+    return F.when(n_rows <= s.block, F.array(F.lit(-1))).otherwise(F.array(size, size - 1))
+
+
+def by_rare_members(sets: DataFrame, s: Settings) -> DataFrame:
+    """(key, id, n_shingles): each set under its rarest members that another of the sets has too.
+
+    Any two sets of (id, members) with 100 * intersection >= percent * union stand under one key together: in any order of all
+    members, the first one that both have is within the first n - ceil(percent * n / 100) + 1 of each. The order is by frequency in `sets`, so
+    that a key has few rows. Members that one set has alone take places in that order but are no keys. Rows grow with the sets' sizes alone.
+    """
+    each = sets.select("id", "members").mapInArrow(_exploded, "id long, n_shingles long, member long")
+    often = each.groupBy("member").agg(F.count("*").alias("often")).where("often > 1")
+    own = Window.partitionBy("id")
+    alone = F.col("n_shingles") - F.count("*").over(own)
+    rank = F.row_number().over(own.orderBy("often", "member"))
+    upto = F.expr(f"n_shingles - (n_shingles * {s.percent} + 99) div 100 + 1")
+    placed = each.join(often, "member").withColumn("place", alone + rank)
+    return placed.where(F.col("place") <= upto).select(F.col("member").alias("key"), "id", "n_shingles")
+
+
 def mixed_buckets(marked: DataFrame, s: Settings, most: int | None) -> DataFrame:
     """Buckets (key, size) with several components: their largest one `top`, the numbers of blocks of it and of the others, and `wide`,
     whether the others fill more than `most` blocks."""
@@ -373,10 +414,7 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     rows = classes.where("id is not null").select(F.explode("keys").alias("key"), "id")
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     rows = rows.join(shared, "key").join(classes.select("id", "n_shingles", "sign"), "id")
-    # A link's sets differ in size by less than this ratio, so their size numbers by one at most.
-    size = F.floor(F.log(F.col("n_shingles")) / F.log(F.lit(100.0 / (s.percent - 0.1)))).cast("int")
-    split = F.when(F.col("n") <= s.block, F.array(F.lit(-1))).otherwise(F.array(size, size - 1))
-    rows = scratch.keep(rows.select("key", F.explode(split).alias("size"), "id", "sign"), "rows")
+    rows = scratch.keep(rows.select("key", F.explode(sizes_met(F.col("n"), F.col("n_shingles"), s)).alias("size"), "id", "sign"), "rows")
     count = rows.groupBy("key", "size").agg(F.count("*").alias("n")).where("n > 1")
     mine = F.pmod(F.xxhash64("id", "key"), F.ceil(F.col("n") / s.block)).cast("int")
     blocks = rows.join(count, ["key", "size"]).select("key", "size", mine.alias("one"), F.lit(0).alias("two"), "id", "sign")
@@ -399,18 +437,22 @@ def near_duplicates(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     stats = scratch.keep(mixed_buckets(marked, s, s.bands), "stats")
     meeting = marked.join(stats.where("not wide"), ["key", "size"]).transform(lambda df: meetings(df, s))
     if not stats.where("wide").isEmpty():
-        keys = classes.select("id", F.explode("keys").alias("key2"))
-        cut = marked.join(stats.where("wide").select("key", "size"), ["key", "size"]).join(keys, "id").where("key != key2")
-        cut = scratch.keep(cut.select(F.xxhash64("key", "key2").alias("key"), "size", "id", "comp", "sign"), "cut")
-        meeting = meeting.unionByName(cut.join(mixed_buckets(cut, s, None), ["key", "size"]).transform(lambda df: meetings(df, s)))
+        wide = marked.join(stats.where("wide").select("key", "size"), ["key", "size"])
+        wide = scratch.keep(wide.select("id", "comp", "sign").distinct(), "wide")
+        rare = scratch.keep(by_rare_members(sets.join(wide.select("id"), "id"), s), "rare")
+        several = rare.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        rare = rare.join(several, "key").select("key", F.explode(sizes_met(F.col("n"), F.col("n_shingles"), s)).alias("size"), "id").join(wide, "id")
+        rare = scratch.keep(rare.select("key", "size", "id", "comp", "sign"), "cut")
+        meeting = meeting.unionByName(rare.join(mixed_buckets(rare, s, None), ["key", "size"]).transform(lambda df: meetings(df, s)))
     marked = grouped(meeting)
     doubtful = marked.mapInArrow(lambda it: _open(it, s), "key long, size int, one int, two int, id long, comp long")
     doubtful = grouped(doubtful.join(sets, "id").select(*GROUP, "id", "comp", "members"))
     final = components(doubtful.mapInArrow(lambda it: _linked(it, s), "a long, b long").union(found), scratch, "two")
-    scratch.drop("sets", "marked", "stats", "cut", "one*")
+    scratch.drop("sets", "marked", "stats", "wide", "rare", "cut", "one*")
 
     named = classes.select("digest", "id").join(final.select(F.col("a").alias("id"), F.col("b").alias("root")), "id", "left")
     named = named.select("digest", F.coalesce("root", "id").alias("found"))
-    out = base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("found"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    own = base.select("doc_id", "n_shingles", "digest")
+    none = own.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    some = own.where("digest is not null").join(named, "digest", "left").select("doc_id", "n_shingles", F.col("found").alias("component_id"))
+    return none.unionByName(some).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

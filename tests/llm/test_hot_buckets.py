@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def family(rng, n, words, changes):
 @pytest.mark.parametrize("block", [4, 32, 256])
 def test_components_with_small_blocks(spark, block):
     """A group of near copies, a template whose texts are mostly just below the bar, and texts of their own, in blocks of few rows: buckets of
-    several components are met block by block, and at four rows a block cut by other bands as well."""
+    several components are met block by block, and at four rows a block by their rarest members."""
     rng = random.Random(block)
     texts = family(rng, 150, 120, (0, 1)) + family(rng, 260, 120, (1, 4)) + family(rng, 40, 30, (0, 3)) + [f"own text number {i} has seven words" for i in range(30)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -90,6 +92,61 @@ def test_every_pair_of_components_meets(spark):
         assert seen == {frozenset((a, b)) for a in own for b in own if own[a] != own[b]}
 
 
+def template(rng, n, common, own):
+    """n texts of one template, of whose shingles each has `own` by itself at its end."""
+    head = [f"t{i}" for i in range(common + 4)]
+    return [" ".join(head + [f"o{rng.randrange(1 << 40)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_a_wide_template_loses_no_link(spark):
+    """Pages with 75 % in common, most of them unlike, in buckets far wider than `bands` blocks; copies of some with one or two words changed."""
+    rng = random.Random(3)
+    texts = template(rng, 600, 90, 15)
+    for i in range(0, 120, 3):
+        words = texts[i].split()
+        words[-1 - i % 4] = "changed"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(df, neardup.Settings(block=4)).collect()}
+    want = plain_components(texts)
+    assert [got[i] for i in range(len(texts))] == want and 400 < len(set(want)) < len(texts)
+
+
+def members(spark, n, linked):
+    """n sets of 100 members, 75 of which are everybody's; of the first `linked` sets each odd one has 20 more of the set before it."""
+    def made(batches):
+        for b in batches:
+            for i in b.column("id").to_pylist():
+                own = i - 1 if i < linked and i % 2 else i
+                x = [*range(75), *range(1000 * own + 100, 1000 * own + 120), *range(1000 * i + 200, 1000 * i + 205)]
+                yield pa.RecordBatch.from_pydict({"id": [i], "members": [np.array(x, np.int64).tobytes()]})
+
+    return spark.range(n).mapInArrow(made, "id long, members binary")
+
+
+@pytest.mark.parametrize("n", [20_000, 40_000])
+def test_unlike_rows_of_a_template_do_not_meet(spark, n):
+    """Of n sets of one bucket, nearly all unlike, only those that share rare members stand under a key: rows written grow with the links, not with the square."""
+    rare = neardup.by_rare_members(members(spark, n, 1000), neardup.Settings()).toPandas()
+    keys = rare.groupby("key").id.agg(["size", "min", "max"])
+    assert len(rare) <= 1000 * 16 and keys["size"].max() == 2
+    assert sorted(set(keys["min"])) == list(range(0, 1000, 2)) and (keys["max"] - keys["min"] == 1).all()
+
+
+def test_links_share_a_rare_member(spark):
+    """Random sets over few members: each pair that is a link stands under a key together, whatever the frequencies."""
+    rng, rows = random.Random(9), []
+    for i in range(300):
+        base = rows[rng.randrange(len(rows))][1] if rows and rng.random() < 0.6 else {min(int(rng.paretovariate(0.4)), 1 << 40) for _ in range(rng.randint(6, 60))}
+        rows.append((i, set(base) ^ {rng.randrange(1, 90) for _ in range(rng.randint(0, 4))}))
+    df = spark.createDataFrame([(i, b"".join(x.to_bytes(8, "little") for x in sorted(v))) for i, v in rows], "id long, members binary")
+    under = {}
+    for r in neardup.by_rare_members(df, neardup.Settings()).collect():
+        under.setdefault(r.key, set()).add(r.id)
+    links = [(i, k) for i, x in rows for k, y in rows if i < k and 100 * len(x & y) >= 85 * len(x | y)]
+    assert len(links) > 30 and all(any({i, k} <= g for g in under.values()) for i, k in links)
+
+
 def test_a_wide_bucket_is_marked(spark):
     s = neardup.Settings(block=8)
     for others, wide in ((8 * 24, False), (8 * 24 + 1, True)):
