@@ -317,9 +317,9 @@ def test_secrets_found_and_decoys_left(spark):
 def plain_cut(data: bytes, s: chunks.Settings) -> list[bytes]:
     gear, out, start, h, bits = chunks._gear(s.seed).tolist(), [], 0, 0, s.normal.bit_length() - 1
     for i, byte in enumerate(data):
-        h = (h << 1) + gear[byte] & 0xFFFFFFFF
+        h = (h << 1) + gear[byte] - (gear[data[i - 16]] << 16 if i >= 16 else 0)
         n = i - start + 1
-        strict, loose = h < 1 << 32 - bits - 2, h < 1 << 32 - bits + 2
+        strict, loose = h & 0xFFFFFFFF < 1 << 32 - bits - 2, h & 0xFFFFFFFF < 1 << 32 - bits + 2
         if n == s.most or n >= s.normal and loose or s.least <= n < s.normal and strict:
             out.append(data[start : i + 1])
             start = i + 1
@@ -343,6 +343,10 @@ def test_chunks_resist_shifts():
     a = sentence(1, 3000)
     p, q, r = chunks.prints([a.encode(), ("Inserted words. " + a).encode(), sentence(2, 3000).encode()])
     assert chunks.containment(p, q) > 0.95 and chunks.containment(p, p) == 1 and chunks.containment(p, r) < 0.05
+    for seed in range(200):  # of a text of 200 characters the first quarter or half stays
+        short, other = sentence(seed, 400)[:200], sentence(seed + 1000, 400)
+        own, quarter, half = chunks.prints([x.encode() for x in (short, short[:50] + other[:150], short[:100] + other[:100])])
+        assert len(own[0]) >= 4 and chunks.containment(own, quarter) > 0.05 and chunks.containment(own, half) > 0.2
     half = chunks.edited(a, sentence(3, 3000))
     assert 0.4 < chunks.containment(p, chunks.prints([half.encode()])[0]) < 0.55
 
