@@ -73,9 +73,6 @@ UNION ALL SELECT path, line_no, rule_id, severity, 'CWE-798', 'secrets', snippet
 UNION ALL SELECT path, line_no, 'TAINT-' || replace(cwe, '-', '_'), severity, cwe, 'taint', snippet, 'medium', 'taint', 0 FROM found WHERE category IN ('command', 'rce') AND line_no % 2 = 0
 UNION ALL SELECT path, line_no, 'DFLOW-' || replace(cwe, '-', '_'), severity, cwe, 'dataflow', snippet, 'medium', 'dataflow', 2000 FROM found WHERE category IN ('command', 'sql') AND line_no % 3 > 0)"""
 UNION = f"{FOUND}, {_EVERY}"
-#: The merge queries take the rules of these categories, those that the other detectors' findings meet: the steps are the same, and the SQL is a tenth as long.
-MERGED_OF = {"categories": ("sql", "command", "rce", "deserialization", "secrets")}
-MERGED = f"{findings_sql(**MERGED_OF)}, {_EVERY}"
 
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +83,7 @@ def found(spark: SparkSession, d: str, **k) -> DataFrame:
     return D.rule_scan(lines(spark, d), CATALOG, **k)
 
 
-def every(spark: SparkSession, d: str, **of) -> DataFrame:
+def every(spark: SparkSession, d: str) -> DataFrame:
     """The union of detectors, from one scan: a finding, and what stands for a taint or data-flow finding of it, are one array to explode."""
     name = lambda p: F.concat(F.lit(p), F.replace("cwe", F.lit("-"), F.lit("_")))
     one = lambda rule, category, confidence, source, seq: F.struct(rule.alias("rule_id"), category.alias("category"), confidence.alias("confidence"), F.lit(source).alias("source"), seq.cast("int").alias("rule_seq"))
@@ -94,7 +91,7 @@ def every(spark: SparkSession, d: str, **of) -> DataFrame:
     own = one(F.col("rule_id"), F.col("category"), F.col("confidence"), "rule", F.col("rule_seq"))
     taint = F.when(F.expr("category in ('command', 'rce') and line_no % 2 = 0"), made("TAINT-", "taint"))
     flow = F.when(F.expr("category in ('command', 'sql') and line_no % 3 > 0"), made("DFLOW-", "dataflow"))
-    all_ = found(spark, d, **of).select("path", "line_no", "severity", "cwe", "snippet", F.explode_outer(F.array_compact(F.array(own, taint, flow))).alias("x"))
+    all_ = found(spark, d).select("path", "line_no", "severity", "cwe", "snippet", F.explode_outer(F.array_compact(F.array(own, taint, flow))).alias("x"))
     return O.union_detectors(all_.select("path", "line_no", "severity", "cwe", "snippet", "x.*"), D.secret_providers(lines(spark, d)))
 
 
@@ -339,19 +336,19 @@ def union_detectors(spark, d):
     return core(every(spark, d), "source", "seq")
 
 
-@query(f"WITH {MERGED}, r AS (SELECT DISTINCT path, line_no FROM every WHERE source = 'rule'), t AS (SELECT DISTINCT path, line_no FROM every WHERE source = 'taint') SELECT {CORE}, source, CASE WHEN r.path IS NULL THEN confidence ELSE 'confirmed' END AS confidence FROM every LEFT JOIN r USING (path, line_no) WHERE source = 'taint' UNION ALL SELECT {CORE}, source, confidence FROM every ANTI JOIN t USING (path, line_no) WHERE source = 'rule' UNION ALL SELECT {CORE}, source, confidence FROM every WHERE source NOT IN ('taint', 'rule')")
+@query(f"WITH {UNION}, r AS (SELECT DISTINCT path, line_no FROM every WHERE source = 'rule'), t AS (SELECT DISTINCT path, line_no FROM every WHERE source = 'taint') SELECT {CORE}, source, CASE WHEN r.path IS NULL THEN confidence ELSE 'confirmed' END AS confidence FROM every LEFT JOIN r USING (path, line_no) WHERE source = 'taint' UNION ALL SELECT {CORE}, source, confidence FROM every ANTI JOIN t USING (path, line_no) WHERE source = 'rule' UNION ALL SELECT {CORE}, source, confidence FROM every WHERE source NOT IN ('taint', 'rule')")
 def merge_taint_over_rule(spark, d):
-    return core(O.merge_taint_over_rule(every(spark, d, **MERGED_OF)), "source", "confidence")
+    return core(O.merge_taint_over_rule(every(spark, d)), "source", "confidence")
 
 
-@query(f"WITH {MERGED}, o AS (SELECT DISTINCT path, line_no, cwe FROM every WHERE source <> 'dataflow') SELECT {CORE}, source FROM every WHERE source <> 'dataflow' UNION ALL SELECT {CORE}, source FROM every ANTI JOIN o USING (path, line_no, cwe) WHERE source = 'dataflow'")
+@query(f"WITH {UNION}, o AS (SELECT DISTINCT path, line_no, cwe FROM every WHERE source <> 'dataflow') SELECT {CORE}, source FROM every WHERE source <> 'dataflow' UNION ALL SELECT {CORE}, source FROM every ANTI JOIN o USING (path, line_no, cwe) WHERE source = 'dataflow'")
 def merge_dataflow(spark, d):
-    return core(O.merge_dataflow(every(spark, d, **MERGED_OF)), "source")
+    return core(O.merge_dataflow(every(spark, d)), "source")
 
 
-@query(f"WITH {MERGED}, o AS (SELECT DISTINCT path, line_no FROM every WHERE source NOT IN ('secret-scanner', 'entropy') AND category = 'secrets') SELECT {CORE}, source FROM every WHERE source NOT IN ('secret-scanner', 'entropy') UNION ALL SELECT {CORE}, source FROM every ANTI JOIN o USING (path, line_no) WHERE source IN ('secret-scanner', 'entropy')")
+@query(f"WITH {UNION}, o AS (SELECT DISTINCT path, line_no FROM every WHERE source NOT IN ('secret-scanner', 'entropy') AND category = 'secrets') SELECT {CORE}, source FROM every WHERE source NOT IN ('secret-scanner', 'entropy') UNION ALL SELECT {CORE}, source FROM every ANTI JOIN o USING (path, line_no) WHERE source IN ('secret-scanner', 'entropy')")
 def merge_secrets(spark, d):
-    return core(O.merge_secrets(every(spark, d, **MERGED_OF)), "source")
+    return core(O.merge_secrets(every(spark, d)), "source")
 
 
 @query(f"WITH {UNION} SELECT {CORE}, source, CASE WHEN (SELECT count(DISTINCT source) FROM every r WHERE r.path = e.path AND r.line_no = e.line_no AND r.cwe = e.cwe) >= 2 THEN 'confirmed' ELSE confidence END AS confidence FROM every e")
@@ -401,9 +398,9 @@ def suppressed_count(spark, d):
     return O.suppressed_inline(found(spark, d), O.suppressions(lines(spark, d))).agg(F.count("*").alias("suppressed"))
 
 
-@query(f"WITH {findings_sql(**MERGED_OF)}, f AS MATERIALIZED (SELECT *, {FINGERPRINT} AS fingerprint FROM found), b AS (SELECT DISTINCT fingerprint FROM f WHERE line_no % 3 = 0) SELECT {CORE} FROM f ANTI JOIN b USING (fingerprint)")
+@query(f"WITH {FOUND}, f AS MATERIALIZED (SELECT *, {FINGERPRINT} AS fingerprint FROM found), b AS (SELECT DISTINCT fingerprint FROM f WHERE line_no % 3 = 0) SELECT {CORE} FROM f ANTI JOIN b USING (fingerprint)")
 def suppress_baseline(spark, d):
-    own = found(spark, d, **MERGED_OF)
+    own = found(spark, d)
     return core(O.suppress_baseline(own, O.baseline(own.where("line_no % 3 = 0"))))
 
 
