@@ -1,8 +1,8 @@
 """Syntax facts of Python files, and what follows from them: complexity, taint between functions, data flow, overviews.
 
-Files cross to Python once; `facts` gives flat rows of all kinds, and the rest is joins and aggregates on (path, scope).
-Only what needs the order of statements (data flow over a control-flow graph) is solved where the file is parsed:
-files are small and independent, so this needs no shuffle. A file that doesn't parse gives one row of kind `error`.
+Files cross to Python once, to be parsed: `facts` gives flat rows of all kinds (functions, parameters, calls, assignments as edges, control-flow
+edges, what each statement defines and uses), and the rest is joins, aggregates and, for taint and data flow, loops of these (`flows`).
+A file that doesn't parse gives one row of kind `error`. `file_facts` solves a single file without Spark, and is what tests hold the relations against.
 
 Deliberate differences to a naive reading: taint is kept by (scope, name), so equal names in two functions don't mix, and the
 scope of a function whose name an earlier one of the file has is `name#line`, so equal methods of two classes don't either; the
@@ -17,12 +17,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dims
+from . import flows
+from .flows import ARROW, CLEAN, SANITIZED, TAINTED
 
-CLEAN, SANITIZED, UNKNOWN, TAINTED = range(4)  # a join is the maximum
 SCHEMA = "path string, kind string, scope string, name string, line long, end_line long, a long, b long, c long, text string"
 MODULE = "<module>"
 FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -222,9 +223,6 @@ def bare(scope: str) -> str:
     return scope.split("#", 1)[0]
 
 
-ARROW = " -> "
-
-
 def _close(f: Facts) -> None:
     """What the edges of this file let the seeds reach, and which parameters reach results: a file's graph is solved where it is made.
 
@@ -341,48 +339,58 @@ def _heads(s: ast.AST) -> list[ast.expr]:
     return [n for n in ast.iter_child_nodes(s) if isinstance(n, ast.expr)]
 
 
-def state(e: ast.AST | None, env: dict[str, int]) -> int:
-    """The lattice value of an expression."""
+Terms = tuple[int, frozenset[str]]
+
+
+def terms(e: ast.AST | None) -> Terms:
+    """What an expression's value is the maximum of: a constant and variables."""
     if e is None or isinstance(e, ast.Constant):
-        return CLEAN
+        return CLEAN, frozenset()
     if isinstance(e, ast.Name):
-        return TAINTED if e.id in dims.FLOW_SOURCES else env.get(e.id, CLEAN)
+        return (TAINTED, frozenset()) if e.id in dims.FLOW_SOURCES else (CLEAN, frozenset([e.id]))
     if isinstance(e, (ast.Attribute, ast.Subscript)):
         name = dotted(e) if isinstance(e, ast.Attribute) else ""
-        return TAINTED if name and is_source(name, dims.FLOW_SOURCES) else state(e.value, env)
+        return (TAINTED, frozenset()) if name and is_source(name, dims.FLOW_SOURCES) else terms(e.value)
     if isinstance(e, ast.Call):
         name = dotted(e.func)
         if is_sanitizer(name, dims.FLOW_SANITIZERS):
-            return SANITIZED
+            return SANITIZED, frozenset()
         if is_source(name, dims.FLOW_SOURCES):
-            return TAINTED
-        base = state(e.func.value, env) if isinstance(e.func, ast.Attribute) else CLEAN
-        return max([base, *(state(a.value if isinstance(a, ast.Starred) else a, env) for a in e.args)])
-    if isinstance(e, ast.IfExp):
-        return max(state(e.body, env), state(e.orelse, env))
-    return max([CLEAN, *(state(c, env) for c in ast.iter_child_nodes(e) if isinstance(c, ast.expr))])
+            return TAINTED, frozenset()
+        parts = [e.func.value] if isinstance(e.func, ast.Attribute) else []
+        parts += [a.value if isinstance(a, ast.Starred) else a for a in e.args]
+    elif isinstance(e, ast.IfExp):
+        parts = [e.body, e.orelse]
+    else:
+        parts = [c for c in ast.iter_child_nodes(e) if isinstance(c, ast.expr)]
+    own = [terms(p) for p in parts]
+    return max([CLEAN, *(v for v, _ in own)]), frozenset().union(*(names for _, names in own))
+
 
+def value(t: Terms, env: dict[str, int]) -> int:
+    return max([t[0], *(env.get(name, CLEAN) for name in t[1])])
 
-def transfer(s: ast.AST, env: dict[str, int]) -> dict[str, int]:
-    """A node's effect: assignments to plain names replace what was known."""
-    env = dict(env)
+
+def effects(s: ast.AST) -> dict[str, Terms]:
+    """A node's effect: the plain names that it assigns, and from what, all as it was before the node."""
     if isinstance(s, ast.Assign):
-        v = state(s.value, env)
-        for t in s.targets:
-            for one in t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t]:
-                if isinstance(one, ast.Name):
-                    env[one.id] = v
-    elif isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name):
-        env[s.target.id] = state(s.value, env)
-    elif isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name):
-        env[s.target.id] = max(env.get(s.target.id, CLEAN), state(s.value, env))
-    elif isinstance(s, (ast.For, ast.AsyncFor)) and isinstance(s.target, ast.Name):
-        env[s.target.id] = state(s.iter, env)
-    elif isinstance(s, (ast.With, ast.AsyncWith)):
+        own = terms(s.value)
+        return {one.id: own for t in s.targets for one in (t.elts if isinstance(t, (ast.Tuple, ast.List)) else [t]) if isinstance(one, ast.Name)}
+    if isinstance(s, ast.AnnAssign) and isinstance(s.target, ast.Name):
+        return {s.target.id: terms(s.value)}
+    if isinstance(s, ast.AugAssign) and isinstance(s.target, ast.Name):
+        floor, names = terms(s.value)
+        return {s.target.id: (floor, names | {s.target.id})}
+    if isinstance(s, (ast.For, ast.AsyncFor)) and isinstance(s.target, ast.Name):
+        return {s.target.id: terms(s.iter)}
+    out: dict[str, Terms] = {}
+    if isinstance(s, (ast.With, ast.AsyncWith)):
         for i in s.items:
             if isinstance(i.optional_vars, ast.Name):
-                env[i.optional_vars.id] = state(i.context_expr, env)
-    return env
+                floor, names = terms(i.context_expr)  # a later item sees what an earlier one has bound
+                bound = [out[n] for n in names if n in out]
+                out[i.optional_vars.id] = max([floor, *(v for v, _ in bound)]), frozenset(n for n in names if n not in out).union(*(n for _, n in bound))
+    return out
 
 
 def solve(g: Graph, start: dict[str, int] | None = None) -> list[dict[str, int]]:
@@ -397,7 +405,7 @@ def solve(g: Graph, start: dict[str, int] | None = None) -> list[dict[str, int]]
     while todo:
         n = todo.pop(0)
         seen.add(n)
-        after = transfer(g.nodes[n], before[n])
+        after = before[n] | {name: value(t, before[n]) for name, t in effects(g.nodes[n]).items()}
         for m in follow.get(n, []):
             joined = {k: max(before[m].get(k, CLEAN), after.get(k, CLEAN)) for k in before[m].keys() | after.keys()}
             if joined != before[m] or m not in seen:
@@ -407,19 +415,41 @@ def solve(g: Graph, start: dict[str, int] | None = None) -> list[dict[str, int]]
     return before
 
 
-def _flow(f: Facts, body: list[ast.stmt], scope: str) -> None:
+def _flow(f: Facts, body: list[ast.stmt], scope: str) -> Graph:
+    """The graph's edges, what each node defines from what, and the arguments of sinks, of which each is a constant (end_line 0) or a variable (1)."""
     g = Graph().build(body)
     for a, b in sorted(g.edges):
         f.add("cfg", scope, line=g.nodes[a].lineno, end_line=g.nodes[b].lineno, a=a, b=b)
+    place = 0
+    for at, n in enumerate(g.nodes):
+        for name, (floor, names) in sorted(effects(n).items()):
+            f.add("def", scope, name, n.lineno, a=at, b=floor)
+            for used in sorted(names):
+                f.add("use", scope, name, n.lineno, a=at, text=used)
+        for e, sink, cwe in _sink_calls(n):
+            place += 1
+            for floor, names in map(terms, e.args):
+                if floor:
+                    f.add("flowarg", scope, sink, e.lineno, a=at, b=floor, c=place, text=cwe)
+                for used in sorted(names):
+                    f.add("flowarg", scope, sink, e.lineno, 1, at, c=place, text=f"{cwe}\t{used}")
+    return g
+
+
+def _sink_calls(n: ast.AST) -> Iterator[tuple[ast.Call, str, str]]:
+    for head in _heads(n):
+        for e in ast.walk(head):
+            if isinstance(e, ast.Call) and (sink := last(dotted(e.func))) in dims.FLOW_SINKS:
+                yield e, sink, dims.FLOW_SINKS[sink][0]
+
+
+def _solved(f: Facts, g: Graph, scope: str) -> None:
     done = set()
     for n, env in zip(g.nodes, solve(g), strict=True):
-        for head in _heads(n):
-            for e in ast.walk(head):
-                if isinstance(e, ast.Call) and (sink := last(dotted(e.func))) in dims.FLOW_SINKS:
-                    cwe, _ = dims.FLOW_SINKS[sink]
-                    if any(state(a, env) == TAINTED for a in e.args) and (e.lineno, cwe) not in done:
-                        done.add((e.lineno, cwe))
-                        f.add("flow", scope, sink, e.lineno, text=cwe)
+        for e, sink, cwe in _sink_calls(n):
+            if any(value(terms(a), env) == TAINTED for a in e.args) and (e.lineno, cwe) not in done:
+                done.add((e.lineno, cwe))
+                f.add("flow", scope, sink, e.lineno, text=cwe)
 
 
 # The legacy analysis: one pass, exact sinks, keyword arguments too -------------------------------------------------------------------
@@ -444,6 +474,11 @@ def _legacy(f: Facts, tree: ast.Module) -> None:
 
 
 def file_facts(text: str) -> list[tuple]:
+    """The facts of one file with what follows from them (tainted, summary, taint, flow), without Spark."""
+    return parsed(text, solve_too=True)
+
+
+def parsed(text: str, solve_too: bool = False) -> list[tuple]:
     """All facts of a file: (kind, scope, name, line, end_line, a, b, c, text)."""
     f = Facts()
     try:
@@ -477,8 +512,11 @@ def file_facts(text: str) -> list[tuple]:
     taint = _Taint(f, functions)
     for scope, body in bodies:
         taint.visit(body, scope)
-        _flow(f, body, scope)
-    _close(f)
+        g = _flow(f, body, scope)
+        if solve_too:
+            _solved(f, g, scope)
+    if solve_too:
+        _close(f)
     _legacy(f, tree)
     return f.rows
 
@@ -489,7 +527,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows: list[tuple] = []
         for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-            rows += [(path, *r) for r in file_facts(text or "")]
+            rows += [(path, *r) for r in parsed(text or "")]
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                 rows = []
@@ -517,19 +555,17 @@ def complexity(facts: DataFrame) -> DataFrame:
     return g.withColumn("function", _bare("function")).withColumn("n_issues", issues).withColumn("refactor_priority", F.when(F.col("n_issues") >= 2, "high").when(F.col("n_issues") == 1, "medium").otherwise("ok"))
 
 
-def _bare(name: str) -> Column:
-    """A scope's name as the file has it."""
-    return F.substring_index(name, "#", 1)
+_bare = flows.bare
 
 
 def tainted_names(facts: DataFrame) -> DataFrame:
     """path, node (scope:name) of everything that data from a source may reach."""
-    return facts.where("kind = 'tainted'").select("path", F.col("name").alias("node"))
+    return flows.tainted(facts)
 
 
 def taint_findings(facts: DataFrame) -> DataFrame:
     """A finding for each line and sink that tainted data reaches, at its first tainted argument, with the shortest flow to it."""
-    own = facts.where("kind = 'taint'").groupBy("path", "scope", "name", "line").agg(F.min(F.struct("a", "c", "text")).alias("x"), F.max("b").alias("near"))
+    own = flows.taints(facts).groupBy("path", "scope", "name", "line").agg(F.min(F.struct("a", "c", "text")).alias("x"), F.max("b").alias("near"))
     own = own.select("*", F.col("x.a").alias("arg"), F.col("x.text").alias("flow"))
     sink = F.substring_index("name", ".", -1)
     cwe = dims.mapped(sink, {k: v[0] for k, v in dims.SINKS.items()}, None)
@@ -542,12 +578,12 @@ def taint_findings(facts: DataFrame) -> DataFrame:
 
 def fn_summary(facts: DataFrame) -> DataFrame:
     """path, function, param: parameters that a function's result may carry; -1 for a result that always comes from a source."""
-    return facts.where("kind = 'summary'").select("path", _bare("scope").alias("function"), F.col("a").alias("param"))
+    return flows.summaries(facts).select("path", _bare("scope").alias("function"), F.col("a").alias("param"))
 
 
 def dataflow_findings(facts: DataFrame) -> DataFrame:
     sev = dims.mapped("name", {k: v[1] for k, v in dims.FLOW_SINKS.items()}, "high")
-    return facts.where("kind = 'flow'").select("path", F.col("line").alias("line_no"), F.concat(F.lit("DFLOW-"), F.replace("text", F.lit("-"), F.lit("_"))).alias("rule_id"), sev.alias("severity"), F.col("text").alias("cwe"), dims.mapped("text", dims.CWE_CATEGORY, "code").alias("category"), F.col("name").alias("snippet"), F.lit("medium").alias("confidence"), F.lit("dataflow").alias("source"))
+    return flows.sinks(facts).select("path", F.col("line").alias("line_no"), F.concat(F.lit("DFLOW-"), F.replace("text", F.lit("-"), F.lit("_"))).alias("rule_id"), sev.alias("severity"), F.col("text").alias("cwe"), dims.mapped("text", dims.CWE_CATEGORY, "code").alias("category"), F.col("name").alias("snippet"), F.lit("medium").alias("confidence"), F.lit("dataflow").alias("source"))
 
 
 def explain_files(facts: DataFrame) -> DataFrame:
