@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import findings as O
-from ..operators import fixpoint, refactor
+from ..operators import fixpoint, flows, refactor
 from ..operators import syntax as S
 from ..sources import corpus as C
 from ..sources import sinks
@@ -130,6 +130,55 @@ def dataflow_fixpoint(spark, d):
     return fixpoint.closure(own.select("src", "dst"), own.select(F.col("first").alias("node")))
 
 
+def _values(name: str, columns: str, rows: list[tuple]) -> str:
+    cell = lambda v: q(v) if isinstance(v, str) else f"CAST({v} AS BIGINT)"
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)})"
+
+
+def _of_events(columns: str, source: str) -> str:
+    """SQL that gives each event's module the rows of its template."""
+    shown = ", ".join(f"replace(x.{c[1:]}, '{{n}}', CAST(event_id AS VARCHAR)) AS {c[1:]}" if c.startswith("$") else f"x.{c}" for c in columns.split())
+    return f"SELECT 'm' || event_id || '.py' AS path, {shown} FROM events JOIN ({source}) x ON event_id % {len(C.MODULES)} = x.kind"
+
+
+#: template, scope, node, variable, value of the constant part (1 sanitised, 3 tainted) of each assignment
+_DEFS = [
+    (1, "branchy_{n}", 1, "i", 0), (2, "read_{n}", 0, "name", 3), (2, "read_{n}", 1, "cmd", 0), (3, "clean_{n}", 0, "name", 3), (3, "clean_{n}", 1, "name", 1), (4, "half_{n}", 0, "v", 3), (4, "half_{n}", 2, "v", 1),
+    (5, "use_{n}", 0, "t", 3), (8, "loop_{n}", 0, "out", 0), (8, "loop_{n}", 1, "q", 0), (8, "loop_{n}", 4, "q", 3), (8, "loop_{n}", 6, "x", 0),
+]
+#: template, scope, node, variable, variable that its value comes from
+_USES = [(2, "read_{n}", 1, "cmd", "name")]
+_STATES = f"""WITH RECURSIVE {_values("e", "kind, scope, src, dst", _EDGES)}, {_values("d", "kind, scope, node, name, floor", _DEFS)}, {_values("u", "kind, scope, node, name, used", _USES)},
+  m AS (SELECT * FROM u UNION SELECT n.kind, n.scope, n.node, v.name, v.name FROM (SELECT kind, scope, src AS node FROM e) n JOIN (SELECT DISTINCT kind, scope, name FROM d) v USING (kind, scope) ANTI JOIN d USING (kind, scope, node, name)),
+  r(kind, scope, node, name, value) AS (
+    SELECT e.kind, e.scope, e.dst, d.name, d.floor FROM d JOIN e ON e.kind = d.kind AND e.scope = d.scope AND e.src = d.node WHERE d.floor > 0
+    UNION SELECT e.kind, e.scope, e.dst, m.name, r.value FROM r JOIN m ON m.kind = r.kind AND m.scope = r.scope AND m.node = r.node AND m.used = r.name JOIN e ON e.kind = m.kind AND e.scope = m.scope AND e.src = m.node)
+{_of_events("$scope node name value", "SELECT kind, scope, node, name, max(value) AS value FROM r GROUP BY ALL")}"""
+
+
+@query(_STATES)
+def dataflow_states(spark, d):
+    """What each variable may hold before each statement, over loops and branches of which one sanitises."""
+    return flows.states(facts(spark, d))
+
+
+#: template, node, next node; template, node, source; template, node, sink, line
+_CARRIES = [(2, "read_{n}:name", "read_{n}:cmd"), (5, "helper_{n}:p", "helper_{n}:<return>"), (5, "helper_{n}:<return>", "use_{n}:t")]
+_SOURCES = [(2, "read_{n}:name", "request.args.get"), (3, "clean_{n}:name", "request.args.get"), (4, "half_{n}:v", "input"), (5, "helper_{n}:p", "input"), (8, "loop_{n}:q", "input")]
+_AIMS = [(2, "read_{n}:cmd", "os.system", 6), (3, "clean_{n}:name", "cursor.execute", 4), (4, "half_{n}:v", "cursor.execute", 5), (5, "use_{n}:t", "eval", 6), (8, "loop_{n}:q", "cursor.execute", 5)]
+_NAMED = "CASE WHEN {0} LIKE '%:<return>' THEN split_part({0}, ':', 1) || '()' ELSE split_part({0}, ':', 2) END"
+_FLOWS = f"""WITH RECURSIVE {_values("e", "kind, src, dst", _CARRIES)}, {_values("s", "kind, node, source_var", _SOURCES)}, {_values("k", "kind, node, sink, line_no", _AIMS)},
+  r(kind, node, source_var, flow, n) AS (SELECT kind, node, source_var, source_var || ' -> ' || {_NAMED.format("node")}, 1 FROM s
+    UNION ALL SELECT e.kind, e.dst, r.source_var, r.flow || ' -> ' || {_NAMED.format("e.dst")}, r.n + 1 FROM r JOIN e ON e.kind = r.kind AND e.src = r.node)
+{_of_events("line_no source_var sink $flow", "SELECT k.kind, line_no, arg_min(source_var, n) AS source_var, sink, arg_min(flow || ' -> ' || sink || '()', n) AS flow FROM r JOIN k ON k.kind = r.kind AND k.node = r.node GROUP BY ALL")}"""
+
+
+@query(_FLOWS)
+def taint_flows(spark, d):
+    """The way from a source to each sink that it reaches, over functions."""
+    return S.taint_findings(facts(spark, d)).select("path", "line_no", "source_var", "sink", "flow")
+
+
 @query(stated("line_no sink cwe", [(2, 6, "os.system", "CWE-78"), (5, 6, "eval", "CWE-95")]))
 def legacy_taint(spark, d):
     return S.facts(C.modules(spark, d)).where("kind = 'legacy'").select("path", F.col("line").alias("line_no"), F.col("name").alias("sink"), F.col("text").alias("cwe"))
