@@ -13,14 +13,14 @@ from pyspark.sql import functions as F
 
 from . import api
 from .functions import dims
-from .operators import refactor
+from .operators import refactor, syntax
 from .sources import files, sinks
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="sievelight", description="Scans source code for unsafe patterns, secrets and tainted data.")
-    p.add_argument("target", help="a file or folder; or `fix` or `init`")
-    p.add_argument("path", nargs="?", help="what to fix or where to begin")
+    p.add_argument("target", help="a file or folder; or `fix`, `explain` or `init`")
+    p.add_argument("path", nargs="?", help="what to fix or explain, or where to begin")
     p.add_argument("-f", "--format", choices=("text", "json", "sarif", "problem", "html"), default="text")
     p.add_argument("-o", "--output")
     p.add_argument("-r", "--recursive", action="store_true")
@@ -115,6 +115,25 @@ def fix(spark, path: str, level: int) -> int:
     return 0
 
 
+def explain(spark, path: str, output: str | None) -> int:
+    """A JSON array with an overview of each Python file and its functions; 2 without such files."""
+    facts = syntax.facts(files.read_files(spark, path)).persist()
+    own = sinks.explained(syntax.explain_files(facts), syntax.describe_functions(facts))
+    empty = own.isEmpty()
+    if empty:
+        print("no files", file=sys.stderr)
+    elif output:
+        sinks.write_explained(own, str(Path(output).resolve()))
+    else:
+        between = "["
+        for row in own.orderBy("path").select("json").toLocalIterator():
+            print(between + row.json)
+            between = ","
+        print("]")
+    facts.unpersist()
+    return 2 if empty else 0
+
+
 def main(argv: list[str] | None = None) -> int:
     import datetime as dt
 
@@ -128,6 +147,8 @@ def main(argv: list[str] | None = None) -> int:
     spark.sparkContext.setLogLevel("ERROR")
     if a.target == "fix":
         return fix(spark, a.path, a.level)
+    if a.target == "explain":
+        return explain(spark, str(Path(a.path or ".").resolve()), a.output)
     target = Path(a.target)
     if not target.exists():
         print(f"{target}: not found", file=sys.stderr)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,16 +186,41 @@ def legacy_taint(spark, d):
     return S.facts(C.modules(spark, d)).where("kind = 'legacy'").select("path", F.col("line").alias("line_no"), F.col("name").alias("sink"), F.col("text").alias("cwe"))
 
 
-@query(stated("functions classes imports loc purpose function_names", [(0, 1, 0, 0, 2, "library", "plain_{n}"), (1, 1, 0, 0, 10, "library", "branchy_{n}"), (2, 1, 0, 1, 6, "library", "read_{n}"), (3, 1, 0, 0, 4, "library", "clean_{n}"), (4, 1, 0, 0, 5, "library", "half_{n}"), (5, 2, 0, 0, 6, "library", "helper_{n},use_{n}"), (7, 1, 1, 1, 11, "script", "get"), (8, 1, 0, 0, 11, "library", "loop_{n}")]))
+#: template, functions, classes, imports, loc, purpose, function names
+_OVERVIEW = [(0, 1, 0, 0, 2, "library", "plain_{n}"), (1, 1, 0, 0, 10, "library", "branchy_{n}"), (2, 1, 0, 1, 6, "library", "read_{n}"), (3, 1, 0, 0, 4, "library", "clean_{n}"), (4, 1, 0, 0, 5, "library", "half_{n}"), (5, 2, 0, 0, 6, "library", "helper_{n},use_{n}"), (7, 1, 1, 1, 11, "script", "get"), (8, 1, 0, 0, 11, "library", "loop_{n}")]
+
+
+@query(stated("functions classes imports loc purpose function_names", _OVERVIEW))
 def explain_files(spark, d):
     return S.explain_files(facts(spark, d)).drop("import_names")
 
 
-@query(stated("function params returns raises calls", [(0, "plain_{n}", "a, b", "", "", ""), (1, "branchy_{n}", "a, b, c, d, e, f", "", "", "range"), (2, "read_{n}", "", "", "", "os.system,request.args.get"), (3, "clean_{n}", "", "", "", "cursor.execute,int,request.args.get"), (4, "half_{n}", "flag", "", "", "cursor.execute,escape,input"), (5, "helper_{n}", "p", "", "", "p.strip"), (5, "use_{n}", "", "", "", "eval,helper_{n},input"), (7, "get", "key: str = 'k'", "str", "KeyError", "lookup"), (8, "loop_{n}", "items", "", "", "cursor.execute,input,len")]))
+#: template, function, parameters, returns, raises, calls
+_DESCRIBED = [(0, "plain_{n}", "a, b", "", "", ""), (1, "branchy_{n}", "a, b, c, d, e, f", "", "", "range"), (2, "read_{n}", "", "", "", "os.system,request.args.get"), (3, "clean_{n}", "", "", "", "cursor.execute,int,request.args.get"), (4, "half_{n}", "flag", "", "", "cursor.execute,escape,input"), (5, "helper_{n}", "p", "", "", "p.strip"), (5, "use_{n}", "", "", "", "eval,helper_{n},input"), (7, "get", "key: str = 'k'", "str", "KeyError", "lookup"), (8, "loop_{n}", "items", "", "", "cursor.execute,input,len")]
+
+
+@query(stated("function params returns raises calls", _DESCRIBED))
 def describe_functions(spark, d):
     return S.describe_functions(facts(spark, d))
 
 
+def _explained() -> list[tuple[int, str]]:
+    imports = {2: ["os"], 7: ["sys"]}
+    out = []
+    for k, functions, classes, n_imports, loc, purpose, names in _OVERVIEW:
+        own = [dict(zip(("function", "params", "returns", "raises", "calls"), r, strict=True)) for t, *r in _DESCRIBED if t == k]
+        body = {"path": "m{n}.py", "purpose": purpose, "loc": loc, "functions": functions, "classes": classes, "imports": n_imports, "import_names": imports.get(k, []), "function_names": names.split(","), "described": own}
+        out.append((k, json.dumps(body, separators=(",", ":"))))
+    return out
+
+
+@query(stated("json", _explained()))
+def explain_report(spark, d):
+    """The overview of each file with its functions, as one JSON object."""
+    own = fixpoint.kept(facts(spark, d), "explained")
+    return sinks.explained(S.explain_files(own), S.describe_functions(own))
+
+
 @query(f"SELECT rule, category, count(*) AS n FROM ({stated('rule category', [(7, 'eq-none', 'idiom'), (8, 'len-gt0', 'idiom')])}) GROUP BY rule, category")
 def refactor_by_category(spark, d):
     return refactor.changes(C.modules(spark, d), 2).groupBy("rule", "category").agg(F.count("*").alias("n"))

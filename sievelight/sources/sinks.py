@@ -111,5 +111,17 @@ def ide_union(found: DataFrame, anti: DataFrame, functions: DataFrame) -> DataFr
     return one.unionByName(anti.select("path", "line_no", "rule_id", "severity", F.lit("antipattern").alias("kind"))).unionByName(issue)
 
 
+def explained(overview: DataFrame, functions: DataFrame) -> DataFrame:
+    """path, json: each file's overview (`syntax.explain_files`) with what is told of its functions (`syntax.describe_functions`); a file's functions are a bounded group."""
+    own = functions.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("function", "params", "returns", "raises", "calls"))).alias("own"))
+    names = lambda c: F.filter(F.split(c, ","), lambda x: x != "").alias(c)
+    body = F.struct("path", "purpose", "loc", "functions", "classes", "imports", names("import_names"), names("function_names"), F.coalesce("own", F.array()).alias("described"))
+    return overview.join(own, "path", "left").select("path", F.to_json(body).alias("json"))
+
+
+def write_explained(own: DataFrame, path: str) -> None:
+    write_document(own.orderBy("path").select("json"), path, "[\n", "\n]\n", ",\n")
+
+
 def write_text(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").text(path)

@@ -34,6 +34,18 @@ def test_fix_keeps_a_copy(spark, tmp_path):
     assert (tmp_path / "a.py").read_text() == "x = y is None\n" and (tmp_path / "a.py.bak").read_text() == "x = y == None\n"
 
 
+def test_explain(spark, tmp_path, capsys):
+    (tmp_path / "a.py").write_text("import os\n\ndef f(a: int = 1):\n    return g(a)\n")
+    (tmp_path / "b.js").write_text("x();\n")
+    (tmp_path / "c.py").write_text("x = 1\n")
+    assert cli.main(["explain", str(tmp_path)]) == 0
+    a, c = json.loads(capsys.readouterr().out)
+    assert a["functions"] == 1 and a["import_names"] == ["os"] and a["described"] == [{"function": "f", "params": "a: int = 1", "returns": "", "raises": "", "calls": "g"}] and c["described"] == []
+    assert cli.main(["explain", str(tmp_path), "-o", str(tmp_path / "out.json")]) == 0
+    assert json.loads((tmp_path / "out.json").read_text()) == [a, c]
+    assert cli.main(["explain", str(tmp_path / "b.js")]) == 2
+
+
 def test_rules_across_lines(spark):
     rows = [("a.js", "javascript", "// top\nconst app = express();\n" + "x();\n" * 5), ("b.js", "javascript", "const app = express();\napp.use(helmet());"), ("c.java", "java", "class A {\n  @PostMapping\n  void f() {}\n @PreAuthorize @PutMapping\n}"), ("d.py", "python", "for a in b:\n    s += 'x'\n")]
     got = {(r.path, r.rule_id, r.line_no, r.col) for r in file_rule_scan(spark.createDataFrame(rows, "path string, language string, text string")).collect()}
