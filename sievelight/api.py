@@ -27,7 +27,7 @@ class Options:
 
 @dataclass
 class Scan:
-    """A scan's relations; each is a plan, nothing runs before an action. Syntax facts and merged findings are kept once made, as
+    """A scan's relations, plans but for taint and data flow, whose rounds run when findings are first asked for. Syntax facts and merged findings are kept once made, as
     much as memory and disk allow, until `release`. Anti-patterns and complex functions count for scores always, and are listed only with `quality`."""
 
     files: DataFrame

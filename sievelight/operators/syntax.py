@@ -13,8 +13,9 @@ a compound statement is checked with the state at its own statement.
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -478,8 +479,13 @@ def file_facts(text: str) -> list[tuple]:
     return parsed(text, solve_too=True)
 
 
-def parsed(text: str, solve_too: bool = False) -> list[tuple]:
-    """All facts of a file: (kind, scope, name, line, end_line, a, b, c, text)."""
+def parsed(text: str, solve_too: bool = False, kinds: frozenset[str] = frozenset()) -> list[tuple]:
+    """The facts of a file, of these kinds or of all: (kind, scope, name, line, end_line, a, b, c, text)."""
+    rows = _parsed(text, solve_too, lambda *k: not kinds or not kinds.isdisjoint(k))
+    return [r for r in rows if r[0] in kinds] if kinds else rows
+
+
+def _parsed(text: str, solve_too: bool, wanted: Callable[..., bool]) -> list[tuple]:
     f = Facts()
     try:
         tree = ast.parse(text)
@@ -511,23 +517,26 @@ def parsed(text: str, solve_too: bool = False) -> list[tuple]:
     visit(tree, "")
     taint = _Taint(f, functions)
     for scope, body in bodies:
-        taint.visit(body, scope)
-        g = _flow(f, body, scope)
-        if solve_too:
-            _solved(f, g, scope)
+        if wanted("edge", "seed", "sinkarg", "call"):
+            taint.visit(body, scope)
+        if wanted("cfg", "def", "use", "flowarg"):
+            g = _flow(f, body, scope)
+            if solve_too:
+                _solved(f, g, scope)
     if solve_too:
         _close(f)
-    _legacy(f, tree)
+    if wanted("legacy"):
+        _legacy(f, tree)
     return f.rows
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _rows(batches: Iterator[pa.RecordBatch], kinds: frozenset[str]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     types = [pa.int64() if x.endswith("long") else pa.string() for x in SCHEMA.split(", ")]
     for b in batches:
         rows: list[tuple] = []
         for path, text in zip(b.column("path").to_pylist(), b.column("text").to_pylist(), strict=True):
-            rows += [(path, *r) for r in parsed(text or "")]
+            rows += [(path, *r) for r in parsed(text or "", kinds=kinds)]
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
                 rows = []
@@ -535,9 +544,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
 
-def facts(files: DataFrame) -> DataFrame:
-    """All facts of the Python files among (path, language, text)."""
-    return files.where("language = 'python'").select("path", "text").mapInArrow(_rows, SCHEMA)
+#: The kinds of facts that each of the operators below reads.
+COMPLEXITY = ("function", "metric")
+TAINT = ("edge", "seed", "sinkarg")
+SUMMARY = ("edge", "seed", "param")
+FLOW = ("cfg", "def", "use", "flowarg")
+OVERVIEW = ("module", "import", "function", "class")
+DESCRIPTION = ("function", "param", "returns", "raise", "calls")
+
+
+def facts(files: DataFrame, *kinds: str) -> DataFrame:
+    """The facts of the Python files among (path, language, text), of these kinds or of all; what other kinds need is not worked out."""
+    return files.where("language = 'python'").select("path", "text").mapInArrow(partial(_rows, kinds=frozenset(kinds)), SCHEMA)
 
 
 # What follows relationally -------------------------------------------------------------------------------------------------------

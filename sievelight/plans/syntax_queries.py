@@ -37,8 +37,8 @@ def stated(columns: str, rows: list[tuple], of: tuple[str, ...] = C.MODULES) ->
     return f"SELECT 'm' || event_id || '.py' AS path, {shown} FROM events JOIN (VALUES {body}) t(kind, {', '.join(names)}) ON event_id % {len(of)} = t.kind"
 
 
-def facts(spark, d) -> DataFrame:
-    return S.facts(C.modules(spark, d))
+def facts(spark, d, *kinds: str) -> DataFrame:
+    return S.facts(C.modules(spark, d), *kinds)
 
 
 #: function, line, cyclomatic, cognitive, max_nesting, params, lines, n_issues, refactor_priority of the templates' functions
@@ -51,32 +51,32 @@ _SHAPE = stated("function line cyclomatic cognitive max_nesting params lines n_i
 
 @query(f"SELECT path, function, cyclomatic FROM ({_SHAPE})")
 def complexity_cyclomatic(spark, d):
-    return S.complexity(facts(spark, d)).select("path", "function", "cyclomatic")
+    return S.complexity(facts(spark, d, *S.COMPLEXITY)).select("path", "function", "cyclomatic")
 
 
 @query(f"SELECT path, function, cognitive FROM ({_SHAPE})")
 def complexity_cognitive(spark, d):
-    return S.complexity(facts(spark, d)).select("path", "function", "cognitive")
+    return S.complexity(facts(spark, d, *S.COMPLEXITY)).select("path", "function", "cognitive")
 
 
 @query(f"SELECT path, function, max_nesting, params, lines FROM ({_SHAPE})")
 def complexity_shape(spark, d):
-    return S.complexity(facts(spark, d)).select("path", "function", "max_nesting", "params", "lines")
+    return S.complexity(facts(spark, d, *S.COMPLEXITY)).select("path", "function", "max_nesting", "params", "lines")
 
 
 @query(f"SELECT path, function, n_issues, refactor_priority FROM ({_SHAPE})")
 def complexity_priority(spark, d):
-    return S.complexity(facts(spark, d)).select("path", "function", "n_issues", "refactor_priority")
+    return S.complexity(facts(spark, d, *S.COMPLEXITY)).select("path", "function", "n_issues", "refactor_priority")
 
 
 @query(stated("function param", [(0, "plain_{n}", 0), (0, "plain_{n}", 1), (1, "branchy_{n}", 4), (5, "helper_{n}", 0), (7, "get", 0)]))
 def fn_summary(spark, d):
-    return S.fn_summary(facts(spark, d))
+    return S.fn_summary(facts(spark, d, *S.SUMMARY))
 
 
 @query(stated("node", [(2, "read_{n}:name"), (2, "read_{n}:cmd"), (3, "clean_{n}:name"), (4, "half_{n}:v"), (5, "helper_{n}:p"), (5, "helper_{n}:<return>"), (5, "use_{n}:t"), (8, "loop_{n}:q")]))
 def taint_interproc(spark, d):
-    return S.tainted_names(facts(spark, d))
+    return S.tainted_names(facts(spark, d, *S.TAINT))
 
 
 _TAINT = [(2, 6, "TAINT-CWE_78", "high", "CWE-78", "os.system"), (3, 4, "TAINT-CWE_89", "critical", "CWE-89", "cursor.execute"), (4, 5, "TAINT-CWE_89", "critical", "CWE-89", "cursor.execute"), (5, 6, "TAINT-CWE_95", "critical", "CWE-95", "eval"), (8, 5, "TAINT-CWE_89", "critical", "CWE-89", "cursor.execute")]
@@ -85,17 +85,17 @@ _FLOW = [(2, 6, "DFLOW-CWE_78", "high", "CWE-78", "system"), (4, 5, "DFLOW-CWE_8
 
 @query(stated("line_no rule_id severity cwe snippet", _TAINT))
 def taint_findings(spark, d):
-    return S.taint_findings(facts(spark, d)).select("path", "line_no", "rule_id", "severity", "cwe", "snippet")
+    return S.taint_findings(facts(spark, d, *S.TAINT)).select("path", "line_no", "rule_id", "severity", "cwe", "snippet")
 
 
 @query(stated("line_no rule_id severity cwe snippet", _FLOW))
 def dataflow_findings(spark, d):
-    return S.dataflow_findings(facts(spark, d)).select("path", "line_no", "rule_id", "severity", "cwe", "snippet")
+    return S.dataflow_findings(facts(spark, d, *S.FLOW)).select("path", "line_no", "rule_id", "severity", "cwe", "snippet")
 
 
 @query(f"WITH t AS ({stated('line_no rule_id severity cwe snippet', _TAINT)}), f AS ({stated('line_no rule_id severity cwe snippet', _FLOW)}), e AS (SELECT *, 'taint' AS source FROM t UNION ALL SELECT *, 'dataflow' FROM f) SELECT path, line_no, cwe, arg_max(rule_id, source) AS rule_id, CASE WHEN count(*) > 1 THEN 'confirmed' ELSE 'medium' END AS confidence FROM e GROUP BY path, line_no, cwe")
 def merged_syntax(spark, d):
-    own = facts(spark, d)
+    own = fixpoint.kept(facts(spark, d, *S.TAINT, *S.FLOW), "facts")
     return O.merged(S.taint_findings(own), S.dataflow_findings(own)).select("path", "line_no", "cwe", "rule_id", "confidence")
 
 
@@ -105,7 +105,7 @@ def sink_calls(spark, d):
     from ..functions import dims
 
     sinks_ = spark.createDataFrame([(k,) for k in dims.FLOW_SINKS], "sink string")
-    calls = facts(spark, d).where("kind = 'call'").withColumn("sink", F.substring_index("name", ".", -1))
+    calls = facts(spark, d, "call").withColumn("sink", F.substring_index("name", ".", -1))
     return calls.join(F.broadcast(sinks_), "sink").select("path", "scope", "name", F.col("a").alias("n_args"))
 
 
@@ -121,14 +121,14 @@ _EDGES = [
 @query(stated("scope src dst", _EDGES))
 def cfg_edges(spark, d):
     """The edges of the control-flow graphs of all modules."""
-    return facts(spark, d).where("kind = 'cfg'").select("path", "scope", F.col("a").alias("src"), F.col("b").alias("dst"))
+    return facts(spark, d, "cfg").select("path", "scope", F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 @query(f"WITH RECURSIVE e AS MATERIALIZED (SELECT path || ':' || scope AS f, src, dst FROM ({stated('scope src dst', _EDGES)})), r(f, node) AS (SELECT DISTINCT f, CAST(0 AS BIGINT) FROM e UNION SELECT r.f, e.dst FROM r JOIN e ON e.f = r.f AND e.src = r.node) SELECT f || ':' || node AS node FROM r")
 def dataflow_fixpoint(spark, d):
     """The nodes that execution can reach from each function's first one, over the control-flow graphs of all modules."""
     name = lambda c: F.concat_ws(":", "path", "scope", F.col(c).cast("string"))
-    own = facts(spark, d).where("kind = 'cfg'").select(name("a").alias("src"), name("b").alias("dst"), F.concat_ws(":", "path", "scope", F.lit("0")).alias("first"))
+    own = facts(spark, d, "cfg").select(name("a").alias("src"), name("b").alias("dst"), F.concat_ws(":", "path", "scope", F.lit("0")).alias("first"))
     return fixpoint.closure(own.select("src", "dst"), own.select(F.col("first").alias("node")))
 
 
@@ -161,7 +161,7 @@ _STATES = f"""WITH RECURSIVE {_values("e", "kind, scope, src, dst", _EDGES)}, {_
 @query(_STATES)
 def dataflow_states(spark, d):
     """What each variable may hold before each statement, over loops and branches of which one sanitises."""
-    return flows.states(facts(spark, d))
+    return flows.states(facts(spark, d, *S.FLOW))
 
 
 #: template, node, next node; template, node, source; template, node, sink, line
@@ -178,12 +178,12 @@ _FLOWS = f"""WITH RECURSIVE {_values("e", "kind, src, dst", _CARRIES)}, {_values
 @query(_FLOWS)
 def taint_flows(spark, d):
     """The way from a source to each sink that it reaches, over functions."""
-    return S.taint_findings(facts(spark, d)).select("path", "line_no", "source_var", "sink", "flow")
+    return S.taint_findings(facts(spark, d, *S.TAINT)).select("path", "line_no", "source_var", "sink", "flow")
 
 
 @query(stated("line_no sink cwe", [(2, 6, "os.system", "CWE-78"), (5, 6, "eval", "CWE-95")]))
 def legacy_taint(spark, d):
-    return S.facts(C.modules(spark, d)).where("kind = 'legacy'").select("path", F.col("line").alias("line_no"), F.col("name").alias("sink"), F.col("text").alias("cwe"))
+    return facts(spark, d, "legacy").select("path", F.col("line").alias("line_no"), F.col("name").alias("sink"), F.col("text").alias("cwe"))
 
 
 #: template, functions, classes, imports, loc, purpose, function names
@@ -192,7 +192,7 @@ _OVERVIEW = [(0, 1, 0, 0, 2, "library", "plain_{n}"), (1, 1, 0, 0, 10, "library"
 
 @query(stated("functions classes imports loc purpose function_names", _OVERVIEW))
 def explain_files(spark, d):
-    return S.explain_files(facts(spark, d)).drop("import_names")
+    return S.explain_files(facts(spark, d, *S.OVERVIEW)).drop("import_names")
 
 
 #: template, function, parameters, returns, raises, calls
@@ -201,7 +201,7 @@ _DESCRIBED = [(0, "plain_{n}", "a, b", "", "", ""), (1, "branchy_{n}", "a, b, c,
 
 @query(stated("function params returns raises calls", _DESCRIBED))
 def describe_functions(spark, d):
-    return S.describe_functions(facts(spark, d))
+    return S.describe_functions(facts(spark, d, *S.DESCRIPTION))
 
 
 def _explained() -> list[tuple[int, str]]:
@@ -217,7 +217,7 @@ def _explained() -> list[tuple[int, str]]:
 @query(stated("json", _explained()))
 def explain_report(spark, d):
     """The overview of each file with its functions, as one JSON object."""
-    own = fixpoint.kept(facts(spark, d), "explained")
+    own = fixpoint.kept(facts(spark, d, *S.OVERVIEW, *S.DESCRIPTION), "explained")
     return sinks.explained(S.explain_files(own), S.describe_functions(own))
 
 
@@ -281,7 +281,7 @@ def docstring_stubs(spark, d):
 
 @query(f"WITH s AS ({_SHAPE}) SELECT path, line AS line_no, 'COMPLEXITY' AS rule_id, CASE refactor_priority WHEN 'high' THEN 'medium' ELSE 'low' END AS severity, 'complexity' AS kind FROM s WHERE n_issues > 0 UNION ALL SELECT path, line_no, rule_id, severity, 'finding' FROM ({stated('line_no rule_id severity cwe snippet', _TAINT)})")
 def ide_union(spark, d):
-    own = facts(spark, d)
+    own = fixpoint.kept(facts(spark, d, *S.TAINT, *S.COMPLEXITY), "facts")
     none = spark.createDataFrame([], "path string, line_no long, rule_id string, severity string")
     return sinks.ide_union(S.taint_findings(own), none, S.complexity(own))
 
@@ -293,5 +293,5 @@ def project_totals(spark, d):
 
 @query(f"WITH t AS ({stated('line_no rule_id severity cwe snippet', _TAINT)}), p AS (SELECT path, sum(CASE severity WHEN 'critical' THEN 25 ELSE 12 END) AS p FROM t GROUP BY path) SELECT 'm' || event_id || '.py' AS path, CAST(100 - coalesce(p, 0) - CASE event_id % 9 WHEN 1 THEN 3 ELSE 0 END AS BIGINT) AS score, CASE WHEN coalesce(p, 0) <= 10 THEN 'A' WHEN coalesce(p, 0) <= 25 THEN 'B' ELSE 'C' END AS grade FROM events LEFT JOIN p ON p.path = 'm' || event_id || '.py'")
 def file_score_syntax(spark, d):
-    own = facts(spark, d)
+    own = fixpoint.kept(facts(spark, d, *S.TAINT, *S.COMPLEXITY), "facts")
     return O.file_score(C.modules(spark, d), S.taint_findings(own), S.complexity(own))
