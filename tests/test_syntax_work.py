@@ -55,3 +55,13 @@ def test_nodes_are_numbered_without_gaps():
     edges = [(r[5], r[6]) for r in S.parsed(text, kinds=frozenset({"cfg"})) if r[1] == "f"]
     nodes = {n for e in edges for n in e}
     assert nodes == set(range(len(nodes)))
+
+
+def test_only_what_differs_between_facts_leaves_python(spark):
+    """And the other columns are there all the same."""
+    files = spark.createDataFrame([("a.py", "python", "x = 1\ny = x\n"), ("b.py", "python", "def f(:"), ("c.py", "python", "if x:\n    y()\n")], FILES)
+    for kinds in (("cfg",), S.TAINT, ()):
+        want = sorted((p, *r) for p, t in ((r.path, r.text) for r in files.collect()) for r in S.parsed(t, kinds=frozenset(kinds)))
+        own = S.facts(files, *kinds)
+        assert own.schema.names == [c.split()[0] for c in S.SCHEMA.split(", ")] and sorted(map(tuple, own.collect())) == want
+    assert S._filled(("cfg",)) == ["scope", "line", "end_line", "a", "b"] and len(S._filled(())) == 9
