@@ -65,3 +65,21 @@ def test_only_what_differs_between_facts_leaves_python(spark):
         own = S.facts(files, *kinds)
         assert own.schema.names == [c.split()[0] for c in S.SCHEMA.split(", ")] and sorted(map(tuple, own.collect())) == want
     assert S._filled(("cfg",)) == ["scope", "line", "end_line", "a", "b"] and len(S._filled(())) == 9
+
+
+def test_a_long_way_of_taint_takes_no_tables(spark, monkeypatch):
+    """Nor is anything parsed twice."""
+    monkeypatch.setattr(fixpoint, "kept", lambda *_: pytest.fail("a table"))
+    text = "def f(p):\n    v0 = input()\n" + "".join(f"    v{i + 1} = v{i}\n" for i in range(100)) + "    eval(v100)\n    return p\n"
+    facts = S.facts(spark.createDataFrame([("a.py", "python", text)], FILES))
+    own = flows.taints(facts)
+    assert [(r.scope, r.name, r.c, r.text.split(" -> ")[-2:]) for r in own.collect()] == [("f", "eval", 103, ["v100", "eval()"])]
+    assert flows.tainted(facts).count() == 101 and [tuple(r) for r in flows.summaries(facts).collect()] == [("a.py", "f", 0)]
+    for df in (own, flows.tainted(facts), flows.summaries(facts)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_of_equal_ways_the_first_counts(spark):
+    text = "def f():\n    b = input()\n    a = os.getenv('k')\n    d = b\n    c = a\n    e = d\n    e = c\n    eval(e)\n"
+    own = flows.taints(S.facts(spark.createDataFrame([("a.py", "python", text)], FILES)))
+    assert [r.text for r in own.collect()] == ["os.getenv -> a -> c -> e -> eval()"]
