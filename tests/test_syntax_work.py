@@ -83,3 +83,10 @@ def test_of_equal_ways_the_first_counts(spark):
     text = "def f():\n    b = input()\n    a = os.getenv('k')\n    d = b\n    c = a\n    e = d\n    e = c\n    eval(e)\n"
     own = flows.taints(S.facts(spark.createDataFrame([("a.py", "python", text)], FILES)))
     assert [r.text for r in own.collect()] == ["os.getenv -> a -> c -> e -> eval()"]
+
+
+def test_reachable_nodes_take_no_rounds_of_tables(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "closure", lambda *_: pytest.fail("rounds"))
+    text = "def f(x):\n" + "".join(f"    v{i} = x\n" for i in range(60)) + "    while x:\n        if x: continue\n        g()\n    return x\n    h()\n"
+    own = flows.reachable(S.facts(spark.createDataFrame([("a.py", "python", text)], FILES), "cfg"))
+    assert sorted(tuple(r) for r in own.collect()) == [("a.py", "f", n) for n in range(65)]
