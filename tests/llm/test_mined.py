@@ -141,6 +141,24 @@ def test_phrases_of_odd_rows(spark, edge, edge_rows, empty):
     assert own == plain_phrases(odd, s) and own
 
 
+def test_only_runs_of_frequent_parts_are_counted(spark):
+    """A run of three words becomes a row where both its pairs are frequent, and where its marks clash; that changes no result."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{min(x, 60)}" for x in rng.zipf(1.3, 40)) for _ in range(60)]
+    rows = [(x, ["en", "de"][i % 2]) for i, x in enumerate(texts)]
+    docs, s, few = spark.createDataFrame(rows, "text string, lang string"), phrases.Settings(least=8), phrases.Settings(least=8, bits=2)
+    f = Counter((lang, x) for text, lang in rows for x in runs_of(text.split(" "), 3))
+    often = {k for k, a in f.items() if a >= s.least}
+    triples = [(lang, x) for lang, x in f.elements() if x.count(" ") == 2]
+    want = Counter((lang, x) for lang, x in triples if (lang, x.rsplit(" ", 1)[0]) in often and (lang, x.split(" ", 1)[1]) in often)
+    found = spark.createDataFrame([(lang, x, 2, f[lang, x]) for lang, x in often if x.count(" ") == 1], "lang string, phrase string, words int, f long")
+    made = lambda s: Counter(tuple(r.key.split("\t"))[::-1] for r in phrases.longer(docs, found, 3, s).collect())
+    assert made(s) == want and 0 < want.total() < len(triples) / 2
+    assert made(few) == Counter(triples)
+    own = [[tuple(r) for r in phrases.collocations(docs, x).orderBy("lang", "rank").collect()] for x in (s, few)]
+    assert own[0] == own[1] == plain_phrases(rows, s) and any(p.count(" ") == 2 for _, _, p, *_ in own[0])
+
+
 def test_scores_are_exact(spark):
     """Products beyond 64 bits, with a remainder that a double would lose."""
     a, l, r = 3_000_000_019, 6_000_000_037, 9_000_000_059
