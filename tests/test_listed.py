@@ -58,6 +58,10 @@ def test_every_detector_is_listed(spark, files):
     assert len(own) == len(WANT) and set(own) == WANT
 
 
+def test_every_detector_is_counted(spark, files):
+    assert [tuple(r) for r in catalog.QUERIES["project_totals"](spark, "").collect()] == [(len(WANT),)]
+
+
 def test_the_list_is_the_report_of_a_scan(spark, files):
     scan = api.analyze(files, api.Options(quality=True))
     own = [tuple(r) for r in scan.report().select(*COLUMNS).collect()]
@@ -74,3 +78,4 @@ def test_sql_lists_the_same():
     sql = listed.listed(f"SELECT * FROM (VALUES {rows}) t(path, text)", taint, flow, shapes)
     own = duckdb.sql(f"SELECT {', '.join(COLUMNS)} FROM ({sql})").fetchall()
     assert len(own) == len(WANT) and set(own) == WANT
+    assert catalog.ORACLES["project_totals"] == f"SELECT count(*) AS total FROM ({catalog.ORACLES['ide_union']})"
